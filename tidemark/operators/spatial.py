@@ -6,6 +6,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.geo import cell_of, cells_within, haversine_km
 from ..session import cut_lineage
@@ -105,7 +106,7 @@ def _clip_fraction(scene: list, area: list) -> float | None:
     return abs(shoelace(out)) / abs(whole)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def overlap_fraction(scene: pd.Series, area: pd.Series) -> pd.Series:
     """Area of (scene and area) over area, for rings as array<struct<lon,lat>>; the area must be convex.
 
