@@ -91,7 +91,35 @@ def versions_from_batches(batches: DataFrame, seen_at: str, key: Sequence[str] =
     nxt = F.lead(seen_at).over(w)
     return d.withColumns({
         "version_id": _version_id(F.col("revision_no")), "first_seen_at": F.col(seen_at),
-        "superseded_at": nxt, "is_current": nxt.isNull()}).drop("_keep")
+        "retrieved_at": F.col(seen_at), "superseded_at": nxt, "is_current": nxt.isNull()}).drop("_keep")
+
+
+def absorb_batches(current: DataFrame, rows: DataFrame, seen_at: str) -> DataFrame:
+    """Next version of the table after rows of any number of batches, each stamped with when it was seen.
+
+    What a stream needs: one micro-batch may hold several revisions of a key, repeats, or rows already
+    stored. Per key the current revision comes first, no-ops fall away, the rest are numbered on.
+    """
+    shown = ["series_id", "obs_start", "obs_end", "value", "status", "source_published_at", "raw_sha256", "attrs"]
+    base = current.where("is_current").select(*shown, F.col("first_seen_at").alias("_seen"), F.col("revision_no").alias("_rev"),
+                                              F.col("retrieved_at").alias("_ret"))
+    new = normalise_batch(rows).select(*shown, F.col(seen_at).alias("_seen"), F.lit(None).cast("int").alias("_rev"),
+                                       F.col(seen_at).alias("_ret"))
+    w = Window.partitionBy(*KEY).orderBy("_seen", F.col("_rev").isNull())
+    d = base.unionByName(new)
+    same = same_value(F.lag("value").over(w), F.col("value")) & F.lag("status").over(w).eqNullSafe(F.col("status"))
+    known = F.max("_rev").over(Window.partitionBy(*KEY))
+    # A row seen no later than the stored revision has been absorbed before.
+    stale = F.col("_rev").isNull() & (F.col("_seen") <= F.max(F.when(F.col("_rev").isNotNull(), F.col("_seen"))).over(
+        Window.partitionBy(*KEY)))
+    d = d.withColumns({"_known": known, "_stale": F.coalesce(stale, F.lit(False))}).where("NOT _stale")
+    d = d.withColumn("_same", F.coalesce(same, F.lit(False))).where(F.col("_rev").isNotNull() | ~F.col("_same"))
+    nxt = F.lead("_seen").over(w)
+    d = d.withColumns({"revision_no": (F.coalesce("_known", F.lit(1)) + F.row_number().over(w) - 1).cast("int"),
+                       "superseded_at": nxt, "is_current": nxt.isNull(), "first_seen_at": F.col("_seen"),
+                       "retrieved_at": F.col("_ret")})
+    d = d.withColumn("version_id", _version_id(F.col("revision_no"))).select(*COLUMNS)
+    return current.where("NOT is_current").select(*COLUMNS).unionByName(d)
 
 
 def observations(versions: DataFrame, as_of: Column | None = None, current_only: bool = True) -> DataFrame:

@@ -6,11 +6,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import MIN_MOVE_PCT, TOPICS, WINDOWS
+from ..config import DIRECTION_WORDS, MIN_MOVE_PCT, TOPICS, WINDOWS
 from ..functions.dates import event_basis, event_time
 from ..functions.numbers import display_digits, number_text, number_text_digits, pct_change, stale_after_days
 from ..functions.text import (
-    canonical_number, causal_wording, claimed_direction, claims, number_forms, number_tokens, short_hash,
+    canonical_number, causal_wording, claims, number_forms, number_tokens, short_hash,
     untraceable_numbers,
 )
 from ..operators.matching import linked_series, match_topics, topic_series
@@ -285,7 +285,8 @@ MEASUREMENT = ["link_order", "series_id", "name", "unit", "source", "frequency",
 
 
 def headline_cards(headlines: DataFrame, obs: DataFrame, series: DataFrame, findings: DataFrame, today: Column,
-                   topics: Mapping = TOPICS, members: DataFrame | None = None, windows: Mapping = WINDOWS) -> DataFrame:
+                   topics: Mapping = TOPICS, members: DataFrame | None = None, windows: Mapping = WINDOWS,
+                   words: Mapping = DIRECTION_WORDS) -> DataFrame:
     """One card per headline that matches a topic.
 
     headlines: headline_id, title, excerpt, published_at, discovered_at, cluster_id.
@@ -304,7 +305,7 @@ def headline_cards(headlines: DataFrame, obs: DataFrame, series: DataFrame, find
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("alternatives")))).alias("alternatives"))
     head = headlines.join(per_doc, "headline_id").withColumns({
         "event_at": event_time(F.col("published_at"), F.col("discovered_at")),
-        "event_time_basis": event_basis(F.col("published_at")), "claims": claims(F.col("title"))})
+        "event_time_basis": event_basis(F.col("published_at")), "claims": claims(F.col("title"), words)})
     head = head.withColumn("event_day", F.to_date("event_at"))
     wanted = linked_series(matches, links, "headline_id").join(head.select("headline_id", "event_day"), "headline_id")
     m = measure(wanted, obs, series, findings, windows).join(

@@ -18,14 +18,14 @@ ALL_STOCK = {**INVENTORY, "last_n": None}
 ALL_SHIPPING = {**SHIPPING, "last_n": None, "min_abs_change": 0.5}
 BASE_YEAR = {"start": "1998-01-01", "end": "1998-12-31"}
 
-POINT_COLUMNS = """SELECT series_id, CAST(obs_start AS VARCHAR) AS obs_start, ROUND(value, 4) AS value, ROUND(ret, 6) AS log_return,
+POINT_COLUMNS = """SELECT series_id, CAST(obs_start AS VARCHAR) AS obs_start, ROUND(value + 1e-9, 4) AS value, ROUND(ret, 6) AS log_return,
  ROUND(pct, 4) AS pct_change, ROUND(z, 5) AS z, method, n AS n_baseline, CAST(fired AS INTEGER) AS fired,
  ROUND(severity, 5) AS severity FROM points"""
 
 
 def _points(df):
     return df.select(
-        "series_id", F.col("obs_start").cast("string").alias("obs_start"), F.round("value", 4).alias("value"),
+        "series_id", F.col("obs_start").cast("string").alias("obs_start"), F.round(F.col("value") + 1e-9, 4).alias("value"),
         F.round("ret", 6).alias("log_return"), F.round("pct_change", 4).alias("pct_change"), F.round("z", 5).alias("z"),
         "method", F.col("n_baseline").cast("bigint").alias("n_baseline"), F.col("fired").cast("int").alias("fired"),
         F.round("severity_rank", 5).alias("severity"))
@@ -38,7 +38,7 @@ def unusual_daily_moves(spark, folder):
 
 @query("latest_daily_moves", price_points_sql(DAILY_PRICE, 250, 60, 5, 4.0) + """,
  k AS (SELECT series_id, obs_start, ROW_NUMBER() OVER (PARTITION BY series_id ORDER BY obs_start DESC) AS rn FROM s WHERE value > 0)
- SELECT series_id, CAST(obs_start AS VARCHAR) AS obs_start, ROUND(value, 4) AS value, ROUND(ret, 6) AS log_return,
+ SELECT series_id, CAST(obs_start AS VARCHAR) AS obs_start, ROUND(value + 1e-9, 4) AS value, ROUND(ret, 6) AS log_return,
  ROUND(pct, 4) AS pct_change, ROUND(z, 5) AS z, method, n AS n_baseline, CAST(fired AS INTEGER) AS fired,
  ROUND(severity, 5) AS severity FROM points JOIN k USING (series_id, obs_start) WHERE rn <= 30""")
 def latest_daily_moves(spark, folder):
@@ -124,12 +124,12 @@ EPISODES = price_points_sql(DAILY_PRICE, 250, 60, 5, 4.0, 1.5) + """,
 
 
 @query("alert_episodes", EPISODES + """ SELECT series_id, CAST(MIN(obs_start) AS VARCHAR) AS episode_start, CAST(MAX(obs_start) AS VARCHAR) AS latest,
- COUNT(*) AS n_alerts, ROUND(arg_max(value, obs_start), 4) AS value FROM e GROUP BY series_id, no""")
+ COUNT(*) AS n_alerts, ROUND(arg_max(value, obs_start) + 1e-9, 4) AS value FROM e GROUP BY series_id, no""")
 def alert_episodes_query(spark, folder):
     f = rules.price_rule(B.daily_price(spark, folder), ALL_DAILY, z_threshold=1.5)
     e = latest_of_episode(alert_episodes(f))
     return e.select("series_id", F.col("episode_start").cast("string").alias("episode_start"),
-                    F.col("obs_start").cast("string").alias("latest"), "n_alerts", F.round("value", 4).alias("value"))
+                    F.col("obs_start").cast("string").alias("latest"), "n_alerts", F.round(F.col("value") + 1e-9, 4).alias("value"))
 
 
 @query("story_digest", price_points_sql(DAILY_PRICE, 250, 60, 5, 4.0, 1.5) + """,

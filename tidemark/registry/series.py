@@ -63,14 +63,14 @@ def _readings(spark, folder):
 
 @query("panel_daily_stats", """WITH r AS (SELECT CAST(ts + INTERVAL 1 HOUR AS DATE) AS day, 'city' || (user_id % 10) AS city, event_type AS fuel, value AS price
    FROM events WHERE event_type <> 'error'), d AS (SELECT * FROM r WHERE day < DATE '2024-01-30' AND price IS NOT NULL)
- SELECT CAST(day AS VARCHAR) AS day, fuel, COALESCE(city, 'panel') AS city, ROUND(AVG(price), 4) AS mean_price, ROUND(MEDIAN(price), 4) AS median_price,
+ SELECT CAST(day AS VARCHAR) AS day, fuel, COALESCE(city, 'panel') AS city, ROUND(AVG(price) + 1e-9, 4) AS mean_price, ROUND(MEDIAN(price), 4) AS median_price,
  COUNT(price) AS n_readings FROM d GROUP BY GROUPING SETS ((day, fuel), (day, fuel, city))""")
 def panel_daily_stats(spark, folder):
     from ..functions.dates import local_day
     d = derived.panel_daily_stats(_readings(spark, folder), local_day(F.col("fetched_at")), "city", FUELS,
                                   F.lit("2024-01-30").cast("date"))
     return d.select(F.col("day").cast("string").alias("day"), "fuel", F.when(F.col("is_panel") == 1, "panel").otherwise(
-        F.col("city")).alias("city"), F.round("mean_price", 4).alias("mean_price"), F.round("median_price", 4).alias("median_price"),
+        F.col("city")).alias("city"), F.round(F.col("mean_price") + 1e-9, 4).alias("mean_price"), F.round("median_price", 4).alias("median_price"),
         "n_readings")
 
 
@@ -92,11 +92,11 @@ def latest_per_key_query(spark, folder):
     return r.select("o_custkey", "o_orderkey", F.to_date("o_orderdate").cast("string").alias("day"), "o_totalprice")
 
 
-@query("value_at_or_before", f"""WITH s AS ({DAILY_PRICE}) SELECT series_id, CAST(MAX(obs_start) AS VARCHAR) AS obs_start, ROUND(arg_max(value, obs_start), 4) AS value
+@query("value_at_or_before", f"""WITH s AS ({DAILY_PRICE}) SELECT series_id, CAST(MAX(obs_start) AS VARCHAR) AS obs_start, ROUND(arg_max(value, obs_start) + 1e-9, 4) AS value
  FROM s WHERE obs_start <= DATE '1999-09-09' GROUP BY series_id""")
 def value_at_or_before_query(spark, folder):
     v = value_at_or_before(B.daily_price(spark, folder), "series_id", "obs_start", "value", F.lit("1999-09-09").cast("date"))
-    return v.select("series_id", F.col("obs_start").cast("string").alias("obs_start"), F.round("value", 4).alias("value"))
+    return v.select("series_id", F.col("obs_start").cast("string").alias("obs_start"), F.round(F.col("value") + 1e-9, 4).alias("value"))
 
 
 def _nation_lines(spark, folder):
@@ -247,7 +247,7 @@ def quantile_band_query(spark, folder):
 
 
 @query("change_class", DENSE + """, b AS (SELECT series_id, ROUND(AVG(value), 2) AS base FROM s WHERE obs_start BETWEEN DATE '1998-01-01' AND DATE '1998-12-31' GROUP BY 1),
- l AS (SELECT series_id, MAX(obs_start) AS last_day, arg_max(m4, obs_start) AS m FROM m6 WHERE value IS NOT NULL GROUP BY 1),
+ l AS (SELECT series_id, obs_start AS last_day, m4 AS m FROM m6 WHERE value IS NOT NULL QUALIFY ROW_NUMBER() OVER (PARTITION BY series_id ORDER BY obs_start DESC) = 1),
  c AS (SELECT l.*, b.base, m / base - 1 AS ch FROM l JOIN b USING (series_id))
  SELECT series_id, CAST(last_day AS VARCHAR) AS last_day, ROUND(m, 5) AS mean_7d, base AS baseline_mean, ROUND(ch, 5) AS change,
  CASE WHEN ch IS NULL THEN 'dv-na' WHEN ch <= -0.5 THEN 'dv-n2' WHEN ch <= -0.15 THEN 'dv-n1' WHEN ch <= 0.15 THEN 'dv-0' WHEN ch <= 0.5 THEN 'dv-p1' ELSE 'dv-p2' END AS change_class FROM c""")
@@ -277,8 +277,8 @@ def market_tiles(spark, folder):
                     F.col("ref_day").cast("string").alias("ref_day"), F.round("ref_value", 2).alias("ref_value"))
 
 
-@query("previous_year_value", f"""WITH s AS ({DAILY_CRUDE}) SELECT CAST(a.obs_start AS VARCHAR) AS obs_start, ROUND(a.value, 4) AS value, ROUND(b.value, 4) AS last_year
+@query("previous_year_value", f"""WITH s AS ({DAILY_CRUDE}) SELECT CAST(a.obs_start AS VARCHAR) AS obs_start, ROUND(a.value + 1e-9, 4) AS value, ROUND(b.value + 1e-9, 4) AS last_year
  FROM s a LEFT JOIN s b ON b.obs_start = CAST(a.obs_start - INTERVAL 1 YEAR AS DATE)""")
 def previous_year_value(spark, folder):
     d = derived.previous_year(B.daily_crude(spark, folder), ["pair"], "obs_start", "value", "last_year")
-    return d.select(F.col("obs_start").cast("string").alias("obs_start"), F.round("value", 4).alias("value"), F.round("last_year", 4).alias("last_year"))
+    return d.select(F.col("obs_start").cast("string").alias("obs_start"), F.round(F.col("value") + 1e-9, 4).alias("value"), F.round(F.col("last_year") + 1e-9, 4).alias("last_year"))

@@ -168,7 +168,7 @@ def update_if_newer(spark, folder):
 
 @query("provenance", price_points_sql(DAILY_PRICE, 250, 60, 5, 4.0, 2.0) + """, i AS (SELECT series_id, obs_start, obs_start AS used FROM points WHERE fired
    UNION ALL SELECT series_id, obs_start, pd FROM points WHERE fired)
- SELECT i.series_id, CAST(i.obs_start AS VARCHAR) AS obs_start, CAST(i.used AS VARCHAR) AS used_day, ROUND(s.value, 4) AS used_value FROM i JOIN s ON s.series_id = i.series_id AND s.obs_start = i.used""")
+ SELECT i.series_id, CAST(i.obs_start AS VARCHAR) AS obs_start, CAST(i.used AS VARCHAR) AS used_day, ROUND(s.value + 1e-9, 4) AS used_value FROM i JOIN s ON s.series_id = i.series_id AND s.obs_start = i.used""")
 def provenance(spark, folder):
     obs = B.daily_price(spark, folder)
     f = rules.price_rule(obs, {**PRICE_DAILY, "last_n": None}, z_threshold=2.0).where("fired")
@@ -177,7 +177,7 @@ def provenance(spark, folder):
     v = obs.withColumns({"revision_no": F.lit(1), "raw_sha256": F.lit(None).cast("string")})
     p = reports.provenance(f, v, raw)
     parts = F.split("anomaly_id", r"\|")
-    return p.select("series_id", F.get(parts, 1).alias("obs_start"), F.col("obs_start").cast("string").alias("used_day"), F.round("value", 4).alias("used_value"))
+    return p.select("series_id", F.get(parts, 1).alias("obs_start"), F.col("obs_start").cast("string").alias("used_day"), F.round(F.col("value") + 1e-9, 4).alias("used_value"))
 
 
 @query("run_statistics", """SELECT 'src' || (user_id % 10) AS source, COUNT(*) AS runs, COUNT(*) FILTER (WHERE event_type <> 'error') AS ok_runs,

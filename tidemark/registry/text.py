@@ -1 +1,158 @@
-"""Registered queries."""
+"""Addresses, titles, keywords, claims and note checks."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import bindings as B
+from ..functions import text as T
+from ..operators.matching import headlines_for_series, match_topics
+from ..operators.similarity import cluster_titles, similar_variants, variants
+from ..plans.cards import validate_notes
+from ..sources.links import links
+from .base import query
+
+# Topics for the corpus: function words of its languages stand in for trade words.
+TOPICS = {
+    "english": {"keywords": ["the", "ation", "eronth", "thtion"], "require_any": []},
+    "french": {"keywords": ["que", "eaux", "vipa", "les"], "require_any": ["elle", "mentre"]},
+    "german": {"keywords": ["der", "schie", "ungen", "erver"], "require_any": ["nicht", "und"]},
+}
+WORDS = {"up": ["rise", "eaux", "than"], "down": ["fall", "schie", "onthe"], "disruption": ["halt", "vipa", "ungch"]}
+W = "[^\\p{L}\\p{M}\\p{N}_\\p{Pc}]"
+
+
+def _hit_sql(k: str) -> str:
+    tail = f"($|{W})" if len(k) <= 4 else ""
+    return f"regexp_matches(t, '(^|{W}){k}{tail}')"
+
+
+def _hits_sql(ks) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN {_hit_sql(k)} THEN '{k}' END" for k in ks) + "], lambda x: x IS NOT NULL)"
+
+
+TOPIC_SQL = "WITH d AS (SELECT doc_id, ' ' || regexp_replace(lower(text), '\\s+', ' ', 'g') || ' ' AS t FROM documents), m AS (" + " UNION ALL ".join(
+    f"SELECT doc_id, '{k}' AS topic, {_hits_sql(c['keywords'])} AS hits FROM d"
+    + (f" WHERE len({_hits_sql(c['require_any'])}) > 0" if c["require_any"] else "") for k, c in TOPICS.items()) + ")"
+
+
+@query("topic_match", TOPIC_SQL + " SELECT doc_id, topic, array_to_string(hits, ',') AS hits FROM m WHERE len(hits) > 0")
+def topic_match(spark, folder):
+    d = B.table(spark, folder, "documents")
+    return match_topics(d, "doc_id", F.col("text"), TOPICS).select("doc_id", "topic", F.array_join("hits", ",").alias("hits"))
+
+
+@query("claim_words", "WITH d AS (SELECT doc_id, ' ' || regexp_replace(lower(text), '\\s+', ' ', 'g') || ' ' AS t FROM documents), c AS (SELECT doc_id, " + ", ".join(
+    f"({' OR '.join(f'''contains(t, '{w}')''' for w in ws)}) AS {k}" for k, ws in WORDS.items()) + """ FROM d)
+ SELECT doc_id, concat_ws(',', CASE WHEN disruption THEN 'disruption' END, CASE WHEN down AND NOT up THEN 'down' END, CASE WHEN up AND down THEN 'mixed' END, CASE WHEN up AND NOT down THEN 'up' END) AS claims,
+ CASE WHEN up AND down THEN 'mixed' WHEN disruption THEN 'disruption' WHEN up THEN 'up' WHEN down THEN 'down' END AS direction FROM c""")
+def claim_words(spark, folder):
+    d = B.table(spark, folder, "documents").withColumn("_c", T.claims(F.col("text"), WORDS))
+    return d.select("doc_id", F.array_join("_c", ",").alias("claims"), T.claimed_direction(F.col("_c")).alias("direction"))
+
+
+@query("canonical_urls", r"""WITH p AS (SELECT page_id, trim(url) AS u FROM pages), h AS (SELECT page_id, u,
+   regexp_replace(regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]*@)?([^/?#:]*)', 2)), '^www\.', ''), '^(m|amp)\.', '') AS host,
+   regexp_replace(regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/amp/?$', ''), '/+$', '') AS path,
+   list_sort(list_filter(string_split(regexp_extract(u, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: regexp_matches(x, '^[^=]+=.+')
+     AND NOT regexp_matches(regexp_extract(x, '^([^=]*)=', 1), '(?i)^(utm_|fbclid|gclid|mc_|ocid|cmpid|at_|xtor|wt_|ref$|sara_)'))) AS q FROM p)
+ SELECT page_id, 'https://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(q) = 0 THEN '' ELSE '?' || array_to_string(q, '&') END AS canonical FROM h""")
+def canonical_urls(spark, folder):
+    return B.table(spark, folder, "pages").select("page_id", T.canonical_url(F.col("url")).alias("canonical"))
+
+
+@query("link_inventory", r"""WITH a AS (SELECT page_id, UNNEST(regexp_extract_all(html, '(?is)<a\b[^>]*\bhref\s*=\s*["''][^"'']*["''][^>]*>.*?</a>')) AS a, url FROM pages),
+ h AS (SELECT page_id, url, replace(regexp_extract(a, '(?is)\bhref\s*=\s*["'']([^"'']*)["'']', 1), '&amp;', '&') AS href FROM a)
+ SELECT page_id, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '/') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1) || href
+ ELSE regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^?#]*/)', 1) || href END AS href, COUNT(*) AS n FROM h GROUP BY 1, 2""")
+def link_inventory(spark, folder):
+    found = links(B.table(spark, folder, "pages"), "page_id", "html", F.col("url"))
+    return found.groupBy("page_id", "href").agg(F.count("*").alias("n"))
+
+
+_CLEAN = "regexp_replace(coalesce(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), ''), '<[^>]+>', ' ', 'g')"
+for _name, _char in T.ENTITIES:
+    _CLEAN = f"replace({_CLEAN}, '{_name}', '{_char.replace(chr(39), chr(39) * 2)}')"
+CLEAN_SQL = f"trim(regexp_replace(regexp_replace({_CLEAN}, '[\\x00-\\x08\\x0b-\\x1f\\x7f]', '', 'g'), '[\\s\\x{{00a0}}]+', ' ', 'g'))"
+TOKENS_SQL = ("list_filter(list_distinct(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}]+')), lambda x: length(x) > 2 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "], x))")
+
+
+def _page_titles(spark, folder):
+    p = B.table(spark, folder, "pages")
+    return p.select("page_id", "url", T.clean_text(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1), None).alias("title"))
+
+
+@query("clean_titles", f"SELECT page_id, {CLEAN_SQL} AS title FROM pages")
+def clean_titles(spark, folder):
+    return _page_titles(spark, folder).select("page_id", "title")
+
+
+@query("title_token_counts", f"WITH x AS (SELECT doc_id, {TOKENS_SQL.format('text')} AS tok FROM documents) SELECT doc_id, len(tok) AS n_tokens, array_to_string(list_sort(tok), ' ') AS tokens FROM x")
+def title_token_counts(spark, folder):
+    d = B.table(spark, folder, "documents").withColumn("tok", T.title_tokens(F.col("text")))
+    return d.select("doc_id", F.size("tok").cast("bigint").alias("n_tokens"), F.array_join(F.array_sort("tok"), " ").alias("tokens"))
+
+
+@query("near_duplicate_pairs", f"""WITH x AS (SELECT doc_id, list_sort({TOKENS_SQL.format('text')}) AS tok FROM documents), s AS (SELECT MIN(doc_id) AS id, tok, len(tok) AS n FROM x WHERE len(tok) > 0 GROUP BY tok),
+ t AS (SELECT id, n, UNNEST(tok) AS w FROM s), p AS (SELECT a.id AS a, b.id AS b, ANY_VALUE(a.n) AS na, ANY_VALUE(b.n) AS nb, COUNT(*) AS shared FROM t a JOIN t b ON a.w = b.w AND a.id < b.id GROUP BY 1, 2)
+ SELECT a, b, ROUND(shared / (na + nb - shared), 6) AS score FROM p WHERE shared / (na + nb - shared) >= 0.6""")
+def near_duplicate_pairs(spark, folder):
+    d = B.table(spark, folder, "documents").select("doc_id", T.title_tokens(F.col("text")).alias("tokens"))
+    key = F.sha1(F.array_join(F.array_sort("tokens"), " "))
+    first = d.where(F.size("tokens") > 0).groupBy(key.alias("variant")).agg(F.min("doc_id").alias("id"))
+    sim = similar_variants(variants(d), 0.6)
+    a = first.select(F.col("variant").alias("a"), F.col("id").alias("ia"))
+    b = first.select(F.col("variant").alias("b"), F.col("id").alias("ib"))
+    j = sim.join(a, "a").join(b, "b")
+    return j.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), F.round("score", 6).alias("score"))
+
+
+@query("near_duplicate_clusters")
+def near_duplicate_clusters(spark, folder):
+    h = B.headlines(spark, folder).withColumn("tokens", T.title_tokens(F.col("title"))).drop("cluster_id")
+    _, table = cluster_titles(h.select("headline_id", "discovered_at", "title", "tokens"), "headline_id", "discovered_at", "title")
+    return table.select("cluster_id", "n_members", F.length("title").alias("title_length"), F.col("first_seen_at").cast("string").alias("first_seen_at"))
+
+
+@query("headlines_for_series", TOPIC_SQL + """, h AS (SELECT doc_id, topic, len(hits) AS n_hits, to_timestamp(852076800 + doc_id * 7200) AT TIME ZONE 'UTC' AS disc FROM m WHERE len(hits) > 0),
+ g AS (SELECT DISTINCT 'orders.' || o_orderpriority AS series_id, CASE WHEN o_orderpriority < '3' THEN 'english' ELSE 'french' END AS topic, date_trunc('month', o_orderdate) AS start_at FROM orders),
+ j AS (SELECT series_id, start_at, doc_id, n_hits, disc, ROW_NUMBER() OVER (PARTITION BY series_id, start_at ORDER BY n_hits DESC, disc DESC, doc_id DESC) AS position
+   FROM g JOIN h ON h.topic = g.topic AND h.disc >= g.start_at AND h.disc <= g.start_at + INTERVAL 20 DAY)
+ SELECT series_id, CAST(CAST(start_at AS DATE) AS VARCHAR) AS start_day, doc_id, n_hits, position FROM j WHERE position <= 15""")
+def headlines_for_series_query(spark, folder):
+    h = B.headlines(spark, folder).withColumnRenamed("headline_id", "doc_id")
+    o = B.table(spark, folder, "orders")
+    t = o.select(F.concat(F.lit("orders."), F.col("o_orderpriority")).alias("series_id"), F.when(F.col("o_orderpriority") < "3", "english").otherwise("french").alias("topic"),
+                 F.date_trunc("month", F.col("o_orderdate").cast("timestamp")).alias("start_at")).distinct()
+    t = t.withColumn("end_at", F.col("start_at") + F.expr("INTERVAL 20 DAYS"))
+    english = {"english": TOPICS["english"]["keywords"]}
+    both = match_topics(h, "doc_id", F.col("title"), {"french": TOPICS["french"]}).select("doc_id", F.lit(True).alias("_fr")).distinct()
+    en = headlines_for_series(h, "doc_id", F.col("title"), "discovered_at", "cluster_id", t.where("topic = 'english'"), english)
+    fr = headlines_for_series(h.join(both, "doc_id", "left_semi"), "doc_id", F.col("title"), "discovered_at", "cluster_id", t.where("topic = 'french'"),
+                              {"french": TOPICS["french"]["keywords"]})
+    return en.unionByName(fr).select("series_id", F.to_date("start_at").cast("string").alias("start_day"), "doc_id",
+                                     F.col("n_hits").cast("bigint").alias("n_hits"), F.col("position").cast("bigint").alias("position"))
+
+
+NUM = "[-+−]?\\d[\\d,.  ]*\\d|[-+−]?\\d"
+_CANON = "CASE WHEN regexp_matches({0}, '^-0[0.,]*$') THEN substr({0}, 2) ELSE {0} END"
+_CANON_IN = "regexp_replace(replace(replace(replace(x, '−', '-'), ' ', ''), ' ', ''), '^\\++', '')"
+
+
+@query("note_number_check", f"""WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '{NUM}'), lambda x: {{'raw': x, 'c': {_CANON_IN}}}) AS toks,
+   list_transform(regexp_extract_all(source, '{NUM}'), lambda x: {_CANON.format(_CANON_IN)}) AS ok FROM documents),
+ f AS (SELECT doc_id, list_filter(list_transform(toks, lambda x: {{'raw': x.raw, 'c': {_CANON.format('x.c')}}}), lambda x: x.c <> '' AND NOT list_contains(ok, x.c) AND NOT list_contains(ok, rtrim(x.c, '.'))
+   AND NOT list_contains(['0','1','2','3','4','5','6','7','8','9','10'], x.c) AND NOT list_contains(['0','1','2','3','4','5','6','7','8','9','10'], rtrim(x.c, '.'))) AS bad FROM d)
+ SELECT doc_id, len(bad) AS n_numbers, array_to_string(list_transform(bad, lambda x: x.raw), '|') AS numbers FROM f""")
+def note_number_check(spark, folder):
+    d = B.table(spark, folder, "documents").select("doc_id", "text", "source")
+    v = validate_notes(d, "text", None, ["source"])
+    lead = "number not traceable to a calculation: "
+    bad = F.transform(F.filter("issues", lambda i: i.startswith(lead)), lambda i: F.substring(i, len(lead) + 1, 1_000_000))
+    return v.select("doc_id", F.size(bad).cast("bigint").alias("n_numbers"), F.array_join(bad, "|").alias("numbers"))
+
+
+@query("causal_wording", r"""SELECT conv_id, turn, CAST(regexp_matches(text, '(?i)\b(because|due to|led to|drove|driven by|wegen|destroyed)\b') AS INTEGER) AS conclusive FROM conversations""")
+def causal_wording(spark, folder):
+    c = B.table(spark, folder, "conversations")
+    listed = F.filter(T.causal_wording(F.col("text")), lambda w: F.lower(w).isin("because", "due to", "led to", "drove", "driven by", "wegen", "destroyed"))
+    return c.select("conv_id", "turn", (F.size(listed) > 0).cast("int").alias("conclusive"))
