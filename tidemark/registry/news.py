@@ -17,11 +17,11 @@ CARD_TOPICS = {k: {**v, "series": LINKED[k], "label": k.title(), "geography": "E
                    "alternatives": [f"{k} wording"]} for k, v in TOPICS.items()}
 POINTS = price_points_sql(DAILY_PRICE, 250, 60, 5, 4.0, 2.0)
 FOUND = """, pf AS (SELECT series_id, obs_start AS fd, CAST(fired AS INTEGER) AS ff FROM points)"""
-MEASURE = """, b AS (SELECT e.series_id, e.d, MAX(CASE WHEN s.obs_start < e.d THEN s.obs_start END) AS bd, MAX(CASE WHEN s.obs_start BETWEEN e.d AND e.d + 10 THEN s.obs_start END) AS ad, MAX(s.obs_start) AS ld,
+MEASURE = """, mb AS (SELECT e.series_id, e.d, MAX(CASE WHEN s.obs_start < e.d THEN s.obs_start END) AS bd, MAX(CASE WHEN s.obs_start BETWEEN e.d AND e.d + 10 THEN s.obs_start END) AS ad, MAX(s.obs_start) AS ld,
    COUNT(CASE WHEN s.obs_start >= e.d - 30 AND s.obs_start < e.d THEN s.value END) AS ctx_n, MEDIAN(CASE WHEN s.obs_start >= e.d - 30 AND s.obs_start < e.d THEN s.value END) AS ctx_median,
    MIN(CASE WHEN s.obs_start >= e.d - 30 AND s.obs_start < e.d THEN s.value END) AS ctx_min, MAX(CASE WHEN s.obs_start >= e.d - 30 AND s.obs_start < e.d THEN s.value END) AS ctx_max FROM ev e JOIN s USING (series_id) GROUP BY 1, 2),
- ms AS (SELECT b.*, ad IS NOT NULL AS post, cur.value AS v, CASE WHEN ad IS NOT NULL THEN prv.value END AS pv FROM b JOIN s cur ON cur.series_id = b.series_id AND cur.obs_start = COALESCE(ad, ld)
-   LEFT JOIN s prv ON prv.series_id = b.series_id AND prv.obs_start = b.bd)"""
+ ms AS (SELECT mb.*, ad IS NOT NULL AS post, cur.value AS v, CASE WHEN ad IS NOT NULL THEN prv.value END AS pv FROM mb JOIN s cur ON cur.series_id = mb.series_id AND cur.obs_start = COALESCE(ad, ld)
+   LEFT JOIN s prv ON prv.series_id = mb.series_id AND prv.obs_start = mb.bd)"""
 
 
 def _series(spark):
@@ -80,9 +80,9 @@ def claim_assessment(spark, folder):
     return c.select(F.col("headline_id").alias("doc_id"), F.array_join("topics", ",").alias("topics"), claim.alias("claim"), move.alias("move"), "relationship")
 
 
-@query("quality_ratings", ASSESS + """, q AS (SELECT doc_id, COUNT(*) FILTER (WHERE post) AS n_post, COUNT(*) FILTER (WHERE post AND nf > 0) AS n_found FROM wm GROUP BY 1)
+@query("quality_ratings", ASSESS + """, qq AS (SELECT doc_id, COUNT(*) FILTER (WHERE post) AS n_post, COUNT(*) FILTER (WHERE post AND nf > 0) AS n_found FROM wm GROUP BY 1)
  SELECT hd.doc_id, CAST(hd.n_hits AS BIGINT) AS n_hits, COALESCE(n_post, 0) AS n_post_event, CASE WHEN hd.n_hits >= 2 AND contains(hd.topics, 'german') THEN 'high' WHEN hd.n_hits >= 1 THEN 'medium' ELSE 'low' END AS editorial_relevance
- FROM hd LEFT JOIN q USING (doc_id)""")
+ FROM hd LEFT JOIN qq USING (doc_id)""")
 def quality_ratings(spark, folder):
     c = _cards(spark, folder)
     return c.select(F.col("headline_id").alias("doc_id"), "n_hits", F.col("n_post_event").cast("bigint").alias("n_post_event"), "editorial_relevance")
