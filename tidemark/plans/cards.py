@@ -347,9 +347,10 @@ def review_flag(cards: DataFrame) -> DataFrame:
     """Flag a card whose note uses a number or a wording its calculations do not carry."""
     numbers = F.flatten(F.transform("measurements", lambda m: F.array_compact(F.array(
         m["latest_value"], m["previous_value"], m["abs_change"], m["pct_change"]))))
-    texts = F.concat_ws(" ", F.array_join(F.flatten(F.transform("measurements", lambda m: F.array_compact(F.array(
+    # Joined by a mark no number token contains: two texts never run into one number.
+    texts = F.concat_ws("|", F.array_join(F.flatten(F.transform("measurements", lambda m: F.array_compact(F.array(
         m["latest_date"].cast("string"), m["previous_date"].cast("string"), m["name"], m["unit"], m["note"],
-        m["finding"]["rule_id"])))), " "), "question", "relationship_reason", F.coalesce("temporal_note", F.lit("")))
+        m["finding"]["rule_id"])))), "|"), "question", "relationship_reason", F.coalesce("temporal_note", F.lit("")))
     d = cards.withColumns({"_numbers": numbers, "_texts": texts})
     d = validate_notes(d, "narrative", "_numbers", ["_texts"])
     return d.withColumn("review_flag", F.when(F.size("issues") > 0, F.concat(
