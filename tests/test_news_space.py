@@ -14,7 +14,7 @@ from tidemark.functions import codes, geo, numbers, text
 from tidemark.functions import dates as D
 from tidemark.operators import guards, spatial, timeline
 from tidemark.operators.matching import linked_series, match_topics, mentioned, topic_series
-from tidemark.operators.similarity import cluster_titles, first_matches, prefix_length_plain, similar_variants, variants
+from tidemark.operators.similarity import cluster_titles, first_matches, similar_variants, variants
 from tidemark.plans import cards as C
 from tidemark.plans import derived, digest, scenes, thermal, world
 from tidemark.sinks import exports as X
@@ -110,7 +110,7 @@ def test_similar_sets_match_all_pairs(spark):
     key = {r.variant: tuple(r.tokens) for r in v.collect()}
     got = {frozenset((key[r.a], key[r.b])) for r in similar_variants(v).collect()}
     want = {frozenset((a, b)) for a, b in itertools.combinations(sets, 2) if len(set(a) & set(b)) / len(set(a) | set(b)) >= 0.6}
-    assert got == want and prefix_length_plain(5, 0.6) == 3
+    assert got == want
 
 
 def card_world(spark, days=200):

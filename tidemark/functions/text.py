@@ -7,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import CAUSAL_PATTERNS, DIRECTION_WORDS, NUMBER_PATTERN, STOP_WORDS, TRACKING_PATTERN
+from .robust import let
 
 # Named entities that occur in feeds.
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "),
@@ -71,48 +72,52 @@ def _keyword_pattern(keyword: str) -> str:
     return rf"(?<!\w){k}{tail}"
 
 
-def keyword_hits(text: Column, keywords: list[str]) -> Column:
-    """The configured keywords found: short ones as whole words, longer ones at a word start.
-
-    One combined pattern rejects most texts in a single pass; only the rest are tested
-    keyword by keyword. The keyword list is configuration, so its size does not follow the data.
-    """
+def _hits(t: Column, keywords: list[str]) -> Column:
     if not keywords:
         return F.array().cast("array<string>")
-    t = normal_text(text)
     any_of = "(?U)(?:" + "|".join(_keyword_pattern(k) for k in keywords) + ")"
     each = F.array(*[F.when(t.rlike("(?U)" + _keyword_pattern(k)), F.lit(k)) for k in keywords])
     return F.when(t.rlike(any_of), F.array_compact(each)).otherwise(F.array().cast("array<string>"))
 
 
+def keyword_hits(text: Column, keywords: list[str]) -> Column:
+    """The configured keywords found: short ones as whole words, longer ones at a word start.
+
+    The text is normalised once; one combined pattern rejects most texts in a single pass, and only the
+    rest are tested keyword by keyword. The keyword list is configuration and does not follow the data.
+    """
+    return let(normal_text(text), lambda t: _hits(t, keywords))
+
+
 def topic_hits(text: Column, topics: dict, aliases: list[str] = (), alias_topic: str | None = None) -> Column:
     """array<struct<topic, hits>> of the matched topics, in configured order."""
-    found = []
-    for name, t in topics.items():
-        extra = list(aliases) if name == alias_topic else []
-        hits = keyword_hits(text, list(t["keywords"]) + extra)
-        anchors = list(t.get("require_any", [])) + (extra if t.get("require_any") else [])
-        ok = F.size(hits) > 0
-        if anchors:
-            ok = ok & (F.size(keyword_hits(text, anchors)) > 0)
-        found.append(F.when(ok, F.struct(F.lit(name).alias("topic"), hits.alias("hits"))))
-    return F.array_compact(F.array(*found))
+    def labelled(name: str, anchored: Column):
+        return lambda h: F.when((F.size(h) > 0) & anchored, F.struct(F.lit(name).alias("topic"), h.alias("hits")))
+
+    def found(t: Column) -> Column:
+        out = []
+        for name, cfg in topics.items():
+            extra = list(aliases) if name == alias_topic else []
+            anchors = list(cfg.get("require_any", [])) + (extra if cfg.get("require_any") else [])
+            anchored = (F.size(_hits(t, anchors)) > 0) if anchors else F.lit(True)
+            out.append(let(_hits(t, list(cfg["keywords"]) + extra), labelled(name, anchored)))
+        return F.array_compact(F.array(*out))
+
+    return let(normal_text(text), found)
 
 
 def claims(text: Column, words: dict[str, list[str]] = DIRECTION_WORDS) -> Column:
     """Sorted claim labels; up together with down becomes mixed. Words match anywhere in the text."""
-    t = normal_text(text)
-    has = {}
-    for label, ws in words.items():
-        pattern = "|".join(re.escape(w.lower()).replace("\\ ", " ") for w in ws)
-        has[label] = t.rlike(pattern)
-    both = has["up"] & has["down"]
-    return F.array_compact(F.array(
-        F.when(has["disruption"], F.lit("disruption")),
-        F.when(has["down"] & ~both, F.lit("down")),
-        F.when(both, F.lit("mixed")),
-        F.when(has["up"] & ~both, F.lit("up")),
-    ))
+    def flags(t: Column) -> Column:
+        return F.struct(*[t.rlike("|".join(re.escape(w.lower()).replace("\\ ", " ") for w in ws)).alias(k) for k, ws in words.items()])
+
+    def labels(has: Column) -> Column:
+        both = has["up"] & has["down"]
+        return F.array_compact(F.array(
+            F.when(has["disruption"], F.lit("disruption")), F.when(has["down"] & ~both, F.lit("down")),
+            F.when(both, F.lit("mixed")), F.when(has["up"] & ~both, F.lit("up"))))
+
+    return let(let(normal_text(text), flags), labels)
 
 
 def claimed_direction(labels: Column) -> Column:
@@ -148,16 +153,21 @@ def number_forms(v: Column) -> Column:
 def untraceable_numbers(text: Column, allowed: Column) -> Column:
     """Number tokens of a text that no allowed spelling covers. Counting words 0..10 always pass."""
     small = F.array(*[F.lit(str(i)) for i in range(11)])
-    ok = F.array_union(allowed, small)
-    return F.filter(number_tokens(text), lambda t: (canonical_number(t) != "")
-                    & ~F.array_contains(ok, canonical_number(t))
-                    & ~F.array_contains(ok, F.rtrim(canonical_number(t), F.lit("."))))
+    pairs = F.transform(number_tokens(text), lambda t: F.struct(t.alias("raw"), canonical_number(t).alias("c")))
+
+    def unknown(x: Column, ok: Column) -> Column:
+        c, bare = x["c"], F.rtrim(x["c"], F.lit("."))
+        return (c != "") & ~F.array_contains(ok, c) & ~F.array_contains(ok, bare)
+
+    return let(F.array_union(allowed, small), lambda ok: F.transform(
+        F.filter(pairs, lambda x: unknown(x, ok)), lambda x: x["raw"]))
 
 
 def causal_wording(text: Column) -> Column:
-    """First conclusive phrase found for each listed pattern."""
-    found = [F.regexp_extract(text, f"(?iU)({p})", 1) for p in CAUSAL_PATTERNS]
-    return F.filter(F.array(*found), lambda x: x != "")
+    """First conclusive phrase found for each listed pattern; one combined pass clears most texts."""
+    any_of = "(?iU)(?:" + "|".join(CAUSAL_PATTERNS) + ")"
+    found = F.array(*[F.regexp_extract(text, f"(?iU)({p})", 1) for p in CAUSAL_PATTERNS])
+    return F.when(text.rlike(any_of), F.filter(found, lambda x: x != "")).otherwise(F.array().cast("array<string>"))
 
 
 def dash_slug(text: Column, limit: int = 60) -> Column:

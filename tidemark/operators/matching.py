@@ -42,9 +42,8 @@ def headlines_for_series(docs: DataFrame, id_col: str, text: Column, at: str, cl
     Order: most keywords, then latest; one per cluster; at most ``limit`` per target. The keyword test
     runs before the join, so only matching texts are shuffled, and days name the range.
     """
-    per_topic = F.array_compact(F.array(*[
-        F.when(F.size(keyword_hits(text, ks)) > 0, F.struct(
-            F.lit(t).alias("topic"), F.size(keyword_hits(text, ks)).alias("n_hits"))) for t, ks in keywords.items()]))
+    per_topic = F.transform(topic_hits(text, {t: {"keywords": ks} for t, ks in keywords.items()}), lambda x: F.struct(
+        x["topic"].alias("topic"), F.size(x["hits"]).alias("n_hits")))
     hits = docs.select(id_col, at, cluster, F.inline(per_topic)).withColumn("_day", F.to_date(at))
     days = targets.withColumn("_day", F.explode(F.sequence(F.to_date("start_at"), F.to_date("end_at"))))
     j = hits.join(days, ["topic", "_day"]).where((F.col(at) >= F.col("start_at")) & (F.col(at) <= F.col("end_at")))

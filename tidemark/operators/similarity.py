@@ -5,14 +5,12 @@ by at least the threshold; without one it opens a cluster. Three things keep thi
 
 * rows with the same tokens are one *variant*, so a copy group of any size costs one comparison;
 * variants are paired through the prefix filter of exact set-similarity joins: ordered by rising
-  document frequency, two sets that overlap enough share a token among their first
-  n - ceil(threshold * n) + 1, so frequent words never form a join key of a long set;
+  document frequency, two sets that overlap enough share tokens among their rarest ones, so
+  frequent words never form a join key of a long set;
 * arrivals are looked up by (variant, time bucket), never as all pairs.
 """
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,22 +25,35 @@ def variants(df: DataFrame, tokens: str = "tokens") -> DataFrame:
             .groupBy("variant").agg(F.first("tokens").alias("tokens")))
 
 
-def _prefix_length(n: Column, threshold: float) -> Column:
-    return n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int") + 1
+SHARED = 4
+
+
+def _needed(n: Column, threshold: float) -> Column:
+    """Least overlap of a set of size n with any set it resembles."""
+    return F.ceil(n * F.lit(threshold) - 1e-9).cast("int")
 
 
 def similar_variants(v: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """Pairs (a < b) of variants with token overlap >= threshold, each once, with the score."""
+    """Pairs (a < b) of variants with token overlap >= threshold, each once, with the score.
+
+    Exact: sets that overlap enough share at least k tokens among their first n - needed + k in any common
+    order. With k = 4 (less for tiny sets) chance meetings on one rare word are dropped by counting,
+    before any token list is fetched for verification.
+    """
     freq = v.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    ranked = (v.select("variant", F.explode("tokens").alias("token")).join(freq, "token")
-              .groupBy("variant").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("r"))
-              .select("variant", F.size("r").alias("n"), F.transform("r", lambda x: x["token"]).alias("ordered")))
-    prefix = (ranked.withColumn("_p", _prefix_length(F.col("n"), threshold))
-              .select("variant", "n", F.explode(F.expr("slice(ordered, 1, _p)")).alias("token")))
-    a = prefix.select(F.col("variant").alias("a"), F.col("n").alias("na"), "token")
-    b = prefix.select(F.col("variant").alias("b"), F.col("n").alias("nb"), "token")
+    ranked = (v.select("variant", F.explode("tokens").alias("token")).join(freq.where("df > 1"), "token", "left")
+              .groupBy("variant").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "token"))).alias("r")))
+    ranked = ranked.withColumn("n", F.size("r")).withColumn("k", F.least(F.lit(SHARED), _needed(F.col("n"), threshold)))
+    length = F.col("n") - _needed(F.col("n"), threshold) + F.col("k")
+    # Tokens of a single variant meet nobody: they count towards the prefix but need not be joined.
+    head = F.filter(F.slice("r", F.lit(1), length), lambda x: x["df"] > 1)
+    prefix = ranked.select(F.col("variant"), "n", "k", F.explode(F.transform(head, lambda x: x["token"])).alias("token"))
+    a = prefix.select(F.col("variant").alias("a"), F.col("n").alias("na"), F.col("k").alias("ka"), "token")
+    b = prefix.select(F.col("variant").alias("b"), F.col("n").alias("nb"), F.col("k").alias("kb"), "token")
     fits = (F.col("na") >= F.col("nb") * threshold - 1e-9) & (F.col("nb") >= F.col("na") * threshold - 1e-9)
-    pairs = a.join(b, "token").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    met = a.join(b, "token").where((F.col("a") < F.col("b")) & fits).groupBy("a", "b").agg(
+        F.count("*").alias("shared"), F.min(F.least("ka", "kb")).alias("k"))
+    pairs = met.where(F.col("shared") >= F.col("k")).select("a", "b")
     left = v.select(F.col("variant").alias("a"), F.col("tokens").alias("_ta"))
     right = v.select(F.col("variant").alias("b"), F.col("tokens").alias("_tb"))
     scored = pairs.join(left, "a").join(right, "b").withColumn("score", jaccard(F.col("_ta"), F.col("_tb")))
@@ -103,8 +114,3 @@ def cluster_titles(df: DataFrame, id_col: str, at: str, title: str, tokens: str
         F.min_by(title, F.struct(at, id_col)).alias("title"), F.min(at).alias("first_seen_at"),
         F.count("*").alias("n_members")).withColumn("representative_id", F.col("cluster_id"))
     return rows, table
-
-
-def prefix_length_plain(n: int, threshold: float) -> int:
-    """The prefix rule on plain numbers, for tests."""
-    return n - math.ceil(threshold * n - 1e-9) + 1

@@ -14,6 +14,7 @@ from ..functions.text import (
     untraceable_numbers,
 )
 from ..operators.matching import linked_series, match_topics, topic_series
+from ..session import cut_lineage
 
 
 def measure(events: DataFrame, obs: DataFrame, series: DataFrame, findings: DataFrame,
@@ -293,7 +294,9 @@ def headline_cards(headlines: DataFrame, obs: DataFrame, series: DataFrame, find
     """
     spark = headlines.sparkSession
     text = F.concat_ws(" ", F.col("title"), F.coalesce("excerpt", F.lit("")))
-    matches = match_topics(headlines, "headline_id", text, topics)
+    # Three branches below need the matches. They are ids and keywords, far smaller than the texts, so they
+    # are kept once in the shared folder rather than searching every text three times.
+    matches = cut_lineage(match_topics(headlines, "headline_id", text, topics))
     links = topic_series(spark, topics)
     labels = spark.createDataFrame([(t, c["label"], c["geography"], list(c.get("alternatives", [])))
                                     for t, c in topics.items()],

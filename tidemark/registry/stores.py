@@ -8,6 +8,7 @@ from ..config import PRICE_DAILY
 from ..operators import findings as FS
 from ..operators import versioned as V
 from ..plans import reports, rules, scenes
+from ..session import cut_lineage
 from .base import BATCHES, DAILY_PRICE, price_points_sql, query
 
 VERSIONS = f"""WITH b AS ({BATCHES}), l AS (SELECT *, LAG(value) OVER w AS pv, ROW_NUMBER() OVER w AS rn FROM b WINDOW w AS (PARTITION BY series_id ORDER BY batch)),
@@ -84,7 +85,8 @@ def _stored(spark, findings):
  SELECT series_id, status, n, CAST(n_fired AS BIGINT) AS n_fired, CAST(n_continuations AS BIGINT) AS n_continuations FROM x""")
 def finding_supersession(spark, folder):
     """Screen, store, then screen again after one series was revised throughout: its findings are replaced."""
-    f1 = rules.price_rule(B.daily_price(spark, folder), {**PRICE_DAILY, "last_n": None}, z_threshold=2.0)
+    # Both screenings read the same findings: computed once and kept in the shared folder.
+    f1 = cut_lineage(rules.price_rule(B.daily_price(spark, folder), {**PRICE_DAILY, "last_n": None}, z_threshold=2.0))
     revised = F.col("series_id") == "orders.2-HIGH"
     f2 = f1.withColumn("input_version_ids", F.when(revised, F.transform("input_version_ids", lambda v: F.concat(v, F.lit("#2")))
                                                    ).otherwise(F.col("input_version_ids")))

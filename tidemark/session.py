@@ -17,6 +17,7 @@ def local_session(app: str = "tidemark", cores: str = "*", shuffle_partitions: i
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 

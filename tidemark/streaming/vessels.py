@@ -31,7 +31,9 @@ def parse_messages(raw: DataFrame, body: str = "value", at: str = "ts") -> DataF
 
     Position messages without a usable position are dropped, as are messages of other kinds.
     """
-    d = raw.withColumn("_m", F.from_json(body, MESSAGE)).withColumn("kind", F.col("_m.MessageType"))
+    # Parsed once: a generator keeps the JSON parser from being copied into every field below.
+    d = raw.select("*", F.inline(F.array(F.from_json(body, MESSAGE))))
+    d = d.select(*raw.columns, F.struct("MessageType", "MetaData", "Message").alias("_m")).withColumn("kind", F.col("_m.MessageType"))
     pos = F.coalesce(*[F.when(F.col("kind") == k, F.col(f"_m.Message.{k}")) for k in POSITION_KINDS])
     s, r = F.col("_m.Message.ShipStaticData"), F.col("_m.Message.StaticDataReport")
     number = F.coalesce(F.nullif(F.nullif(F.col("_m.MetaData.MMSI"), F.lit("")), F.lit("0")), pos["UserID"], s["UserID"], r["UserID"])
