@@ -101,6 +101,37 @@ def test_clusters_match_a_plain_walk(spark):
     assert sum(r.n_members for r in table.collect()) == 160
 
 
+def test_streamed_clusters_equal_batch(spark, tmp_path):
+    rnd = random.Random(17)
+    words = [f"w{i}" for i in range(12)]
+    base = [rnd.sample(words, 4) for _ in range(4)]
+    rows, t = [], datetime(2026, 1, 1)
+    for i in range(60):
+        t += timedelta(hours=rnd.choice([1, 9, 30]))
+        b = list(rnd.choice(base))
+        if rnd.random() < 0.4:
+            b[rnd.randrange(4)] = rnd.choice(words)
+        rows.append((i, t, " ".join(b), sorted(set(b))))
+    src = tmp_path / "in"
+    schema = "id int, at timestamp, title string, tokens array<string>"
+    for n in range(3):
+        spark.createDataFrame(rows[n * 20:(n + 1) * 20], schema).coalesce(1).write.mode("append").parquet(str(src))
+    stream = feeds.landing(spark, str(src), spark.read.parquet(str(src)).schema, files_per_batch=1)
+    got = {r.id: r.cluster_id for r in feeds.cluster_stream(stream, "id", "at", str(tmp_path / "root")).collect()}
+    batch, _ = cluster_titles(spark.createDataFrame(rows, schema), "id", "at", "title")
+    assert got == {r.id: r.cluster_id for r in batch.collect()}
+
+
+def test_neighbours_and_facets(spark):
+    d = date(2026, 1, 10)
+    ep = spark.createDataFrame([("r", "a", d, d)], "rule_id string, series_id string, episode_start date, obs_end date")
+    f = spark.createDataFrame([("b", d, False, "calm"), ("c", d, True, "loud"), ("b", date(2025, 1, 1), False, "old")], "series_id string, obs_end date, fired boolean, explanation string")
+    links = spark.createDataFrame([("t", x) for x in "abc"], "topic string, series_id string")
+    assert [r.text for r in C.quiet_neighbours(ep, f, links).collect()] == ["b: calm"]
+    cards = spark.createDataFrame([("1", ["x"], "headline", "supports", "Brent?"), ("2", ["y"], "anomaly", "context_only", "WTI?")], "card_id string, topics array<string>, kind string, relationship string, question string")
+    assert [r.card_id for r in C.facet_filter(cards, ["x", "z"], ["headline"], ["supports"], "brent").collect()] == ["1"] and C.facet_filter(cards).count() == 2
+
+
 def test_similar_sets_match_all_pairs(spark):
     rnd = random.Random(1)
     sets = [frozenset(rnd.sample(range(30), rnd.randrange(1, 12))) for _ in range(120)]

@@ -114,3 +114,23 @@ def cluster_titles(df: DataFrame, id_col: str, at: str, title: str, tokens: str
         F.min_by(title, F.struct(at, id_col)).alias("title"), F.min(at).alias("first_seen_at"),
         F.count("*").alias("n_members")).withColumn("representative_id", F.col("cluster_id"))
     return rows, table
+
+
+def cluster_batch(stored: DataFrame, batch: DataFrame, id_col: str, at: str, tokens: str = "tokens",
+                  window_hours: int = 72, threshold: float = 0.6) -> DataFrame:
+    """New rows with the cluster of their earliest match among stored and new rows.
+
+    stored carries cluster_id. Only its rows inside the look-back of the batch are read.
+    """
+    since = batch.agg(F.min(at) - F.expr(f"INTERVAL {window_hours} HOURS")).scalar()
+    slice_ = stored.where(F.col(at) >= since).select(id_col, at, tokens, "cluster_id")
+    both = slice_.select(id_col, at, tokens).unionByName(batch.select(id_col, at, tokens))
+    links = first_matches(both, id_col, at, tokens, window_hours, threshold)
+    known = slice_.select(id_col, F.col("cluster_id").alias("_c"))
+    # A stored row is the end of a chain: its cluster was settled when it arrived.
+    ends = links.join(known.select(id_col, F.lit(True).alias("_old")), id_col, "left").withColumn(
+        "parent", F.when(F.col("_old").isNull(), F.col("parent"))).drop("_old")
+    roots = resolve_root(ends, id_col, "parent").join(batch.select(id_col), id_col, "left_semi")
+    named = roots.join(known.withColumnRenamed(id_col, "root"), "root", "left").select(
+        id_col, F.coalesce("_c", "root").alias("cluster_id"))
+    return batch.join(named, id_col)

@@ -396,6 +396,34 @@ def anomaly_cards(episodes: DataFrame, series: DataFrame, related: DataFrame) ->
         "follow_up": F.lit("Does the reading persist in the next release, and is it visible in independent series?")})
 
 
+def quiet_neighbours(episodes: DataFrame, findings: DataFrame, links: DataFrame, before: int = 14, after: int = 7) -> DataFrame:
+    """Related series of an alert that were evaluated around it and did not fire.
+
+    links: topic, series_id. Days name the range, so the join is an equality on (series, day).
+    """
+    pairs = links.select("topic", "series_id").join(links.select("topic", F.col("series_id").alias("other")), "topic")
+    pairs = pairs.where("series_id <> other").select("series_id", "other").distinct()
+    key = ["rule_id", "series_id", "episode_start"]
+    days = episodes.select(*key, F.explode(F.sequence(F.date_sub("obs_end", before), F.date_add("obs_end", after))).alias("obs_end"))
+    seen = findings.select(F.col("series_id").alias("other"), "obs_end", "fired", "explanation")
+    j = days.join(pairs, "series_id").join(seen, ["other", "obs_end"])
+    best = j.groupBy(*key, "other").agg(F.max(F.struct("fired", "obs_end", "explanation")).alias("b"))
+    return best.where("NOT b.fired").select(*key, F.concat(F.col("other"), F.lit(": "), F.col("b.explanation")).alias("text"))
+
+
+def facet_filter(cards: DataFrame, topics: Sequence[str] = (), kinds: Sequence[str] = (), relationships: Sequence[str] = (),
+                 search: str | None = None) -> DataFrame:
+    """Cards that share a topic with the chosen ones, of the chosen kinds and outcomes; an empty facet is open."""
+    d = cards
+    if topics:
+        d = d.where(F.arrays_overlap("topics", F.array(*[F.lit(t) for t in topics])))
+    if kinds:
+        d = d.where(F.col("kind").isin(list(kinds)))
+    if relationships:
+        d = d.where(F.col("relationship").isin(list(relationships)))
+    return d.where(F.lower("question").contains(search.lower())) if search else d
+
+
 def recent_headlines(headlines: DataFrame, now: Column, days: int = 14) -> DataFrame:
     """Headlines a card build looks at: discovered lately, or entered by hand."""
     return headlines.where((F.col("discovered_at") >= now - F.expr(f"INTERVAL {days} DAYS")) | (F.col("origin") == "manual"))

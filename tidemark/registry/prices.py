@@ -194,12 +194,12 @@ def asymmetric_passthrough_query(spark, folder):
    1 + CAST(SUM(CAST(ROUND(l_discount * 100) AS BIGINT)) AS DOUBLE) / 100.0 / COUNT(*) AS fx FROM lineitem
    WHERE isodow(l_shipdate) IN (1, 4) GROUP BY 1),
  j AS (SELECT c.obs_start, c.value, f.fx_date, f.fx FROM c ASOF JOIN f ON c.obs_start >= f.fx_date)
- SELECT CAST(obs_start AS VARCHAR) AS obs_start, CAST(fx_date AS VARCHAR) AS fx_date, ROUND(value / fx, 5) AS eur_bbl,
+ SELECT CAST(obs_start AS VARCHAR) AS obs_start, CAST(fx_date AS VARCHAR) AS fx_date, ROUND(value / fx + 1e-9, 5) AS eur_bbl,
  ROUND(value / fx / 158.987294928, 6) AS eur_litre FROM j WHERE date_diff('day', fx_date, obs_start) <= 3""")
 def asof_convert(spark, folder):
     e = euro_crude(B.daily_crude(spark, folder), B.fixing(spark, folder))
     return e.select(F.col("obs_start").cast("string").alias("obs_start"), F.col("fx_date").cast("string").alias("fx_date"),
-                    F.round("eur_bbl", 5).alias("eur_bbl"), F.round("eur_litre", 6).alias("eur_litre"))
+                    F.round(F.col("eur_bbl") + 1e-9, 5).alias("eur_bbl"), F.round("eur_litre", 6).alias("eur_litre"))
 
 
 @query("interval_mean", LAG_PAIRS.split("j AS")[0].rstrip().rstrip(",") + """, n AS (SELECT w.obs_start, COUNT(c.value) AS n_days,

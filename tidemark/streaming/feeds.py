@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators import versioned as V
+from ..operators.similarity import cluster_batch
 from ..session import scratch_path
 
 
@@ -65,6 +66,27 @@ def message_counts(rows: DataFrame, at: str) -> DataFrame:
     return rows.groupBy().agg(F.count("*").alias("n_messages"), F.max(at).alias("last_message_at"))
 
 
+def cluster_stream(rows: DataFrame, id_col: str, at: str, root: str, window_hours: int = 72, threshold: float = 0.6) -> DataFrame:
+    """Cluster headlines as they arrive; rows carry ``tokens``. Each batch appends its own part of the table."""
+    spark = rows.sparkSession
+    schema = rows.schema
+    ddl = schema.add("cluster_id", schema[id_col].dataType)
+
+    def part(n: int) -> str:
+        return f"{root}/clusters/batch={n}"
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        before = session.createDataFrame([], ddl)
+        if batch_id:
+            before = session.read.schema(ddl).parquet(*[part(n) for n in range(batch_id)])
+        cluster_batch(before, batch, id_col, at, "tokens", window_hours, threshold).select(*ddl.names).write.mode("overwrite").parquet(part(batch_id))
+
+    q = rows.writeStream.foreachBatch(step).option("checkpointLocation", root + "/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(ddl).parquet(f"{root}/clusters/*")
+
+
 def merge_stream(rows: DataFrame, seen_at: str, root: str, prepare: Callable[[DataFrame], DataFrame] | None = None,
                  on_change: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
     """Feed a stream into a versioned observation table.
