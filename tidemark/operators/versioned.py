@@ -79,7 +79,8 @@ def merge_observations(current: DataFrame, batch: DataFrame, retrieved_at: Colum
 def versions_from_batches(batches: DataFrame, seen_at: str, key: Sequence[str] = tuple(KEY)) -> DataFrame:
     """Full revision history of many batches at once (a backfill): one shuffle instead of one per batch.
 
-    Rows repeating the value and status of the row before them are no-ops.
+    Rows repeating the value and status of the row before them are no-ops. A batch states a key at most once
+    (see duplicate_keys), so a key has no more rows here than there were runs.
     """
     key = list(key)
     d = normalise_batch(batches)

@@ -11,6 +11,7 @@ from ..config import (
 )
 from ..functions.numbers import burn_ratio
 from ..operators.spatial import near_any, thin_by_distance
+from ..operators.timeline import with_previous
 
 S1_KEYS = ["relative_orbit", "orbit_direction", "instrument_mode", "polarisation"]
 SNAPSHOT_UNIT = "candidate vessels present in one radar snapshot (count)"
@@ -32,7 +33,8 @@ def coverage_summary(scenes: DataFrame, scene_aoi: DataFrame, min_fraction: floa
     k = ["aoi_id", "mission"]
     j = scenes_for(scenes, scene_aoi)
     usable = F.coalesce(F.col("intersection_fraction"), F.lit(0.0)) >= min_fraction
-    hours = (F.unix_micros("published_at") - F.unix_micros("acquisition_end")) / 3.6e9
+    # Whole seconds: the exact median then keeps few distinct values however many scenes there are.
+    hours = (F.unix_timestamp("published_at") - F.unix_timestamp("acquisition_end")) / 3600
     base = j.groupBy(*k).agg(
         F.count("*").alias("n_scenes"), F.count_if(usable).alias("n_usable"),
         F.min("acquisition_start").alias("first_acquisition"), F.max("acquisition_start").alias("last_acquisition"),
@@ -79,8 +81,10 @@ def comparable_pairs(pairs: DataFrame, keys: Sequence[str] = tuple(S1_KEYS), min
 def consecutive_pairs(snapshots: DataFrame) -> DataFrame:
     """Each acquisition of an area with the one before it: what a before/after comparison asks for."""
     names = [c for c in snapshots.columns if c != "aoi_id"]
-    w = Window.partitionBy("aoi_id").orderBy("acquisition_start", "product_id")
-    return snapshots.select("aoi_id", F.struct(*names).alias("b"), F.lag(F.struct(*names)).over(w).alias("a")).where("a IS NOT NULL")
+    d = with_previous(snapshots, ["aoi_id"], "acquisition_start", ["product_id"],
+                      [c for c in names if c != "acquisition_start"], bucket_seconds=604_800, name="_prev")
+    a = F.struct(*[F.col("_prev")[c].alias(c) for c in names])
+    return d.where("_prev IS NOT NULL").select("aoi_id", F.struct(*names).alias("b"), a.alias("a"))
 
 
 def snapshot_differences(counts: DataFrame, scenes: DataFrame, scene_aoi: DataFrame) -> DataFrame:

@@ -101,7 +101,8 @@ def label_events(events: DataFrame, site_det: DataFrame, cfg: Mapping = THERMAL,
         "_counts": F.collect_list("n").over(past), "_frps": F.collect_list("frp").over(past),
         "_first": F.min(F.when(F.col("n").isNotNull(), F.col("day"))).over(past),
         "_last": F.max(F.when(F.col("n").isNotNull(), F.col("day"))).over(past)}).where("_asked").drop("_asked", "n", "frp")
-    # Detections of the cut's own day before the cut.
+    # Detections of the cut's own day before the cut. Sessions lie a gap apart, so a day has at most
+    # 86,400 / gap cuts; the products are counted in place by partial aggregation.
     partial = (d.select(*k, "day", F.col(at).alias("_t"), "frp").join(ev.select(*k, "day", "session_no", "_cut"), k + ["day"])
                .where(F.col("_t") < F.col("_cut")).groupBy(*k, "session_no")
                .agg(F.count("*").alias("_pn"), F.max("frp").alias("_pf")))

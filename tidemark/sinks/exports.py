@@ -54,8 +54,10 @@ def method_note(export: DataFrame, title: str, baseline: tuple[str, str] | None
     """One text row: series, dates, baseline, at most twenty file hashes and how many more there are."""
     names = F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("`"), F.col("series_id"), F.lit("` — "), F.col("series_name"),
                                                              F.lit(" ["), F.col("unit"), F.lit("]")))), "; ")
-    hashes = F.array_sort(F.collect_set(F.substring("raw_sha256", 1, 16)))
-    g = export.agg(names.alias("n"), F.min("obs_end").alias("a"), F.max("obs_end").alias("b"), F.max("retrieved_at").alias("r"), hashes.alias("h"))
+    first = export.where("raw_sha256 IS NOT NULL").select(F.substring("raw_sha256", 1, 16).alias("x")).distinct().orderBy("x").limit(21)
+    hashes = first.agg(F.array_sort(F.collect_list("x"))).scalar()
+    g = export.agg(names.alias("n"), F.min("obs_end").alias("a"), F.max("obs_end").alias("b"), F.max("retrieved_at").alias("r"))
+    g = g.withColumn("h", hashes)
     lines = [F.lit(f"# {title}")]
     if synthetic:
         lines.append(F.lit("**SYNTHETIC DEMO DATA — NOT LIVE.**"))
