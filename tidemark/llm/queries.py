@@ -1,7 +1,7 @@
 """The queries of this subpackage, and their SQL where SQL can say the same."""
 from __future__ import annotations
 
-from . import bpe, licences, mixing, token_files
+from . import bpe, jaccard, licences, mixing, token_files
 
-QUERIES = {f.__name__: f for f in (token_files.op3_token_files, mixing.op6_source_mix, licences.op7_licence_scan, bpe.op9_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (jaccard.op1_ngram_jaccard, token_files.op3_token_files, mixing.op6_source_mix, licences.op7_licence_scan, bpe.op9_bpe_round_trip)}
 SQL = {"op7_licence_scan": licences.scan_sql()}
