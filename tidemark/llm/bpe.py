@@ -31,6 +31,11 @@ def _unpack(body: bytes):
     return pickle.loads(zstandard.ZstdDecompressor().decompress(body))
 
 
+def _planes(x: np.ndarray) -> np.ndarray:
+    """Bytes of like weight side by side: the upper ones are nearly all alike and compress to nothing."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+
+
 def _splitter(buckets: int, spec: str):
     """Per chunk of documents: one row with the words' local numbers by position, one row per bucket with its words."""
     shift = U64(64) - U64(max(1, (buckets - 1).bit_length()))
@@ -43,11 +48,19 @@ def _splitter(buckets: int, spec: str):
             words[np.searchsorted(u, h)] = w
         numbers = np.concatenate([np.searchsorted(u, p[0])[p[2]] for p in parts]).astype(np.uint32)
         del inverse
+        # Frequent words get small numbers, which pack into little more than a byte each; words met once keep hash order.
+        often = np.bincount(numbers, minlength=len(u))
+        common = np.flatnonzero(often > 1)
+        common = common[np.argsort(-often[common], kind="stable")]
+        rank = np.empty(len(u), np.uint32)
+        rank[common] = np.arange(len(common))
+        rank[often <= 1] = np.arange(len(common), len(u))
+        numbers = rank[numbers]
         sizes = np.concatenate([p[3] for p in parts])
         bucket = (u >> shift).astype(np.int64)
         name = hashlib.blake2b(repr((first, len(docs), len(numbers), int(u.sum(dtype=U64)) if len(u) else 0, docs[:3])).encode(), digest_size=12).hexdigest()
         edges = np.flatnonzero(np.diff(bucket, prepend=-1))
-        rows = [(-1 - int(name[:12], 16), name, 0, _pack(np.array(docs, object), sizes, numbers, bucket[edges], np.append(edges, len(u))))]
+        rows = [(-1 - int(name[:12], 16), name, 0, _pack(np.array(docs, object), sizes, _planes(numbers), bucket[edges], common.astype(np.uint32)))]
         for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(u)]):
             text = "".join(words[a:b])
             rows.append((int(bucket[a]), name, 1, _pack(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint32 if text and max(text) > "￿" else np.uint16),
@@ -114,7 +127,8 @@ def _join_chunk(spec: str, finish):
     """Ids of a chunk's words meet the numbers of its documents; ``finish`` makes rows of them, document by document."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         head = frame[frame["kind"] == 0]["body"].iloc[0]
-        docs, sizes, numbers, buckets, edges = _unpack(head)
+        docs, sizes, planes, buckets, common = _unpack(head)
+        numbers = np.ascontiguousarray(planes.T).view("<u4").ravel()
         flats, counts = [], []
         by = dict(zip(frame[frame["kind"] == 1]["bucket"], frame[frame["kind"] == 1]["body"]))
         for b in buckets.tolist():
@@ -124,6 +138,10 @@ def _join_chunk(spec: str, finish):
         flat = np.concatenate(flats) if flats else np.empty(0, pieces_of(spec).width)
         n = np.concatenate(counts) if counts else np.empty(0, np.int64)
         starts = np.cumsum(n) - n
+        once = np.ones(len(n), bool)
+        once[common] = False
+        order = np.concatenate((common.astype(np.int64), np.flatnonzero(once)))
+        starts, n = starts[order], n[order]
         ends = np.cumsum(sizes)
         out, step, a = [], 200_000, 0
         while a < len(docs):                                    # a run of documents with about ``step`` words
