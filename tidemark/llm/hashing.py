@@ -69,3 +69,19 @@ def word_hashes(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.nd
     offsets = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw])))
     letters = (_LOWERED if lower else _BYTES)[data]
     return hash_runs(letters, starts, ends), np.searchsorted(starts, offsets), (data, starts, ends)
+
+
+_NO_LETTER = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def letter_words(texts: list[str], prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of words without signs, one column for the word and one for each prefix length in bytes; bounds per text)."""
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], _NO_LETTER[data])).view(np.int8)))
+    starts, ends = edge[0::2], edge[1::2]
+    letters = _LOWERED[data]
+    columns = [hash_runs(letters, starts, ends)]
+    columns += [hash_runs(letters, starts, np.minimum(ends, starts + p)) ^ U64(p) for p in prefixes]
+    offsets = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw])))
+    return np.stack(columns, 1) if len(starts) else np.empty((0, 1 + len(prefixes)), U64), np.searchsorted(starts, offsets)
