@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_size, table, text_slices, whole_text
+from .common import byte_size, frame as rows_of, table, text_slices, whole_text
 from .hashing import U64
 from .pretokens import pieces_of, split
 from .token_files import tokenizer_spec
@@ -119,7 +119,7 @@ def _encode_bucket(spec: str):
             ends = np.cumsum(n)
             pick = np.repeat(starts[at] - (ends - n), n) + np.arange(int(n.sum()))
             bodies.append(_pack(flat[pick], n.astype(np.uint16 if n.max(initial=0) < 65536 else np.uint32)))
-        return pd.DataFrame({"chunk": words["chunk"].values, "kind": 1, "bucket": words["bucket"].values, "body": bodies})
+        return rows_of(chunk=words["chunk"].tolist(), kind=[1] * len(bodies), bucket=words["bucket"].tolist(), body=bodies)
     return run
 
 
@@ -153,7 +153,7 @@ def _join_chunk(spec: str, finish):
             cut = np.concatenate(([0], stop))[np.concatenate(([0], ends[a:b] - (ends[a - 1] if a else 0)))]
             out += [finish(docs[i], ids[x:y]) for i, x, y in zip(range(a, b), cut[:-1].tolist(), cut[1:].tolist())]
             a = b
-        return pd.DataFrame(out)
+        return pd.DataFrame(out, dtype=object)
     return run
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def frame(**columns) -> pd.DataFrame:
+    """A pandas frame of plain objects, whatever pandas would infer; Arrow casts them to the declared schema."""
+    return pd.DataFrame({k: pd.Series(list(v), dtype=object) for k, v in columns.items()})
+
+
 def cut(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_size, stored, table, text_slices, whole_text
+from .common import byte_size, frame as rows_of, stored, table, text_slices, whole_text
 from .graph import components, forest
 from .hashing import U64, mix, word_hashes
 
@@ -114,7 +114,7 @@ def _shared(bits: int):
             if len(hit):
                 out.append((chunk, 1, keys[a:a + n][hit].tobytes(), who.tobytes() + rank.tobytes()))
             a += n
-        return pd.DataFrame(out, columns=["chunk", "kind", "body", "more"])
+        return rows_of(**dict(zip(("chunk", "kind", "body", "more"), zip(*out)))) if out else frame.head(0)[["chunk", "kind", "body", "more"]]
     return run
 
 
@@ -140,7 +140,7 @@ def _assemble(percent: int):
         keys, ends = keys[order].view(np.int64), np.cumsum(np.bincount(who, minlength=len(n)))
         lists = [keys[e - c:e] if ok else None for e, c, ok in zip(ends.tolist(), np.where(alive, found, 0).tolist(), alive.tolist())]
         mark = [f"{a:016x}{b:016x}" if k else None for a, b, k in zip(head["a"].to_pylist(), head["b"].to_pylist(), n.tolist())]
-        return pd.DataFrame({"doc_id": pd.array(head["doc_id"].to_pylist(), "Int64"), "n": n, "mark": mark, "keys": lists})
+        return rows_of(doc_id=head["doc_id"].to_pylist(), n=n.tolist(), mark=mark, keys=lists)
     return run
 
 
@@ -203,8 +203,9 @@ def _product(percent: int):
         tree = forest(x, y)
         node, mark = frame["node"].to_numpy(), frame["mark"].to_numpy()
         got = np.flatnonzero(links)
-        return pd.DataFrame({"mark": [*mark[got], *[None] * len(tree)], "links": [*links[got].tolist(), *[0] * len(tree)],
-                             "a": pd.array([*[None] * len(got), *node[x[tree]].tolist()], "Int64"), "b": pd.array([*[None] * len(got), *node[y[tree]].tolist()], "Int64")})
+        none = [None] * len(got)
+        return rows_of(mark=[*mark[got].tolist(), *[None] * len(tree)], links=[*links[got].tolist(), *[0] * len(tree)],
+                       a=[*none, *node[x[tree]].tolist()], b=[*none, *node[y[tree]].tolist()])
     return run
 
 
