@@ -145,9 +145,18 @@ def test_passthrough_recovers_asymmetry(spark):
     d = spark.createDataFrame(rows, "product string, period string, obs_start date, retail double, crude double")
     got = {r.period: r for r in asymmetric_passthrough(d).collect()}
     r = got["all"]
-    assert r.speed_p_value < 0.01 and r.p_value > 0.05 and "rises passed on faster" in r.interpretation
+    assert r.first_week.p < 0.01 and r.long_run.p > 0.05 and "rises passed on faster" in r.interpretation
     assert r.cum_up[0] == pytest.approx(0.8, abs=0.05) and r.cum_down[0] == pytest.approx(0.3, abs=0.05) and r.cum_down[2] == pytest.approx(0.8, abs=0.05)
     assert got["short"].insufficient and got["short"].n_weeks == 20
+    dp, dc = np.diff(p), np.diff(c)
+    y = dp[4:]
+    x = np.column_stack([np.ones(len(y)), *[np.clip(dc[4 - k:len(dc) - k], 0, None) for k in range(5)], *[np.clip(dc[4 - k:len(dc) - k], None, 0) for k in range(5)], dp[3:-1]])
+    b = np.linalg.lstsq(x, y, rcond=None)[0]
+    u, m = x * (y - x @ b)[:, None], round(4 * (len(y) / 100) ** (2 / 9))
+    s = sum((1 - abs(k) / (m + 1)) * (u[max(0, k):len(u) + min(0, k)].T @ u[max(0, -k):len(u) - max(0, k)]) for k in range(-m, m + 1))
+    a = np.linalg.inv(x.T @ x)
+    t = np.array([0, 1, 0, 0, 0, 0, -1, 0, 0, 0, 0, 0.0])
+    assert r.first_week.gap == pytest.approx(t @ b, abs=1e-3) and r.first_week.error == pytest.approx(np.sqrt(t @ a @ s @ a @ t), abs=1e-3) and r.n_weeks == len(y)
 
 
 def test_backtest_counts_only_evaluated(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from .. import bindings as B
 from ..config import FUEL_LAG, INVENTORY, PRICE_DAILY, PRICE_WEEKLY, SHIPPING
 from ..operators.findings import alert_episodes, latest_of_episode
-from ..operators.regress import asymmetric_passthrough, lag_design, lag_findings, lag_residuals
+from ..operators.regress import lag_design, lag_findings, lag_residuals, passthrough_periods
 from ..plans import rules
 from ..plans.derived import aligned_crude, euro_crude
 from ..plans.digest import rank_alerts
@@ -185,9 +185,7 @@ def lag_model_residual(spark, folder):
 @query("asymmetric_passthrough")
 def asymmetric_passthrough_query(spark, folder):
     p = _lag_pairs(spark, folder).select(F.col("series_id").alias("product"), "obs_start", F.col("value").alias("retail"), "crude")
-    periods = p.withColumn("period", F.explode(F.array(
-        F.lit("whole"), F.when(F.col("obs_start") >= "2001-06-01", F.lit("late"))))).where("period IS NOT NULL")
-    return asymmetric_passthrough(periods, 4)
+    return passthrough_periods(p, {"whole": (None, None, 4), "late": ("2001-06-01", None, 2)})
 
 
 @query("asof_convert", f"""WITH c AS ({DAILY_CRUDE}), f AS (SELECT CAST(l_shipdate AS DATE) AS fx_date,
