@@ -16,7 +16,7 @@ from .hashing import U64
 from .pretokens import pieces_of, split
 from .token_files import tokenizer_spec
 
-CHUNK_CHARS = 24_000_000        # documents whose words share one local numbering
+CHUNK_CHARS = 32_000_000        # documents whose words share one local numbering
 BUCKET_CHARS = 8_000_000        # text per bucket of the distinct-word table
 _ROWS = "bucket long, chunk string, kind int, body binary"
 
@@ -36,11 +36,11 @@ def _planes(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
 
 
-def _splitter(buckets: int, spec: str):
-    """Per chunk of documents: one row with the words' local numbers by position, one row per bucket with its words."""
+def _splitter(buckets: int, spec: str, numbered: bool):
+    """Per chunk of documents one row with the words' local numbers by position, or one row per bucket with its words."""
     shift = U64(64) - U64(max(1, (buckets - 1).bit_length()))
 
-    def chunk(first, docs, parts, specials):
+    def chunk(docs, parts):
         hashes = np.concatenate([p[0] for p in parts])
         u, inverse = np.unique(hashes, return_inverse=True)
         words = np.empty(len(u), object)
@@ -58,9 +58,11 @@ def _splitter(buckets: int, spec: str):
         numbers = rank[numbers]
         sizes = np.concatenate([p[3] for p in parts])
         bucket = (u >> shift).astype(np.int64)
-        name = hashlib.blake2b(repr((first, len(docs), len(numbers), int(u.sum(dtype=U64)) if len(u) else 0, docs[:3])).encode(), digest_size=12).hexdigest()
+        name = hashlib.blake2b(repr((len(docs), len(numbers), int(u.sum(dtype=U64)), docs)).encode(), digest_size=12).hexdigest()
         edges = np.flatnonzero(np.diff(bucket, prepend=-1))
-        rows = [(-1 - int(name[:12], 16), name, 0, _pack(np.array(docs, object), sizes, _planes(numbers), bucket[edges], common.astype(np.uint32)))]
+        if numbered:
+            return [(-1, name, 0, _pack(np.array(docs, object), sizes, _planes(numbers), bucket[edges], common.astype(np.uint32)))]
+        rows = []
         for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(u)]):
             text = "".join(words[a:b])
             rows.append((int(bucket[a]), name, 1, _pack(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint32 if text and max(text) > "￿" else np.uint16),
@@ -75,8 +77,6 @@ def _splitter(buckets: int, spec: str):
             for r in rows:
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(r, (pa.int64(), pa.string(), pa.int32(), pa.binary()))], names=["bucket", "chunk", "kind", "body"])
 
-        from pyspark import TaskContext
-        part, k = TaskContext.get().partitionId(), 0
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in text_slices(texts):
@@ -88,10 +88,10 @@ def _splitter(buckets: int, spec: str):
                 docs += keys[a:b]
                 chars += len(joined)
                 if chars >= CHUNK_CHARS:
-                    yield from out(chunk((part, k), docs, parts, specials))
-                    docs, parts, chars, k = [], [], 0, k + 1
+                    yield from out(chunk(docs, parts))
+                    docs, parts, chars = [], [], 0
         if docs:
-            yield from out(chunk((part, k), docs, parts, specials))
+            yield from out(chunk(docs, parts))
     return run
 
 
@@ -104,9 +104,7 @@ def _words(body: bytes) -> list[str]:
 
 def _encode_bucket(spec: str):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        words = frame[frame["kind"] == 1]
-        if not len(words):
-            return frame[["chunk", "kind", "bucket", "body"]]
+        words = frame
         lists = [_words(b) for b in words["body"]]
         distinct = list(dict.fromkeys(w for x in lists for w in x))
         flat, counts = pieces_of(spec).encode(distinct)
@@ -125,18 +123,15 @@ def _encode_bucket(spec: str):
 
 def _join_chunk(spec: str, finish):
     """Ids of a chunk's words meet the numbers of its documents; ``finish`` makes rows of them, document by document."""
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        head = frame[frame["kind"] == 0]["body"].iloc[0]
+    def one(head: bytes, by: dict) -> list:
         docs, sizes, planes, buckets, common = _unpack(head)
         numbers = np.ascontiguousarray(planes.T).view("<u4").ravel()
-        flats, counts = [], []
-        by = dict(zip(frame[frame["kind"] == 1]["bucket"], frame[frame["kind"] == 1]["body"]))
+        flats, counts = [np.empty(0, pieces_of(spec).width)], [np.empty(0, np.int64)]
         for b in buckets.tolist():
-            flat, n = _unpack(by.pop(b))
+            flat, n = _unpack(by[b])
             flats.append(flat)
             counts.append(n.astype(np.int64))
-        flat = np.concatenate(flats) if flats else np.empty(0, pieces_of(spec).width)
-        n = np.concatenate(counts) if counts else np.empty(0, np.int64)
+        flat, n = np.concatenate(flats), np.concatenate(counts)
         starts = np.cumsum(n) - n
         once = np.ones(len(n), bool)
         once[common] = False
@@ -145,15 +140,24 @@ def _join_chunk(spec: str, finish):
         ends = np.cumsum(sizes)
         out, step, a = [], 200_000, 0
         while a < len(docs):                                    # a run of documents with about ``step`` words
-            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + step, "right")))
-            w = numbers[(ends[a - 1] if a else 0):ends[b - 1]]
+            base = int(ends[a - 1]) if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, base + step, "right")))
+            w = numbers[base:ends[b - 1]]
             c = n[w]
             stop = np.cumsum(c)
             ids = flat[np.repeat(starts[w] - (stop - c), c) + np.arange(int(c.sum()))]
-            cut = np.concatenate(([0], stop))[np.concatenate(([0], ends[a:b] - (ends[a - 1] if a else 0)))]
+            cut = np.concatenate(([0], stop))[np.concatenate(([0], ends[a:b] - base))]
             out += [finish(docs[i], ids[x:y]) for i, x, y in zip(range(a, b), cut[:-1].tolist(), cut[1:].tolist())]
             a = b
-        return pd.DataFrame(out, dtype=object)
+        return out
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        heads = frame[frame["kind"] == 0]["body"]
+        words = frame[frame["kind"] == 1]
+        if not len(heads):
+            raise ValueError("the documents were read in another order the second time; store them before encoding")
+        by = dict(zip(words["bucket"].tolist(), words["body"]))
+        return pd.DataFrame([r for h in heads for r in one(h, by)], dtype=object)     # equal chunks, if any, share their words
     return run
 
 
@@ -164,13 +168,17 @@ def encode(docs: DataFrame, spec: str, finish, schema: str) -> DataFrame:
     holds its share of the corpus's distinct-word table and encodes each of its words once. 3. The ids travel back to the
     chunk and meet the documents by position. Texts are not shuffled, only words, numbers and ids, in compressed blocks; a
     hot word is one entry per chunk however often it occurs.
+
+    Documents are split twice, once for their words and once for their numbers, which is cheaper than moving the numbers
+    twice. ``docs`` must therefore read the same again, as files do; the chunk's name holds a digest, and a difference fails.
     """
     rows, chars = byte_size(docs)
     buckets = max(8, -(-chars // BUCKET_CHARS))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    words = src.mapInArrow(_splitter(buckets, spec), _ROWS)
+    words = src.mapInArrow(_splitter(buckets, spec, False), _ROWS)
+    numbers = src.mapInArrow(_splitter(buckets, spec, True), _ROWS).select("chunk", "kind", "bucket", "body")
     ids = words.groupBy("bucket").applyInPandas(_encode_bucket(spec), "chunk string, kind int, bucket long, body binary")
-    return ids.groupBy("chunk").applyInPandas(_join_chunk(spec, finish), schema)
+    return ids.unionByName(numbers).groupBy("chunk").applyInPandas(_join_chunk(spec, finish), schema)
 
 
 def decode(tokens: DataFrame, pieces: DataFrame, key: str = "doc_id", ids: str = "ids") -> DataFrame:
