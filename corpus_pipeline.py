@@ -1,7 +1,7 @@
 """The corpus pipeline: toxicity, n-gram Jaccard join, personal data, source mix, BPE. Each stage reads what the last one wrote."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, jaccard, mixing, personal, toxicity
@@ -19,12 +19,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one whose doc_id names the group. Of rows with one doc_id and one text
-    one stays; rows with a null doc_id all stay."""
+    """One document of each group of near copies: the one whose doc_id names the group. Of rows with one doc_id the one with
+    the smallest text stays; rows with a null doc_id all stay."""
     found = jaccard.jaccard_components(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     losers = found.where("component_id != doc_id").select("doc_id")
     kept = docs.join(losers, "doc_id", "left_anti")
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL")).select(*docs.columns)
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    one = kept.where("doc_id IS NOT NULL").withColumn("__first", first).where("__first = 1").drop("__first")
+    return one.unionByName(kept.where("doc_id IS NULL")).select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

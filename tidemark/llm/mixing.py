@@ -79,9 +79,9 @@ def mix_plan(docs: DataFrame, weight: Column | None = None, seed: int = 7) -> Da
 
 def mix(docs: DataFrame, weight: Column | None = None, seed: int = 7) -> DataFrame:
     """The mixed documents: each row as often as the mix takes it. Documents without words are in no mix."""
-    plan = mix_plan(docs, weight, seed).groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    kept = docs.join(plan.withColumnRenamed("doc_id", "doc_id_"), F.expr("doc_id <=> doc_id_")).where(F.regexp_count(whole_text(), F.lit(SPACE)) > 0)
-    return kept.withColumn("copy_", F.explode(F.expr("array_repeat(0, int(copies))"))).select(*docs.columns)
+    plan = mix_plan(docs, weight, seed).groupBy("doc_id").agg(F.max("copies").cast("int").alias("__copies")).withColumnRenamed("doc_id", "__doc_id")
+    kept = docs.join(plan, F.expr("doc_id <=> __doc_id")).where(F.regexp_count(whole_text(), F.lit(SPACE)) > 0)
+    return kept.withColumn("__copy", F.explode(F.expr("array_repeat(0, __copies)"))).select(*docs.columns)
 
 
 def op6_source_mix(spark, sf_dir):
