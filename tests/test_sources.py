@@ -235,3 +235,40 @@ def test_small_parts(spark):
     d = spark.range(1).select(S.scrub(F.lit("key=abc"), "abc").alias("t"), S.engine_unit(F.lit("KBD")).alias("u"),
                               S.scan_from("refresh", F.lit("2026-03-31").cast("date"), "2015-01-01").alias("a"), S.scan_from("backfill", F.lit("2026-03-31").cast("date"), "2015-01-01").alias("b")).first()
     assert (d.t, d.u, str(d.a), str(d.b)) == ("key=<redacted>", "thousand barrels per day", "2026-03-01", "2015-01-01")
+
+
+def test_addresses_and_references(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.functions.text import canonical_url, clean_text
+    d = spark.createDataFrame([("http://www.A.de/x/?b=2&a-b=1&a=2&q=a%20b+c&utm_x=1&e=&z=%zz&u=öl~*", "It&#8217;s &#x27;ok&#x27; caf&eacute; &amp;lt; AT&T &foo; <b>x</b>")], "u string, t string")
+    r = d.select(canonical_url(F.col("u")).alias("u"), clean_text(F.col("t")).alias("t")).first()
+    assert r.u == "https://a.de/x?a=2&a-b=1&b=2&q=a+b+c&u=%C3%B6l~%2A&z=%25zz"
+    assert r.t == "It’s 'ok' café &lt; AT&T &foo; x"
+
+
+def test_atom_entries(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidemark.sources.feeds import rss_items
+    (tmp_path / "a.xml").write_text("""<feed xmlns="http://www.w3.org/2005/Atom"><title>f</title>
+      <entry><title>One</title><link rel="self" href="https://a.de/self"/><link rel="alternate" href="https://a.de/1"/><updated>2024-03-01T10:00:00Z</updated><summary>s</summary></entry>
+      <entry><title>Two</title><link href="https://a.de/2"/><published>2024-03-02T10:00:00Z</published></entry><entry><title>None</title></entry></feed>""")
+    got = {r.title: r for r in rss_items(spark, str(tmp_path / "a.xml"), "p", "en", "f", F.current_timestamp(), "entry").collect()}
+    assert {t: r.canonical_url for t, r in got.items()} == {"One": "https://a.de/1", "Two": "https://a.de/2"}
+    assert got["One"].published_at_source == "feed:updated" and got["Two"].published_at_source == "feed:published"
+
+
+def test_jsonstat_lists_and_errors(spark):
+    import json
+
+    import pytest
+
+    from tidemark.sources.jsonstat import decode_jsonstat
+    listed = {"id": ["a", "b"], "size": [2, 2], "dimension": {"a": {"category": {"index": ["x", "y"]}}, "b": {"category": {"index": {"p": 0, "q": 1}}}}, "value": [1, None, 3, 4], "status": {"1": "c"}}
+    named = listed | {"value": {"0": 1, "2": 3, "3": 4}}
+    for doc in (listed, named):
+        got = {(r.a, r.b): (r.value, r.status) for r in decode_jsonstat(spark.createDataFrame([(json.dumps(doc),)], "t string"), "t", ["a", "b"]).collect()}
+        assert got == {("x", "p"): (1.0, None), ("x", "q"): (None, "c"), ("y", "p"): (3.0, None), ("y", "q"): (4.0, None)}
+    with pytest.raises(Exception, match="reports an error"):
+        decode_jsonstat(spark.createDataFrame([(json.dumps(named | {"error": "no such code"}),)], "t string"), "t", ["a", "b"]).collect()

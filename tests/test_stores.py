@@ -145,3 +145,44 @@ def test_version_id_hashes_key_parts(spark):
     assert r.h == hashlib.sha1(b"s||1").hexdigest()[:20]
     with pytest.raises(Exception):
         V.merge_observations(spark.createDataFrame([], "a int"), batch(spark, [1.0]), at())
+
+
+def test_late_rows_take_their_place(spark):
+    """Rows of several batches in any order give the history that rows in time would have given."""
+    from datetime import date, datetime
+
+    from tidemark.operators.versioned import COLUMNS, absorb_batches
+    seen = "series_id string, obs_start date, value double, seen timestamp"
+    rows = [("s", date(2024, 1, 1), v, datetime(2024, 2, d)) for v, d in ((1.0, 1), (2.0, 5), (2.0, 6), (3.0, 9))] + [("t", date(2024, 1, 1), 7.0, datetime(2024, 2, 3))]
+    types = {"obs_start": "date", "obs_end": "date", "value": "double", "source_published_at": "timestamp", "first_seen_at": "timestamp", "retrieved_at": "timestamp",
+             "revision_no": "int", "is_current": "boolean", "superseded_at": "timestamp"}
+    empty = spark.createDataFrame([], ", ".join(f"{c} {types.get(c, 'string')}" for c in COLUMNS))
+    at_once = absorb_batches(empty, spark.createDataFrame(rows, seen), "seen")
+    out = empty
+    for k in (3, 0, 4, 1, 2, 1):
+        out = spark.createDataFrame(absorb_batches(out, spark.createDataFrame([rows[k]], seen), "seen").collect(), empty.schema)
+    pick = ["series_id", "value", "revision_no", "first_seen_at", "superseded_at", "is_current"]
+    assert sorted(map(str, out.select(*pick).collect())) == sorted(map(str, at_once.select(*pick).collect())) and out.count() == 4
+
+
+def test_a_batch_with_a_key_twice_is_refused(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.versioned import COLUMNS, merge_observations
+    types = {"obs_start": "date", "obs_end": "date", "value": "double", "source_published_at": "timestamp", "first_seen_at": "timestamp", "retrieved_at": "timestamp",
+             "revision_no": "int", "is_current": "boolean", "superseded_at": "timestamp"}
+    empty = spark.createDataFrame([], ", ".join(f"{c} {types.get(c, 'string')}" for c in COLUMNS))
+    batch = spark.sql("SELECT * FROM VALUES ('s', DATE'2024-01-01', 1.0D), ('s', DATE'2024-01-01', 2.0D) AS t(series_id, obs_start, value)")
+    with pytest.raises(Exception, match="twice"):
+        merge_observations(empty, batch, F.current_timestamp())[0].collect()
+
+
+def test_a_cycle_of_links_is_an_error(spark):
+    import pytest
+
+    from tidemark.operators.findings import resolve_root
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(50)], "id long, parent long")
+    assert {r.root for r in resolve_root(chain, "id", "parent").collect()} == {0}
+    with pytest.raises(ValueError, match="cycle"):
+        resolve_root(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1)], "id long, parent long"), "id", "parent")

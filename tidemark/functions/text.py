@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import re
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -9,10 +10,8 @@ from pyspark.sql import functions as F
 from ..config import CAUSAL_PATTERNS, DIRECTION_WORDS, NUMBER_PATTERN, STOP_WORDS, TRACKING_PATTERN
 from .robust import let
 
-# Named entities that occur in feeds.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "),
-            ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&auml;", "ä"), ("&ouml;", "ö"), ("&uuml;", "ü"),
-            ("&Auml;", "Ä"), ("&Ouml;", "Ö"), ("&Uuml;", "Ü"), ("&szlig;", "ß"), ("&euro;", "€"), ("&amp;", "&")]
+# Named character references of HTML 4, and the apostrophe; the ampersand comes last so that nothing is unescaped twice.
+ENTITIES = [(f"&{n};", chr(c)) for n, c in sorted(name2codepoint.items()) if n != "amp"] + [("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&")]
 
 
 def short_hash(n: int, *parts: Column) -> Column:
@@ -21,8 +20,17 @@ def short_hash(n: int, *parts: Column) -> Column:
     return F.substring(F.sha1(F.concat_ws("|", *texts)), 1, n)
 
 
+def _decoded(part: Column) -> Column:
+    spaced = F.replace(part, F.lit("+"), F.lit(" "))
+    return F.coalesce(F.try_url_decode(part), spaced)           # a percent sign that starts no code stays
+
+
+def _encoded(part: Column) -> Column:
+    return F.replace(F.replace(F.url_encode(part), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def canonical_url(url: Column) -> Column:
-    """https, bare lower-case host, tracking and blank parameters dropped, the rest sorted."""
+    """https, bare lower-case host, tracking and blank parameters dropped, the rest decoded, sorted by name and value, encoded."""
     u = F.trim(url)
     host = F.lower(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     host = F.regexp_replace(host, r"^www\.", "")
@@ -31,18 +39,31 @@ def canonical_url(url: Column) -> Column:
     path = F.regexp_replace(F.regexp_replace(path, r"/amp/?$", ""), r"/+$", "")
     path = F.when(path == "", "/").otherwise(path)
     query = F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1)
-    pairs = F.filter(
-        F.split(query, "&"),
-        lambda kv: kv.rlike("^[^=]+=.+") & ~F.regexp(F.regexp_extract(kv, "^([^=]*)=", 1), F.lit(TRACKING_PATTERN)))
-    kept = F.array_join(F.array_sort(pairs), "&")
+    given = F.filter(F.split(query, "&"), lambda kv: kv.rlike("^[^=]*=."))
+    pairs = F.transform(given, lambda kv: F.struct(_decoded(F.regexp_extract(kv, "^([^=]*)=", 1)).alias("k"), _decoded(F.regexp_extract(kv, "^[^=]*=(.*)$", 1)).alias("v")))
+    pairs = F.array_sort(F.filter(pairs, lambda p: ~F.regexp(p["k"], F.lit(TRACKING_PATTERN))))
+    kept = F.array_join(F.transform(pairs, lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
     return F.concat(F.lit("https://"), host, path, F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept)))
 
 
-def clean_text(text: Column, limit: int | None = 300) -> Column:
-    """Tags and control characters out, entities in, blanks collapsed, length capped on request."""
-    s = F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", " ")
-    for name, char in ENTITIES:
-        s = F.replace(s, F.lit(name), F.lit(char))
+def unescape(text: Column) -> Column:
+    """Character references, numeric and named, as the characters they stand for; unknown names stay."""
+    names = F.create_map(*[F.lit(x) for name, char in ENTITIES for x in (name, char)])
+
+    def one(piece: Column) -> Column:
+        digits = F.regexp_extract(piece, "^&#[xX]?([0-9A-Fa-f]{1,7});$", 1)
+        code = F.when(piece.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("long")
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+        return F.when(piece.rlike("^&#(?:[xX][0-9A-Fa-f]{1,7}|[0-9]{1,7});$"), char).otherwise(F.coalesce(F.try_element_at(names, piece), piece))
+
+    pieces = F.regexp_extract_all(text, F.lit("(&#?[A-Za-z0-9]{1,32};|[^&]+|&)"), 1)
+    return F.when(text.contains("&"), F.array_join(F.transform(pieces, one), "")).otherwise(text)
+
+
+def clean_text(text: Column, limit: int | None = None) -> Column:
+    """Tags and control characters out, entities in, blanks collapsed; ``limit`` cuts what is stored."""
+    s = unescape(F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", " "))
     s = F.regexp_replace(s, "[\\x00-\\x08\\x0b-\\x1f\\x7f]", "")
     s = F.trim(F.regexp_replace(s, "[\\s\\u00a0]+", " "))
     return s if limit is None else F.substring(s, 1, limit)
@@ -132,7 +153,7 @@ def canonical_number(token: Column) -> Column:
     """Minus sign unified, blanks and leading plus dropped, negative zero made plain."""
     t = F.translate(F.translate(token, "\u2212", "-"), "\u202f ", "")
     t = F.regexp_replace(t, r"^\++", "")
-    return F.when(t.rlike(r"^-0[0.,]*$"), F.substring(t, 2, 1000000)).otherwise(t)
+    return F.when(t.rlike(r"^-0[0.,]*$"), t.substr(F.lit(2), F.length(t))).otherwise(t)
 
 
 def number_tokens(text: Column) -> Column:

@@ -66,14 +66,15 @@ def mark_unscreened(stored: DataFrame, screened: DataFrame, group: Column, now:
                             "status": F.when(gone, "not_screened").otherwise(F.col("status"))}).select(*stored.columns)
 
 
-def resolve_root(links: DataFrame, id_col: str, parent_col: str, max_rounds: int = 40) -> DataFrame:
+def resolve_root(links: DataFrame, id_col: str, parent_col: str) -> DataFrame:
     """Root of every id by pointer doubling: a chain of length n takes log2(n) joins.
 
     Each round is checkpointed, so lineage stays short and a lost executor costs one round.
-    A cycle ends at the round limit with its members unresolved.
+    A cycle never ends: after the rounds that the longest possible chain needs it is reported as an error.
     """
     cur = links.select(F.col(id_col), F.coalesce(parent_col, id_col).alias("root"))
-    for _ in range(max_rounds):
+    rounds = cur.count().bit_length() + 1
+    for _ in range(rounds + 1):
         hop = cur.select(F.col(id_col).alias("root"), F.col("root").alias("_next"))
         nxt = cur.join(hop, "root", "left").select(
             id_col, F.coalesce("_next", "root").alias("root"),
@@ -82,8 +83,8 @@ def resolve_root(links: DataFrame, id_col: str, parent_col: str, max_rounds: int
         moved = nxt.where("_moved").limit(1).count()
         cur = nxt.drop("_moved")
         if not moved:
-            break
-    return cur
+            return cur
+    raise ValueError(f"{parent_col} links form a cycle")
 
 
 def alert_episodes(findings: DataFrame, suppress_days: int = SUPPRESS_DAYS) -> DataFrame:

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,7 +33,7 @@ def near_any(points: DataFrame, key: str, sites: DataFrame, km: float, name: str
 
 
 def thin_by_distance(candidates: DataFrame, group: Sequence[str], key: str, rank: Column, km: float,
-                     blocks: Column, cell_deg: float = 0.01, max_rounds: int = 200) -> DataFrame:
+                     blocks: Column, cell_deg: float = 0.01) -> DataFrame:
     """Greedy thinning: walk candidates by falling rank, keep one unless a kept one lies nearer than ``km``.
 
     Rows where ``blocks`` is false (already rejected or masked) are kept and block nobody.
@@ -40,7 +41,8 @@ def thin_by_distance(candidates: DataFrame, group: Sequence[str], key: str, rank
     The walk is sequential by nature; the same result comes from rounds. In a round a candidate is
     certainly kept if no undecided one of higher rank sits in any cell its circle touches; everything
     near a newly kept one is dropped. Only the top candidate of a cell is compared, so a cell with any
-    number of candidates sends one row, and all pairs are never formed.
+    number of candidates sends one row, and all pairs are never formed. Every round decides at least the highest candidate
+    of each group, and rounds go on until none is undecided.
     """
     g = list(group)
     tagged = candidates.withColumns({
@@ -49,9 +51,9 @@ def thin_by_distance(candidates: DataFrame, group: Sequence[str], key: str, rank
     free = tagged.where("NOT _blocks").select(key)
     undecided = cut_lineage(tagged.where("_blocks").select(*g, key, "lon", "lat", "_cell", "_rank"))
     kept_parts = [free]
-    for _ in range(max_rounds):
-        if not undecided.limit(1).count():
-            break
+    while undecided.limit(1).count():
+        if len(kept_parts) > 20:                                # a long ridge takes many rounds; the plan stays small
+            kept_parts = [cut_lineage(reduce(DataFrame.unionByName, kept_parts))]
         tops = undecided.groupBy(*g, "_cell").agg(
             F.max("_rank").alias("_top"), F.max_by(F.struct("lon", "lat", key), "_rank").alias("_p"))
         looks = tops.select(*g, "_top", "_p", F.explode(cells_within(
@@ -66,9 +68,7 @@ def thin_by_distance(candidates: DataFrame, group: Sequence[str], key: str, rank
         near = haversine_km(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat")) < km
         gone = (undecided.join(reach, g + ["_cell"]).where(near | (F.col(key) == F.col("_key"))).select(key).distinct())
         undecided = cut_lineage(undecided.join(gone, key, "left_anti"))
-    kept = kept_parts[0]
-    for part in kept_parts[1:]:
-        kept = kept.unionByName(part)
+    kept = reduce(DataFrame.unionByName, kept_parts)
     return candidates.join(kept.withColumn("_kept", F.lit(True)), key, "left_semi")
 
 

@@ -46,7 +46,10 @@ def classify_batch(current: DataFrame, batch: DataFrame) -> DataFrame:
     cur = current.where("is_current").select(
         *KEY, F.col("value").alias("_v"), F.col("status").alias("_s"), F.col("revision_no").alias("_r"),
         F.col("version_id").alias("_id"))
-    joined = normalise_batch(batch).join(cur, KEY, "left")
+    rows = normalise_batch(batch).withColumn("_times", F.count(F.lit(1)).over(Window.partitionBy(*KEY)))
+    twice = F.raise_error(F.concat(F.lit("a batch states a key twice: "), F.concat_ws(" ", *KEY))).cast("double")
+    rows = rows.withColumn("value", F.when(F.col("_times") == 1, F.col("value")).otherwise(twice)).drop("_times")
+    joined = rows.join(cur, KEY, "left")
     unchanged = same_value(F.col("_v"), F.col("value")) & F.col("_s").eqNullSafe(F.col("status"))
     return joined.withColumn("action", F.when(F.col("_id").isNull(), "new").when(unchanged, "unchanged")
                              .otherwise("revised"))
@@ -98,29 +101,31 @@ def versions_from_batches(batches: DataFrame, seen_at: str, key: Sequence[str] =
 def absorb_batches(current: DataFrame, rows: DataFrame, seen_at: str) -> DataFrame:
     """Next version of the table after rows of any number of batches, each stamped with when it was seen.
 
-    What a stream needs: one micro-batch may hold several revisions of a key, repeats, or rows already
-    stored. Per key the current revision comes first, no-ops fall away, the rest are numbered on.
+    What a stream needs: one micro-batch may hold several revisions of a key, repeats, or rows already stored. Rows of a key
+    are laid in the order they were seen, each is compared with the last one kept, and no-ops fall away. A row seen before
+    the current revision takes its place in the history, as if it had come in time: only then are older revisions read.
     """
-    shown = ["series_id", "obs_start", "obs_end", "value", "status", "source_published_at", "raw_sha256", "attrs"]
-    base = current.where("is_current").select(*shown, F.col("first_seen_at").alias("_seen"), F.col("revision_no").alias("_rev"),
-                                              F.col("retrieved_at").alias("_ret"))
-    new = normalise_batch(rows).select(*shown, F.col(seen_at).alias("_seen"), F.lit(None).cast("int").alias("_rev"),
-                                       F.col(seen_at).alias("_ret"))
-    w = Window.partitionBy(*KEY).orderBy("_seen", F.col("_rev").isNull())
-    d = base.unionByName(new)
-    same = same_value(F.lag("value").over(w), F.col("value")) & F.lag("status").over(w).eqNullSafe(F.col("status"))
-    known = F.max("_rev").over(Window.partitionBy(*KEY))
-    # A row seen no later than the stored revision has been absorbed before.
-    stale = F.col("_rev").isNull() & (F.col("_seen") <= F.max(F.when(F.col("_rev").isNotNull(), F.col("_seen"))).over(
-        Window.partitionBy(*KEY)))
-    d = d.withColumns({"_known": known, "_stale": F.coalesce(stale, F.lit(False))}).where("NOT _stale")
-    d = d.withColumn("_same", F.coalesce(same, F.lit(False))).where(F.col("_rev").isNotNull() | ~F.col("_same"))
-    nxt = F.lead("_seen").over(w)
-    d = d.withColumns({"revision_no": (F.coalesce("_known", F.lit(1)) + F.row_number().over(w) - 1).cast("int"),
-                       "superseded_at": nxt, "is_current": nxt.isNull(), "first_seen_at": F.col("_seen"),
-                       "retrieved_at": F.col("_ret")})
-    d = d.withColumn("version_id", _version_id(F.col("revision_no"))).select(*COLUMNS)
-    return current.where("NOT is_current").select(*COLUMNS).unionByName(d)
+    shown = ["value", "status", "obs_end", "source_published_at", "raw_sha256", "attrs"]
+    stored = [F.col("first_seen_at").alias("_seen"), F.col("revision_no").alias("_rev"), F.col("retrieved_at").alias("_ret")]
+    new = normalise_batch(rows).select(*KEY, *shown, F.col(seen_at).alias("_seen"), F.lit(None).cast("int").alias("_rev"), F.col(seen_at).alias("_ret"))
+    live, history = current.where("is_current"), current.where("NOT is_current")
+    late = new.join(live.select(*KEY, F.col("first_seen_at").alias("_since")), KEY).where("_seen < _since").select(*KEY).distinct()
+    base = live.unionByName(history.join(late, KEY, "left_semi")).select(*KEY, *shown, *stored)
+    entry = F.struct("_seen", F.col("_rev").isNull().alias("_new"), *shown, "_rev", "_ret")
+    keys = base.unionByName(new).groupBy(*KEY).agg(F.coalesce(F.min("_rev"), F.lit(1)).alias("_first"), F.array_sort(F.collect_list(entry)).alias("_rows"))
+
+    def follow(kept: Column, row: Column) -> Column:
+        last = F.element_at(kept, -1)
+        repeat = (last["_seen"] == row["_seen"]) & row["_new"] & ~last["_new"]
+        same = same_value(last["value"], row["value"]) & last["status"].eqNullSafe(row["status"])
+        return F.when((F.size(kept) > 0) & (repeat | same), kept).otherwise(F.concat(kept, F.array(row)))
+
+    kept = keys.select(*KEY, "_first", F.aggregate("_rows", F.slice("_rows", 1, 0), follow).alias("_kept"))
+    d = kept.select(*KEY, "_first", "_kept", F.posexplode("_kept").alias("_at", "_r")).select(
+        *KEY, *[F.col(f"_r.{c}").alias(c) for c in shown], (F.col("_first") + F.col("_at")).cast("int").alias("revision_no"),
+        F.col("_r._seen").alias("first_seen_at"), F.col("_r._ret").alias("retrieved_at"), F.try_element_at("_kept", F.col("_at") + 2)["_seen"].alias("superseded_at"))
+    d = d.withColumn("is_current", F.col("superseded_at").isNull()).withColumn("version_id", _version_id(F.col("revision_no"))).select(*COLUMNS)
+    return history.join(late, KEY, "left_anti").select(*COLUMNS).unionByName(d)
 
 
 def observations(versions: DataFrame, as_of: Column | None = None, current_only: bool = True) -> DataFrame:

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,9 +37,11 @@ def measure(events: DataFrame, obs: DataFrame, series: DataFrame, findings: Data
     no_o = F.lit(None).cast("struct<obs_end:date,obs_start:date,value:double,version_id:string>")
     no_f = F.lit(None).cast("struct<fired:boolean,obs_end:date,rule_id:string,evaluation:string,method:string,"
                             "explanation:string,anomaly_id:string,baseline_median:double>")
-    for freq in ("daily", "weekly", "monthly"):
+    for freq in windows:
         before, after = windows[freq]["before_days"], windows[freq]["after_days"]
         pick = F.col("frequency") == freq
+        if freq == "daily":                                     # a frequency without a window of its own is looked at like a daily one
+            pick = F.coalesce(pick | ~F.col("frequency").isin(*windows), F.lit(True))
         axis = (ob.where(pick).select("series_id", F.col("obs_end").alias("day"), o.alias("o"), no_f.alias("f"),
                                       F.lit(False).alias("is_event"))
                 .unionByName(fd.where(pick).select("series_id", F.col("obs_end").alias("day"), no_o.alias("o"),
@@ -58,8 +61,8 @@ def measure(events: DataFrame, obs: DataFrame, series: DataFrame, findings: Data
             "_last": F.last("o", ignorenulls=True).over(whole), "ctx_n": F.count(v).over(context),
             "ctx_median": F.percentile(v, 0.5).over(context), "ctx_min": F.min(v).over(context),
             "ctx_max": F.max(v).over(context), "finding": F.max("f").over(both)}).where("is_event")
-        frames.append(d.withColumn("frequency", F.lit(freq)))
-    d = frames[0].unionByName(frames[1]).unionByName(frames[2])
+        frames.append(d.join(series.select("series_id", "frequency"), "series_id"))
+    d = reduce(DataFrame.unionByName, frames)
     cur = F.coalesce("_after", "_last")
     d = d.withColumns({"post_event": F.col("_after").isNotNull(), "_cur": cur,
                        "_prev": F.when(F.col("_after").isNotNull(), F.col("_before"))})

@@ -53,8 +53,10 @@ def claim_words(spark, folder):
 @query("canonical_urls", r"""WITH p AS (SELECT page_id, trim(url) AS u FROM pages), h AS (SELECT page_id, u,
    regexp_replace(regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]*@)?([^/?#:]*)', 2)), '^www\.', ''), '^(m|amp)\.', '') AS host,
    regexp_replace(regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/amp/?$', ''), '/+$', '') AS path,
-   list_sort(list_filter(string_split(regexp_extract(u, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: regexp_matches(x, '^[^=]+=.+')
-     AND NOT regexp_matches(regexp_extract(x, '^([^=]*)=', 1), '(?i)^(utm_|fbclid|gclid|mc_|ocid|cmpid|at_|xtor|wt_|ref$|sara_)'))) AS q FROM p)
+   list_transform(list_sort(list_filter(list_transform(list_filter(string_split(regexp_extract(u, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: regexp_matches(x, '^[^=]*=.')),
+     lambda x: {'k': url_decode(replace(regexp_extract(x, '^([^=]*)=', 1), '+', ' ')), 'v': url_decode(replace(regexp_extract(x, '^[^=]*=(.*)$', 1), '+', ' '))}),
+     lambda p: NOT regexp_matches(p.k, '(?i)^(utm_|fbclid|gclid|mc_|ocid|cmpid|at_|xtor|wt_|ref$|sara_)'))),
+     lambda p: replace(url_encode(p.k) || '=' || url_encode(p.v), '%20', '+')) AS q FROM p)
  SELECT page_id, 'https://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(q) = 0 THEN '' ELSE '?' || array_to_string(q, '&') END AS canonical FROM h""")
 def canonical_urls(spark, folder):
     return B.table(spark, folder, "pages").select("page_id", T.canonical_url(F.col("url")).alias("canonical"))
@@ -147,7 +149,7 @@ def note_number_check(spark, folder):
     d = B.table(spark, folder, "documents").select("doc_id", "text", "source")
     v = validate_notes(d, "text", None, ["source"])
     lead = "number not traceable to a calculation: "
-    bad = F.transform(F.filter("issues", lambda i: i.startswith(lead)), lambda i: F.substring(i, len(lead) + 1, 1_000_000))
+    bad = F.transform(F.filter("issues", lambda i: i.startswith(lead)), lambda i: i.substr(F.lit(len(lead) + 1), F.length(i)))
     return v.select("doc_id", F.size(bad).cast("bigint").alias("n_numbers"), F.array_join(bad, "|").alias("numbers"))
 
 

@@ -1,6 +1,7 @@
 """Session settings and the shared scratch folder."""
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,16 +26,17 @@ def local_session(app: str = "tidemark", cores: str = "*", shuffle_partitions: i
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by the cluster.
 
-    Only where nobody set ``spark.checkpoint.dir`` (tests, a laptop) a temporary
-    folder is used instead.
+    Only a local session (tests, a laptop) gets a temporary folder where ``spark.checkpoint.dir`` is unset; on a cluster that
+    is an error, because executors would not see the driver's folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(named)
-        spark.conf.set("spark.checkpoint.dir", named)
     elif spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return named

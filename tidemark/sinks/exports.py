@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.numbers import number_text, number_text_digits
-from ..functions.text import dash_slug
+from ..functions.text import dash_slug, short_hash
 from ..operators.guards import require_none, unit_mix_violations
 from ..plans.scenes import SNAPSHOT_UNIT
 
@@ -109,8 +109,10 @@ def card_json(cards: DataFrame) -> DataFrame:
 
 
 def write_texts(texts: DataFrame, path: str, key: str) -> None:
-    """One folder per key, named by a safe form of it."""
-    texts.select(dash_slug(F.col(key)).alias("item"), "value").write.mode("overwrite").partitionBy("item").text(path)
+    """One folder per key, named by a safe form of it; where that loses anything, a hash keeps two keys apart."""
+    slug = dash_slug(F.col(key))
+    item = F.when(slug == F.col(key), slug).otherwise(F.concat(slug, F.lit("-"), short_hash(10, F.col(key))))
+    texts.select(item.alias("item"), "value").write.mode("overwrite").partitionBy("item").text(path)
 
 
 def snapshot_export(counts: DataFrame, unit: str = SNAPSHOT_UNIT) -> DataFrame:

@@ -19,14 +19,16 @@ from ..plans.thermal import detection_id
 
 
 def _head(spark: SparkSession, path: str) -> list[str]:
-    """First line of each kind of content under a path: a cheap check for error pages."""
-    return [r[0] for r in spark.read.text(path).limit(1).collect()]
+    """Different first lines of the files under a path, shortened: every file is looked at, one short text each comes back."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    first = lines.where("b = 0").groupBy("f").agg(F.min_by("value", "i").alias("v"))
+    return [r[0] for r in first.select(F.substring("v", 1, 200)).distinct().sort(F.lit(1)).collect()]
 
 
 def read_csv_text(spark: SparkSession, path: str, required: Sequence[str], what: str) -> DataFrame:
     """A headered CSV with every column as text; markup instead of CSV or a missing column stops the run."""
     first = _head(spark, path)
-    if first and first[0].lstrip("﻿ ").startswith("<"):
+    if any(line.lstrip("﻿ ").startswith("<") for line in first):
         raise SourceChanged(f"{what}: markup instead of CSV")
     df = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
     df = df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
@@ -222,17 +224,25 @@ def news_api(spark: SparkSession, path: str, query: str, now: Column) -> DataFra
                                F.coalesce(D.compact_instant(F.col("seendate")), now), F.lit(f"gdelt:{query}"), F.lit(""), "gdelt"))
 
 
-RSS = "title string, link string, pubDate string, updated string, description string, summary string"
+RSS = ("title string, link array<struct<_VALUE:string,_href:string,_rel:string>>, pubDate string, published string, updated string, "
+       "description string, summary string, content string")
 
 
 def rss_items(spark: SparkSession, path: str, publisher: str, language: str, feed: str, now: Column, row_tag: str = "item") -> DataFrame:
-    """Feed items with a link; published where stated, else updated, with the source named."""
-    d = spark.read.format("xml").option("rowTag", row_tag).schema(RSS).load(path).where("link IS NOT NULL AND trim(link) <> ''")
+    """Feed items or Atom entries (``row_tag`` "entry") with a link; published where stated, else updated, with the source named.
+
+    A link is an element's text, or the address of an Atom link; among several the alternate one, else the first.
+    """
+    d = spark.read.format("xml").option("rowTag", row_tag).schema(RSS).load(path)
+    stated = F.filter("link", lambda x: F.trim(F.coalesce(x["_href"], x["_VALUE"], F.lit(""))) != "")
+    main = F.filter(stated, lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    best = F.coalesce(F.get(main, 0), F.get(stated, 0))
+    d = d.withColumn("link", F.trim(F.coalesce(best["_href"], best["_VALUE"]))).where("link IS NOT NULL")
     dated = F.regexp_replace(F.regexp_replace("pubDate", r"^\s*[A-Za-z]{3},\s*", ""), r"\s+(GMT|UTC|UT|Z)$", " +0000")
-    pub = F.coalesce(F.try_to_timestamp(dated, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp("pubDate"))
+    pub = F.coalesce(F.try_to_timestamp(dated, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp("pubDate"), F.try_to_timestamp("published"))
     upd = F.try_to_timestamp("updated")
     source = F.when(pub.isNotNull(), "feed:published").when(upd.isNotNull(), "feed:updated")
-    excerpt = F.substring(F.coalesce("description", "summary", F.lit("")), 1, 900)
+    excerpt = F.substring(F.coalesce("description", "summary", "content", F.lit("")), 1, 900)
     return d.select(*_headline(F.trim("link"), F.coalesce("title", F.lit("")), F.lit(publisher), F.lit(language), F.coalesce(pub, upd), source, now,
                                F.lit(f"rss:{feed}"), excerpt, "rss"))
 

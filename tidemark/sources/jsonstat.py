@@ -9,34 +9,53 @@ from pyspark.sql import functions as F
 from ..functions.dates import month_end, month_start
 
 SCHEMA = ("id array<string>, size array<int>, updated string, label string, error string, "
-          "dimension map<string,struct<category:struct<index:map<string,int>,label:map<string,string>>>>, "
-          "value map<string,double>, status map<string,string>")
+          "dimension map<string,struct<category:struct<index:string,label:map<string,string>>>>, value string, status string")
 
 
-def _ordered(index: Column) -> Column:
-    """Category codes in the order of their positions."""
-    return F.transform(F.array_sort(F.transform(F.map_entries(index), lambda e: F.struct(
+def _ordered(category: Column) -> Column:
+    """Category codes in the order of their positions; the index may be a list, an object, or left out for a single code."""
+    index = category["index"]
+    placed = F.transform(F.array_sort(F.transform(F.map_entries(F.from_json(index, "map<string,int>")), lambda e: F.struct(
         e["value"].alias("p"), e["key"].alias("c")))), lambda x: x["c"])
+    return F.when(index.startswith("["), F.from_json(index, "array<string>")).when(index.startswith("{"), placed).otherwise(F.map_keys(category["label"]))
+
+
+def _entries(json: Column, kind: str) -> Column:
+    """(position, value) pairs of a list or an object."""
+    listed = F.transform(F.from_json(json, f"array<{kind}>"), lambda v, i: F.struct(i.cast("long").alias("_flat"), v.alias("v")))
+    named = F.transform(F.map_entries(F.from_json(json, f"map<string,{kind}>")), lambda e: F.struct(e["key"].try_cast("long").alias("_flat"), e["value"].alias("v")))
+    return F.when(json.startswith("["), listed).when(json.startswith("{"), named)
 
 
 def decode_jsonstat(docs: DataFrame, text: str, dimensions: Sequence[str]) -> DataFrame:
-    """One row per combination of categories, with value and status; an absent index is a null value.
+    """One row per combination of categories, with value and status; an absent position is a null value.
 
-    Dimensions are named in the document's own order. A document's cells become rows by two explodes, and
-    each row finds its number by flat index, so nothing wider than one document's map is held.
+    Dimensions are named in the document's own order. Values and statuses may be lists or objects; a document that reports
+    an error stops the run. A document's cells are its flat positions; each carries the code of every dimension by division,
+    and values join by (document, position), so work is linear in cells plus values and no cell holds the document.
     """
-    d = docs.withColumn("_j", F.from_json(text, SCHEMA))
-    for dim in dimensions:
-        d = d.withColumn(f"_c_{dim}", _ordered(F.col("_j.dimension")[dim]["category"]["index"]))
-    flat = F.lit(0)
-    for dim in dimensions:
-        d = d.select("*", F.posexplode(f"_c_{dim}").alias(f"_p_{dim}", dim))
-    for dim in dimensions:
-        flat = flat * F.size(f"_c_{dim}") + F.col(f"_p_{dim}")
-    key = flat.cast("string")
     keep = [c for c in docs.columns if c != text]
-    return d.select(*keep, *dimensions, F.try_element_at("_j.value", key).alias("value"),
-                    F.try_element_at("_j.status", key).alias("status"), F.try_to_timestamp("_j.updated").alias("published_at"))
+    d = docs.withColumns({"_j": F.from_json(text, SCHEMA), "_doc": F.sha2(F.col(text), 256)})
+    failed = F.raise_error(F.concat(F.lit("the source reports an error: "), F.col("_j.error"))).cast("timestamp")
+    updated = F.when(F.col("_j.error").isNotNull(), failed).otherwise(F.try_to_timestamp("_j.updated"))
+    known = d.dropDuplicates(["_doc"])
+    values = known.select("_doc", F.inline(_entries(F.col("_j.value"), "double"))).withColumnRenamed("v", "value")
+    states = known.select("_doc", F.inline(_entries(F.col("_j.status"), "string"))).withColumnRenamed("v", "status")
+    codes = {dim: _ordered(F.col("_j.dimension")[dim]["category"]) for dim in dimensions}
+    cells = d.select(*keep, "_doc", updated.alias("published_at"), *[c.alias(f"_c_{dim}") for dim, c in codes.items()])
+    total = F.lit(1).cast("long")
+    for dim in dimensions:
+        total = total * F.size(f"_c_{dim}")
+    cells = cells.withColumn("_flat", F.explode(F.when(total > 0, F.sequence(F.lit(0).cast("long"), total - 1))))
+    step, picked = F.lit(1).cast("long"), []
+    for dim in reversed(dimensions):
+        n = F.size(f"_c_{dim}")
+        at = F.pmod(F.floor(F.col("_flat") / step), n.cast("long"))
+        picked.append(F.element_at(f"_c_{dim}", (at + 1).cast("int")).alias(dim))
+        step = step * n
+    rows = cells.select(*keep, "_doc", "_flat", "published_at", *reversed(picked))
+    rows = rows.join(values, ["_doc", "_flat"], "left").join(states, ["_doc", "_flat"], "left")
+    return rows.select(*keep, *dimensions, "value", "status", "published_at")
 
 
 def monthly_series(rows: DataFrame, by: str, dataset: str, geo: str, wanted: Sequence[str] | None = None) -> DataFrame:

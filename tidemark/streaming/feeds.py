@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -116,7 +117,11 @@ def merge_stream(rows: DataFrame, seen_at: str, root: str, prepare: Callable[[Da
     q = (rows.writeStream.foreachBatch(step).option("checkpointLocation", root + "/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    last = max((p["batchId"] for p in q.recentProgress if p["numInputRows"] > 0), default=None)
-    if last is None:
+    try:                                                        # names only: a run without new input finds the last table too
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/table").select("path")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], ddl)
-    return spark.read.schema(ddl).parquet(path(last))
+    last = files.agg(F.max(F.regexp_extract("path", r"version=(\d+)/", 1).cast("int"))).first()[0]
+    return spark.createDataFrame([], ddl) if last is None else spark.read.schema(ddl).parquet(path(last))
