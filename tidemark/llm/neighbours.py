@@ -56,15 +56,11 @@ def _leaf(size: int):
     return run
 
 
-def _trees(data: DataFrame, counts: DataFrame, dim: int, seed: int) -> DataFrame:
+def _trees(data: DataFrame, counts: DataFrame, seed: int) -> DataFrame:
     """Leaves of random hyperplane trees, as deep as a label's share needs; a leaf that copies overfill is split by chance."""
-    rng = np.random.default_rng(seed)
-    planes = rng.normal(size=(TREES, 24, dim))
-
     def codes(batches):
-        for f in batches:
-            if not len(f):
-                continue
+        for dim, f in ((d, f) for whole in batches for d, f in whole.groupby(whole["v"].map(len))):
+            planes = np.random.default_rng((seed, dim)).normal(size=(TREES, 24, dim))
             x = _unit(f["v"])
             depth = f["depth"].to_numpy()
             for t in range(TREES):
@@ -124,10 +120,7 @@ def _count(cosine: float):
 def nn_descent(data: DataFrame, size: int = LIST, rounds: int = ROUNDS, seed: int = 5) -> DataFrame:
     """(a, b, s): lists of up to ``size`` neighbours at FLOOR or above. Rounds end when no list changes."""
     counts = data.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    one = data.select(F.size("v").alias("d")).first()
-    if one is None:
-        return data.sparkSession.createDataFrame([], "a long, b long, s double")
-    leaves = _trees(data, counts, one["d"], seed).groupBy("label", "tree", "leaf", "part")
+    leaves = _trees(data, counts, seed).groupBy("label", "tree", "leaf", "part")
     graph = stored(_lists(leaves.applyInPandas(_leaf(size), "a long, b long, s double"), size), "neighbours")
     before = None
     for _ in range(rounds):
@@ -147,15 +140,16 @@ def audit(data: DataFrame, links: DataFrame, cosine: float = COSINE, probes: int
     asked = data.orderBy(F.xxhash64("vec_id", F.lit(9)), "vec_id").limit(probes).collect()
     if not asked:
         return 1.0
-    ids, labels, x = [r["vec_id"] for r in asked], [r["label"] for r in asked], _unit([r["v"] for r in asked])
+    probe = {}
+    for r in asked:                                             # a label here has vectors of one length
+        probe.setdefault(r["label"], []).append((r["vec_id"], r["v"]))
 
     def compare(batches):
-        for f in batches:
-            if len(f):
-                s = x @ _unit(f["v"]).T >= cosine
-                s &= np.array(labels)[:, None] == f["label"].to_numpy()[None, :]
-                s &= np.array(ids)[:, None] != f["vec_id"].to_numpy()[None, :]
-                yield pd.DataFrame({"vec_id": ids, "n": s.sum(1)})
+        for label, f in ((k, f) for whole in batches for k, f in whole.groupby("label")):
+            if label in probe:
+                ids = np.array([i for i, _ in probe[label]])
+                s = _unit([v for _, v in probe[label]]) @ _unit(f["v"]).T >= cosine
+                yield pd.DataFrame({"vec_id": ids, "n": (s & (ids[:, None] != f["vec_id"].to_numpy()[None, :])).sum(1)})
 
     true = data.mapInPandas(compare, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n"))
     r = true.join(links, "vec_id", "left").agg(F.sum("n"), F.sum(F.least("n", F.coalesce("n_links", F.lit(0))))).first()
