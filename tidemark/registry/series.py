@@ -148,18 +148,20 @@ def _user_day(spark, folder):
     return e.groupBy("user_id", F.to_date("ts").alias("day"), "event_type").agg(F.sum(B.cents("value")).alias("c"))
 
 
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
 @query("sum_if_all_present", USER_DAY + """ SELECT user_id, CAST(day AS VARCHAR) AS day, COUNT(DISTINCT event_type) FILTER (WHERE c IS NOT NULL) AS n_present,
- CASE WHEN COUNT(DISTINCT event_type) FILTER (WHERE c IS NOT NULL) = 3 THEN CAST(SUM(c) AS BIGINT) END AS total FROM x WHERE event_type IN ('view', 'click', 'purchase') GROUP BY 1, 2""")
+ CASE WHEN COUNT(DISTINCT event_type) FILTER (WHERE c IS NOT NULL) = 5 THEN CAST(SUM(c) AS BIGINT) END AS total FROM x WHERE event_type IN ('click', 'error', 'purchase', 'signup', 'view') GROUP BY 1, 2""")
 def sum_if_all_present(spark, folder):
-    s = derived.sum_if_all_present(_user_day(spark, folder), ["user_id", "day"], "event_type", "c", ["view", "click", "purchase"])
+    s = derived.sum_if_all_present(_user_day(spark, folder), ["user_id", "day"], "event_type", "c", EVENT_TYPES)
     return s.select("user_id", F.col("day").cast("string").alias("day"), "n_present", "total")
 
 
-@query("null_propagating_total", USER_DAY + """ SELECT user_id, CAST(day AS VARCHAR) AS day, CAST(SUM(c) FILTER (WHERE event_type = 'view')
- + SUM(c) FILTER (WHERE event_type = 'click') + SUM(c) FILTER (WHERE event_type = 'purchase') AS BIGINT) AS total FROM x GROUP BY 1, 2""")
+@query("null_propagating_total", USER_DAY + """ SELECT user_id, CAST(day AS VARCHAR) AS day, CAST(SUM(c) FILTER (WHERE event_type = 'click') + SUM(c) FILTER (WHERE event_type = 'error') + SUM(c) FILTER (WHERE event_type = 'purchase') + SUM(c) FILTER (WHERE event_type = 'signup') + SUM(c) FILTER (WHERE event_type = 'view') AS BIGINT) AS total FROM x GROUP BY 1, 2""")
 def null_propagating_total(spark, folder):
-    wide = _user_day(spark, folder).groupBy("user_id", "day").pivot("event_type", ["view", "click", "purchase"]).agg(F.sum("c"))
-    return world.type_total(wide, ["view", "click", "purchase"]).select("user_id", F.col("day").cast("string").alias("day"), "total")
+    wide = _user_day(spark, folder).groupBy("user_id", "day").pivot("event_type", EVENT_TYPES).agg(F.sum("c"))
+    return world.type_total(wide, EVENT_TYPES).select("user_id", F.col("day").cast("string").alias("day"), "total")
 
 
 @query("type_mix", USER_DAY + """, s AS (SELECT user_id, event_type, SUM(c) AS v FROM x GROUP BY 1, 2)

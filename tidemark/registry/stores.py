@@ -140,32 +140,37 @@ def upsert_keep_nonempty(spark, folder):
     return V.upsert_latest(d, lab, ["doc_id"], overwrite=["n"], keep_when_empty=["title"], earliest=["seen"])
 
 
+def _views_and_rest(spark, folder):
+    """A user's views of a day, and one row for everything else of that day."""
+    e = B.table(spark, folder, "events").groupBy("user_id", F.to_date("ts").cast("string").alias("day"), "event_type").agg(F.min("value").alias("v"))
+    rest = e.where("event_type <> 'view'").groupBy("user_id", "day").agg(F.min("event_type").alias("event_type"), F.min("v").alias("v"))
+    return e.where("event_type = 'view'"), rest
+
+
 @query("insert_if_absent", """WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type, MIN(value) AS v FROM events GROUP BY 1, 2, 3), c AS (SELECT * FROM e WHERE event_type = 'view'),
- n AS (SELECT * FROM e WHERE event_type = 'click') SELECT user_id, CAST(day AS VARCHAR) AS day, event_type, v FROM c UNION ALL
+ n AS (SELECT user_id, day, MIN(event_type) AS event_type, MIN(v) AS v FROM e WHERE event_type <> 'view' GROUP BY 1, 2) SELECT user_id, CAST(day AS VARCHAR) AS day, event_type, v FROM c UNION ALL
  SELECT user_id, CAST(day AS VARCHAR), event_type, v FROM n WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.user_id = n.user_id AND c.day = n.day)""")
 def insert_if_absent(spark, folder):
-    e = B.table(spark, folder, "events").groupBy("user_id", F.to_date("ts").cast("string").alias("day"), "event_type").agg(F.min("value").alias("v"))
-    return V.insert_if_absent(e.where("event_type = 'view'"), e.where("event_type = 'click'"), ["user_id", "day"])
+    return V.insert_if_absent(*_views_and_rest(spark, folder), ["user_id", "day"])
 
 
 @query("replace_by_key", """WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type, MIN(value) AS v FROM events GROUP BY 1, 2, 3), c AS (SELECT * FROM e WHERE event_type = 'view'),
- n AS (SELECT * FROM e WHERE event_type = 'click') SELECT user_id, CAST(day AS VARCHAR) AS day, event_type, v FROM n UNION ALL
+ n AS (SELECT user_id, day, MIN(event_type) AS event_type, MIN(v) AS v FROM e WHERE event_type <> 'view' GROUP BY 1, 2) SELECT user_id, CAST(day AS VARCHAR) AS day, event_type, v FROM n UNION ALL
  SELECT user_id, CAST(day AS VARCHAR), event_type, v FROM c WHERE NOT EXISTS (SELECT 1 FROM n WHERE c.user_id = n.user_id AND c.day = n.day)""")
 def replace_by_key(spark, folder):
-    e = B.table(spark, folder, "events").groupBy("user_id", F.to_date("ts").cast("string").alias("day"), "event_type").agg(F.min("value").alias("v"))
-    return V.replace_by_key(e.where("event_type = 'view'"), e.where("event_type = 'click'"), ["user_id", "day"])
+    return V.replace_by_key(*_views_and_rest(spark, folder), ["user_id", "day"])
 
 
 @query("update_if_newer", """WITH o AS (SELECT o_custkey, MAX(o_orderkey) AS stamp, MAX(o_totalprice) AS price FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
- n AS (SELECT o_custkey, MAX(o_orderkey) AS stamp, MAX(o_totalprice) AS price FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
+ n AS (SELECT o_custkey, MAX(o_orderkey) AS stamp, MAX(o_totalprice) AS price FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1)
  SELECT COALESCE(o.o_custkey, n.o_custkey) AS o_custkey, CASE WHEN o.o_custkey IS NULL OR n.stamp > o.stamp THEN n.stamp ELSE o.stamp END AS stamp,
  CASE WHEN o.o_custkey IS NULL OR n.stamp > o.stamp THEN n.price ELSE o.price END AS price FROM o FULL JOIN n ON o.o_custkey = n.o_custkey""")
 def update_if_newer(spark, folder):
     o = B.table(spark, folder, "orders")
 
     def side(s):
-        return o.where(F.col("o_orderstatus") == s).groupBy("o_custkey").agg(F.max("o_orderkey").alias("stamp"), F.max("o_totalprice").alias("price"))
-    return V.update_if_newer(side("F"), side("O"), ["o_custkey"], "stamp", ["price"])
+        return o.where(s).groupBy("o_custkey").agg(F.max("o_orderkey").alias("stamp"), F.max("o_totalprice").alias("price"))
+    return V.update_if_newer(side("o_orderstatus = 'F'"), side("o_orderstatus <> 'F'"), ["o_custkey"], "stamp", ["price"])
 
 
 @query("provenance", price_points_sql(DAILY_PRICE, 250, 60, 5, 4.0, 2.0) + """, i AS (SELECT series_id, obs_start, obs_start AS used FROM points WHERE fired
@@ -195,11 +200,10 @@ def _runs(spark, folder):
                     F.when(F.col("event_type") == "error", "failed").otherwise("ok").alias("status"), F.col("ts").alias("finished_at"))
 
 
-@query("freshness_report", """WITH r AS (SELECT 'src' || (user_id % 10) AS source, COUNT(*) AS runs, CAST(MAX(CASE WHEN event_type = 'purchase' THEN ts END) AS DATE) AS latest FROM events GROUP BY 1)
+@query("freshness_report", """WITH r AS (SELECT 'src' || (user_id % 10) AS source, COUNT(*) AS runs, CAST(MAX(ts) AS DATE) AS latest FROM events GROUP BY 1)
  SELECT source, runs, date_diff('day', latest, DATE '2024-02-06') AS age_days, CAST(date_diff('day', latest, DATE '2024-02-06') > 7 AS INTEGER) AS stale FROM r""")
 def freshness_report(spark, folder):
-    e = B.table(spark, folder, "events").where("event_type = 'purchase'")
-    latest = e.groupBy(F.concat(F.lit("src"), F.pmod("user_id", F.lit(10)).cast("string")).alias("source")).agg(
+    latest = B.table(spark, folder, "events").groupBy(F.concat(F.lit("src"), F.pmod("user_id", F.lit(10)).cast("string")).alias("source")).agg(
         F.to_date(F.max("ts")).alias("latest_observation")).withColumn("frequency", F.lit("daily"))
     r = reports.freshness_report(latest, _runs(spark, folder), F.lit("2024-02-06").cast("date"))
     return r.select("source", "runs", F.col("age_days").cast("bigint").alias("age_days"), F.col("stale").cast("int").alias("stale"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import bindings as B
+from ..config import CAUSAL_PATTERNS
 from ..functions import text as T
 from ..operators.matching import headlines_for_series, match_topics
 from ..operators.similarity import cluster_titles, similar_variants, variants
@@ -153,8 +154,7 @@ def note_number_check(spark, folder):
     return v.select("doc_id", F.size(bad).cast("bigint").alias("n_numbers"), F.array_join(bad, "|").alias("numbers"))
 
 
-@query("causal_wording", r"""SELECT conv_id, turn, CAST(regexp_matches(text, '(?i)\b(because|due to|led to|drove|driven by|wegen|destroyed)\b') AS INTEGER) AS conclusive FROM conversations""")
+@query("causal_wording", f"""SELECT conv_id, turn, CAST(coalesce(regexp_matches(text, '(?i)(?:{'|'.join(CAUSAL_PATTERNS)})'), FALSE) AS INTEGER) AS conclusive FROM conversations""")
 def causal_wording(spark, folder):
     c = B.table(spark, folder, "conversations")
-    listed = F.filter(T.causal_wording(F.col("text")), lambda w: F.lower(w).isin("because", "due to", "led to", "drove", "driven by", "wegen", "destroyed"))
-    return c.select("conv_id", "turn", (F.size(listed) > 0).cast("int").alias("conclusive"))
+    return c.select("conv_id", "turn", F.coalesce((F.size(T.causal_wording(F.col("text"))) > 0).cast("int"), F.lit(0)).alias("conclusive"))
