@@ -3,6 +3,7 @@ import pytest
 from oracle import compare, connect
 
 import __spark_entry__ as e
+from tidemark.registry import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 FAST = ["asof_convert", "interval_mean", "latest_per_key", "scd2_merge_versions", "vintage_as_of", "canonical_urls", "clean_titles", "claim_words",
@@ -11,8 +12,21 @@ FAST = ["asof_convert", "interval_mean", "latest_per_key", "scd2_merge_versions"
 
 def test_names():
     q, s = e.queries(), e.oracle_sql()
-    assert set(s) <= set(q) and len(q) > 95
-    assert set(q) - set(s) == {"asymmetric_passthrough", "lag_model_residual", "near_duplicate_clusters", "candidate_counts", "headline_cards", "code_texts"}
+    assert set(s) <= set(q) and len(q) > 95 and set(QUERIES) <= set(q)
+    assert set(QUERIES) - set(s) == {"asymmetric_passthrough", "lag_model_residual", "near_duplicate_clusters", "candidate_counts", "headline_cards", "code_texts"}
+
+
+def test_library_stands_alone(tmp_path):
+    """Without the training-data folders and the pipeline, the entry still imports and offers every other query."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/tidemark", tmp_path / "tidemark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": ""}, capture_output=True, text=True, check=True)
+    assert int(said.stdout) == len(QUERIES)
 
 
 def test_entry(spark):
