@@ -241,14 +241,15 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     blocks = max(1, alive.count() // BLOCK)
     block = F.when(F.col("at_home") <= BLOCK, F.pmod(F.xxhash64("home", F.lit(1)), F.lit(blocks))).otherwise(
         F.xxhash64("home", F.pmod(F.xxhash64("mark"), F.ceil(F.col("at_home") / BLOCK))))
-    alive = alive.withColumn("block", block).drop("home", "at_home")
-    rare = alive.select("block", "mark", F.explode("rare").alias("key"))
+    # Eight bytes stand for a class while it meets others: classes whose numbers clash are only compared once more.
+    alive = alive.withColumn("block", block).withColumn("number", F.xxhash64("mark")).drop("home", "at_home")
+    rare = alive.select("block", "number", F.explode("rare").alias("key"))
     by_key = rare.groupBy("key", "block").agg(F.count(F.lit(1)).alias("here"))
     common = by_key.groupBy("key").agg(F.sum("here").alias("all")).where("all > 1")
     by_key = by_key.join(common, "key").select("key", F.col("block").alias("other"), "here")
     meet = rare.join(by_key, "key").where("other != block OR here > 1")
-    meet = meet.select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "mark").distinct()
-    groups = meet.join(alive.select("mark", "node", "n", "size", "block", "keys"), "mark")
+    meet = meet.select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "number").distinct()
+    groups = meet.join(alive.select("number", "mark", "node", "n", "size", "block", "keys"), "number").where("block = lo OR block = hi")
     found = stored(groups.groupBy("lo", "hi").applyInPandas(_product(percent), "mark string, links long, a long, b long"), "links")
     comp = components(found.where("a IS NOT NULL").select("a", "b"))
     links = found.where("mark IS NOT NULL").groupBy("mark").agg(F.sum("links").alias("links"))
