@@ -16,7 +16,7 @@ from .hashing import U64
 from .pretokens import pieces_of, split
 from .token_files import tokenizer_spec
 
-CHUNK_CHARS = 32_000_000        # documents whose words share one local numbering
+CHUNK_CHARS = 16_000_000        # documents whose words share one local numbering
 BUCKET_CHARS = 8_000_000        # text per bucket of the distinct-word table
 _ROWS = "bucket long, chunk string, kind int, body binary"
 
