@@ -17,6 +17,7 @@ LEAF = 96                       # vectors compared with each other for the first
 TREES = 10
 ROUNDS = 6
 BLOCK = 512
+SHARE = 2048                    # balls of blocks that meet at once
 PROBES = 50                     # vectors of the audit, compared with all of their label
 RECALL = 0.9
 
@@ -96,7 +97,7 @@ def _refine(size: int):
 
 
 def _count(cosine: float):
-    """Links between two blocks of one saturated group: how many each vector has there, and a forest of them."""
+    """Links between two blocks (or inside one): how many each vector has there, and a forest of them."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         lo, hi = frame["lo"].iloc[0], frame["hi"].iloc[0]
         block, ids, x = frame["block"].to_numpy(), frame["vec_id"].to_numpy(), _unit(frame["v"])
@@ -117,6 +118,45 @@ def _count(cosine: float):
     return run
 
 
+def _ball(frame: pd.DataFrame) -> pd.DataFrame:
+    """Centre of a block's vectors and the widest angle from it to one of them."""
+    x = _unit(frame["v"])
+    centre = x.sum(0)
+    size = np.linalg.norm(centre)
+    centre = centre / size if size > 1e-6 else x[0]             # opposite vectors have no mean direction
+    return rows_of(label=[frame["label"].iloc[0]], block=[frame["block"].iloc[0]], centre=[centre.tolist()], radius=[float(np.arccos(np.clip(x @ centre, -1, 1)).max())])
+
+
+def _meet(cosine: float):
+    """Pairs of blocks of two shares whose balls are near enough to hold a link; angles obey the triangle inequality."""
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        share = frame["share"].to_numpy()
+        left = np.flatnonzero(share == frame["lo"].iloc[0])
+        right = np.flatnonzero(share == frame["hi"].iloc[0])
+        block, radius, c = frame["block"].to_numpy(), frame["radius"].to_numpy(), np.array(frame["centre"].tolist())
+        reach = radius[left][:, None] + radius[right][None, :] + np.arccos(cosine) + 1e-6
+        p, q = np.nonzero(np.arccos(np.clip(c[left] @ c[right].T, -1, 1)) <= reach)
+        p, q = block[left[p]], block[right[q]]
+        if frame["lo"].iloc[0] == frame["hi"].iloc[0]:
+            p, q = p[p <= q], q[p <= q]
+        return pd.DataFrame({"label": frame["label"].iloc[0], "lo": np.minimum(p, q), "hi": np.maximum(p, q)})
+    return run
+
+
+def _whole(member: DataFrame, data: DataFrame, cosine: float) -> DataFrame:
+    """(vec_id, links, a, b): all links between the vectors of ``member`` (vec_id, block), by pairs of blocks of a label that may hold one."""
+    held = stored(member.join(data, "vec_id").select("vec_id", "label", "block", "v"), "blocks")
+    balls = held.groupBy("label", "block").applyInPandas(_ball, "label long, block long, centre array<double>, radius double")
+    balls = stored(balls, "balls")
+    shares = balls.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / SHARE).alias("shares"))
+    balls = balls.join(shares, "label").withColumn("share", F.pmod(F.xxhash64("block", F.lit(6)), F.col("shares")))
+    balls = balls.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("shares") - 1).cast("int"))))
+    balls = balls.select("label", "block", "centre", "radius", "share", F.least("share", "other").alias("lo"), F.greatest("share", "other").alias("hi"))
+    pair = balls.groupBy("label", "lo", "hi").applyInPandas(_meet(cosine), "label long, lo long, hi long")
+    pair = pair.withColumn("block", F.explode(F.array_distinct(F.array("lo", "hi"))))
+    return stored(held.join(pair, ["label", "block"]).groupBy("label", "lo", "hi").applyInPandas(_count(cosine), "vec_id long, links long, a long, b long"), "dense")
+
+
 def nn_descent(data: DataFrame, size: int = LIST, rounds: int = ROUNDS, seed: int = 5) -> DataFrame:
     """(a, b, s): lists of up to ``size`` neighbours at FLOOR or above. Rounds end when no list changes."""
     counts = data.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
@@ -161,9 +201,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, size: int = LIST
 
     1. Equal vectors of a label become one node. 2. Random hyperplane leaves give the first lists, NN-descent refines them.
     3. A list whose every neighbour links is saturated: it may hide links. The groups that such nodes form with their
-    neighbours are compared whole, in pairs of blocks, which is where lists of any length end. 4. The links of a bounded
+    neighbours are compared whole, in pairs of blocks, which is where lists of any length end; blocks of different groups
+    meet too, unless their centres are further apart than their radii and the bound allow. 4. The links of a bounded
     set of vectors are audited against all vectors; below ``recall`` the descent starts again with longer lists and other
-    leaves. Only cosines in double precision at ``cosine`` or above count.
+    leaves, and after the last lists all vectors of each label are compared. Only cosines in double precision at
+    ``cosine`` or above count.
 
     Vectors that are null, zero, or hold null or non-finite components, and rows with a null label, link with nothing;
     vectors of different length never link. A null vec_id gives n_links 0, component null and kept null. Rows that share a
@@ -184,13 +226,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, size: int = LIST
         comp = components(near.select("a", "b"))
         dense = comp.join(full.withColumnRenamed("a", "node"), "node").select("component").distinct()
         inside = comp.join(dense, "component")
-        # Groups with a saturated list are compared whole; for all others the lists hold every link found.
-        sized = inside.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-        block = F.pmod(F.xxhash64("node", F.lit(4)), F.ceil(F.col("n") / BLOCK))
-        member = inside.join(sized, "component").select("component", F.col("node").alias("vec_id"), block.alias("block"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
-        pair = member.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
-        pair = pair.select("component", "vec_id", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-        found = stored(pair.join(data.select("vec_id", "v"), "vec_id").groupBy("component", "lo", "hi").applyInPandas(_count(cosine), "vec_id long, links long, a long, b long"), "dense")
+        # Groups with a saturated list are compared whole, also with each other; for all others the lists hold every link found.
+        sized = inside.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+        block = F.xxhash64("component", F.pmod(F.xxhash64("node", F.lit(4)), F.col("blocks")))
+        found = _whole(inside.join(sized, "component").select(F.col("node").alias("vec_id"), block.alias("block")), data, cosine)
         sparse = near.join(inside.select(F.col("node").alias("a")), "a", "left_anti")
         weight = nodes.select(F.col("vec_id").alias("w"), "copies")
         heavy = nodes.where("copies > 1").limit(1).count() > 0
@@ -203,6 +242,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, size: int = LIST
         links = stored(sparse_links.unionByName(found.where("vec_id IS NOT NULL").select("vec_id", "links")).groupBy("vec_id").agg(F.sum("links").alias("n_links")), "degrees")
         if audit(data, links, cosine) >= recall:
             break
+    else:                                                       # no list was long enough: every label is compared whole
+        sized = data.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+        found = _whole(data.join(sized, "label").select("vec_id", F.pmod(F.xxhash64("vec_id", F.lit(4)), F.col("blocks")).alias("block")), data, cosine)
+        links = stored(found.where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.sum("links").alias("n_links")), "degrees")
     edges = near.select("a", "b").unionByName(found.where("a IS NOT NULL").select("a", "b"))
     comp = components(edges) if attempt or found.where("a IS NOT NULL").limit(1).count() else comp
     node = (nodes.select("mark", "label", F.col("vec_id").alias("least_id"), "copies", F.col("v").alias("v_")).join(links.withColumnRenamed("vec_id", "x"), F.col("least_id") == F.col("x"), "left")
