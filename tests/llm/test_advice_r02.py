@@ -36,3 +36,24 @@ def test_neighbours_of_two_saturated_groups(spark):
     got, want = near_got(spark, rows), near_brute(rows)
     links = sum(n for n, _, _ in got.values()), sum(n for n, _, _ in want.values())
     assert got == want, f"{links[0]} of {links[1]} link ends"
+
+
+def test_neighbours_count_copies_in_saturated_groups(spark):
+    """Every copy of a linked vector counts, listed or not."""
+    r = np.random.default_rng(7)
+    base = np.eye(32)[0] + r.normal(scale=0.02, size=(100, 32))
+    x = np.concatenate([base, base[:60], base[:30], r.normal(size=(60, 32))])
+    rows = list(zip(range(len(x)), x, [1] * len(x)))
+    got, want = near_got(spark, rows), near_brute(rows)
+    links = sum(n for n, _, _ in got.values()), sum(n for n, _, _ in want.values())
+    assert got == want, f"{links[0]} of {links[1]} link ends"
+
+
+def test_neighbours_without_lists(spark, monkeypatch):
+    """Where no list finds anything, the audits fail and all vectors are compared, copies included."""
+    x, label = two_groups(np.random.default_rng(8), 40)
+    rows = list(zip(range(len(x) + 20), np.concatenate([x, x[:20]]), [*label, *label[:20]]))
+    monkeypatch.setattr(neighbours, "BLOCK", 32)
+    monkeypatch.setattr(neighbours, "SHARE", 2)
+    monkeypatch.setattr(neighbours, "nn_descent", lambda data, size, seed: data.sparkSession.createDataFrame([], "a long, b long, s double"))
+    assert near_got(spark, rows) == near_brute(rows)

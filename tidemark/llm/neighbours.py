@@ -97,7 +97,7 @@ def _refine(size: int):
 
 
 def _count(cosine: float):
-    """Links between two blocks (or inside one): how many each vector has there, and a forest of them."""
+    """Links between two blocks (or inside one): how many vectors and how many rows each vector links with there, and a forest of them."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         lo, hi = frame["lo"].iloc[0], frame["hi"].iloc[0]
         block, ids, x = frame["block"].to_numpy(), frame["vec_id"].to_numpy(), _unit(frame["v"])
@@ -106,15 +106,18 @@ def _count(cosine: float):
         found = x[left] @ x[right].T >= cosine
         if lo == hi:
             np.fill_diagonal(found, False)
-        links = np.zeros(len(ids), np.int64)
+        copies, links, weight = frame["copies"].to_numpy(), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
         links[left] += found.sum(1)
+        weight[left] += found @ copies[right]
         if lo != hi:
             links[right] += found.sum(0)
+            weight[right] += copies[left] @ found
         p, q = np.nonzero(found)
         p, q = ids[left[p]], ids[right[q]]
         tree = forest(p, q)
         got, none = np.flatnonzero(links), [None] * int((links > 0).sum())
-        return rows_of(vec_id=[*ids[got].tolist(), *[None] * len(tree)], links=[*links[got].tolist(), *[0] * len(tree)], a=[*none, *p[tree].tolist()], b=[*none, *q[tree].tolist()])
+        return rows_of(vec_id=[*ids[got].tolist(), *[None] * len(tree)], links=[*links[got].tolist(), *[0] * len(tree)],
+                       weight=[*weight[got].tolist(), *[0] * len(tree)], a=[*none, *p[tree].tolist()], b=[*none, *q[tree].tolist()])
     return run
 
 
@@ -144,8 +147,8 @@ def _meet(cosine: float):
 
 
 def _whole(member: DataFrame, data: DataFrame, cosine: float) -> DataFrame:
-    """(vec_id, links, a, b): all links between the vectors of ``member`` (vec_id, block), by pairs of blocks of a label that may hold one."""
-    held = stored(member.join(data, "vec_id").select("vec_id", "label", "block", "v"), "blocks")
+    """(vec_id, links, weight, a, b): all links between the vectors of ``member`` (vec_id, block), by pairs of blocks of a label that may hold one."""
+    held = stored(member.join(data, "vec_id").select("vec_id", "label", "block", "copies", "v"), "blocks")
     balls = held.groupBy("label", "block").applyInPandas(_ball, "label long, block long, centre array<double>, radius double")
     balls = stored(balls, "balls")
     shares = balls.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / SHARE).alias("shares"))
@@ -154,7 +157,15 @@ def _whole(member: DataFrame, data: DataFrame, cosine: float) -> DataFrame:
     balls = balls.select("label", "block", "centre", "radius", "share", F.least("share", "other").alias("lo"), F.greatest("share", "other").alias("hi"))
     pair = balls.groupBy("label", "lo", "hi").applyInPandas(_meet(cosine), "label long, lo long, hi long")
     pair = pair.withColumn("block", F.explode(F.array_distinct(F.array("lo", "hi"))))
-    return stored(held.join(pair, ["label", "block"]).groupBy("label", "lo", "hi").applyInPandas(_count(cosine), "vec_id long, links long, a long, b long"), "dense")
+    return stored(held.join(pair, ["label", "block"]).groupBy("label", "lo", "hi").applyInPandas(_count(cosine), "vec_id long, links long, weight long, a long, b long"), "dense")
+
+
+def _counted(found: DataFrame) -> DataFrame:
+    return found.where("vec_id IS NOT NULL").select("vec_id", "links", "weight")
+
+
+def _degrees(counted: DataFrame) -> DataFrame:
+    return counted.groupBy("vec_id").agg(F.sum("links").alias("links"), F.sum("weight").alias("n_links"))
 
 
 def nn_descent(data: DataFrame, size: int = LIST, rounds: int = ROUNDS, seed: int = 5) -> DataFrame:
@@ -216,7 +227,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, size: int = LIST
     named = stored(rows.withColumn("mark", F.xxhash64("label", "v")).withColumn("width", F.size("v")), "vectors")
     nodes = stored(named.groupBy("mark", "label", "width", "v").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"))
                    .select("vec_id", F.xxhash64("label", "width").alias("group"), "label", "mark", "copies", "v"), "nodes")
-    data = nodes.select("vec_id", F.col("group").alias("label"), "v")
+    data = nodes.select("vec_id", F.col("group").alias("label"), "copies", "v")
     for attempt in range(4):
         k = size << attempt
         graph = nn_descent(data, k, seed=5 + attempt)
@@ -231,24 +242,18 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, size: int = LIST
         block = F.xxhash64("component", F.pmod(F.xxhash64("node", F.lit(4)), F.col("blocks")))
         found = _whole(inside.join(sized, "component").select(F.col("node").alias("vec_id"), block.alias("block")), data, cosine)
         sparse = near.join(inside.select(F.col("node").alias("a")), "a", "left_anti")
-        weight = nodes.select(F.col("vec_id").alias("w"), "copies")
-        heavy = nodes.where("copies > 1").limit(1).count() > 0
-        if heavy:                                               # copies count as links of every neighbour
-            extra = near.join(inside.select(F.col("node").alias("a")), "a").join(weight.where("copies > 1"), F.col("b") == F.col("w"))
-            extra = extra.groupBy(F.col("a").alias("vec_id")).agg(F.sum(F.col("copies") - 1).alias("links"))
-            sparse_links = sparse.join(weight, F.col("b") == F.col("w")).groupBy(F.col("a").alias("vec_id")).agg(F.sum("copies").alias("links")).unionByName(extra)
-        else:
-            sparse_links = sparse.groupBy(F.col("a").alias("vec_id")).agg(F.count(F.lit(1)).alias("links"))
-        links = stored(sparse_links.unionByName(found.where("vec_id IS NOT NULL").select("vec_id", "links")).groupBy("vec_id").agg(F.sum("links").alias("n_links")), "degrees")
-        if audit(data, links, cosine) >= recall:
+        # Copies count as links of every neighbour; the audit counts different vectors on both sides.
+        sparse = sparse.join(nodes.select(F.col("vec_id").alias("b"), "copies"), "b").select(F.col("a").alias("vec_id"), F.lit(1).cast("long").alias("links"), F.col("copies").alias("weight"))
+        links = stored(_degrees(sparse.unionByName(_counted(found))), "degrees")
+        if audit(data, links.select("vec_id", F.col("links").alias("n_links")), cosine) >= recall:
             break
     else:                                                       # no list was long enough: every label is compared whole
         sized = data.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
         found = _whole(data.join(sized, "label").select("vec_id", F.pmod(F.xxhash64("vec_id", F.lit(4)), F.col("blocks")).alias("block")), data, cosine)
-        links = stored(found.where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.sum("links").alias("n_links")), "degrees")
+        links = stored(_degrees(_counted(found)), "degrees")
     edges = near.select("a", "b").unionByName(found.where("a IS NOT NULL").select("a", "b"))
     comp = components(edges) if attempt or found.where("a IS NOT NULL").limit(1).count() else comp
-    node = (nodes.select("mark", "label", F.col("vec_id").alias("least_id"), "copies", F.col("v").alias("v_")).join(links.withColumnRenamed("vec_id", "x"), F.col("least_id") == F.col("x"), "left")
+    node = (nodes.select("mark", "label", F.col("vec_id").alias("least_id"), "copies", F.col("v").alias("v_")).join(links.select(F.col("vec_id").alias("x"), "n_links"), F.col("least_id") == F.col("x"), "left")
             .join(comp, F.col("least_id") == F.col("node"), "left")
             .select(F.col("mark").alias("m"), F.col("label").alias("l"), "v_", (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"), F.coalesce("component", "least_id").alias("component_id")))
     linked = named.join(node, (F.col("mark") == F.col("m")) & (F.col("label") == F.col("l")) & (F.col("v") == F.col("v_"))).select("vec_id", "n_links", "component_id")
