@@ -2,7 +2,7 @@
 import numpy as np
 from data import components
 
-from tidemark.llm import neighbours
+from tidemark.llm import hamming, neighbours
 
 
 def near_brute(rows, cosine=neighbours.COSINE):
@@ -57,3 +57,27 @@ def test_neighbours_without_lists(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "SHARE", 2)
     monkeypatch.setattr(neighbours, "nn_descent", lambda data, size, seed: data.sparkSession.createDataFrame([], "a long, b long, s double"))
     assert near_got(spark, rows) == near_brute(rows)
+
+
+def test_hamming_copies_tied_with_single_codes(spark):
+    """Ids of tied codes mix by id, however many copies one of them has."""
+    r = np.random.default_rng(5)
+    bits = {0: r.random(40) > 0.5}
+
+    def flipped(*at):
+        b = bits[0].copy()
+        b[list(at)] ^= True
+        return b
+    a, b, c = flipped(1, 17, 33), flipped(2, 18, 34), flipped(1, 2, 3)
+    bits |= {5: a, 7: b, 9: c, 11: b} | {i: a for i in range(500, 521)} | {i: c for i in range(600, 605)}
+    bits |= {i: flipped(0, 5) for i in (300, 301)} | {i: r.random(40) > 0.5 for i in range(700, 760)}
+    rows = [(i, [1.0 if v else -1.0 for v in x], 1) for i, x in bits.items()]
+    codes = hamming.binary_codes(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    got, want = {}, {}
+    for x in hamming.hamming_search(codes, codes, 10).collect():
+        got[x.query_id, x.rank] = x.neighbour_id, x.distance
+    for q in bits:
+        near = sorted((int((bits[q] != bits[j]).sum()), j) for j in bits if j != q)[:10]
+        want |= {(q, k + 1): (j, d) for k, (d, j) in enumerate(near)}
+    wrong = sum(got.get(k) != v for k, v in want.items())
+    assert got == want, f"{wrong} of {len(want)} places wrong"

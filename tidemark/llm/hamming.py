@@ -33,7 +33,7 @@ def _probe(k: int, radius: int):
     """New candidates of one block of one index at segment distance ``radius``: non-empty buckets first, then whole codes.
 
     A code is reported by the first segment that is this near only; codes beyond the query's bound are not reported, nor
-    those behind its ``k`` best of the block.
+    those that ``k`` ids at smaller distances or ``k`` codes by (distance, node) come before in the block.
     """
     def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out = {"query": [], "node": [], "distance": []}
@@ -55,9 +55,10 @@ def _probe(k: int, radius: int):
                 fresh &= d <= bound[i]
                 at, d = at[fresh], d[fresh]
                 if len(at) > k:
-                    best = np.lexsort((node[at], d))
-                    enough = int(np.searchsorted(np.cumsum(size[at][best]), k)) + 1
-                    at, d = at[best[:enough]], d[best[:enough]]
+                    best = np.lexsort((node[at], d))[:k]
+                    kth = int(np.searchsorted(np.cumsum(size[at][best]), k))
+                    best = best[d[best] <= d[best[min(kth, len(best) - 1)]]]     # a tied node's smallest id may be needed
+                    at, d = at[best], d[best]
                 out["query"] += [int(asked["node"].iloc[i])] * len(at)
                 out["node"] += node[at].tolist()
                 out["distance"] += d.tolist()
@@ -99,8 +100,10 @@ def hamming_search(database: DataFrame, queries: DataFrame, k: int = K) -> DataF
             found = found.join(nodes.select("node", F.col("size").alias("count")), "node")
             pool = found if best is None else found.unionByName(best)
             by = Window.partitionBy("query").orderBy("distance", "node")
-            before = F.coalesce(F.sum("count").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-            pool = stored(pool.withColumn("before", before).where(F.col("before") < k + 1), "nearest")
+            pool = pool.withColumn("place", F.row_number().over(by)).withColumn("ids", F.sum("count").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+            # Ids at smaller distances count against a node, those of tied nodes do not: their ids may be larger than its own.
+            closer = F.coalesce(F.max("ids").over(Window.partitionBy("query").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            pool = stored(pool.withColumn("closer", closer).where((F.col("place") <= k + 1) & (F.col("closer") < k + 1)), "nearest")
             best = pool.select("query", "node", "distance", "count")
             state = pool.groupBy("query").agg(F.sum("count").alias("have"), F.max("distance").alias("kth"))
             state = open_.join(state, open_["node"] == state["query"], "left")
