@@ -57,7 +57,7 @@ def _incidence(bits: int, words: int):
         for i, s in enumerate(sets):
             marks[i] = s.sum(dtype=U64), mix(s ^ _ODD[1]).sum(dtype=U64)
         seen: dict = {}
-        first = [seen.setdefault((n, *m), i) == i and n > 0 and d is not None for i, (n, m, d) in enumerate(zip(sizes.tolist(), marks.tolist(), ids))]
+        first = [d is not None and n > 0 and seen.setdefault((n, *m), i) == i for i, (n, m, d) in enumerate(zip(sizes.tolist(), marks.tolist(), ids))]
         who = np.repeat(np.arange(len(sets), dtype=np.uint32), np.where(first, sizes, 0))
         keys = np.concatenate([s for s, f in zip(sets, first) if f] or [np.empty(0, U64)])
         order = np.argsort(keys)
