@@ -11,12 +11,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_size, frame as rows_of, table, text_slices, whole_text
+from .common import byte_size, frame as rows_of, give_back, small_batches, table, text_slices, whole_text
 from .hashing import U64
 from .pretokens import pieces_of, split
 from .token_files import tokenizer_spec
 
-CHUNK_CHARS = 16_000_000        # documents whose words share one local numbering
+CHUNK_CHARS = 6_000_000        # documents whose words share one local numbering
 BUCKET_CHARS = 8_000_000        # text per bucket of the distinct-word table
 _ROWS = "bucket long, chunk string, kind int, body binary"
 
@@ -77,7 +77,7 @@ def _splitter(buckets: int, spec: str, numbered: bool):
             for r in rows:
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(r, (pa.int64(), pa.string(), pa.int32(), pa.binary()))], names=["bucket", "chunk", "kind", "body"])
 
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in text_slices(texts):
                 h, bounds, joined, s, e = split(texts[a:b], specials)
@@ -157,7 +157,9 @@ def _join_chunk(spec: str, finish):
         if not len(heads):
             raise ValueError("the documents were read in another order the second time; store them before encoding")
         by = dict(zip(words["bucket"].tolist(), words["body"]))
-        return pd.DataFrame([r for h in heads for r in one(h, by)], dtype=object)     # equal chunks, if any, share their words
+        out = pd.DataFrame([r for h in heads for r in one(h, by)], dtype=object)      # equal chunks, if any, share their words
+        give_back()
+        return out
     return run
 
 

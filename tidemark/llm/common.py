@@ -1,9 +1,12 @@
 """Reading, cutting lineage and batching, shared by the operators of this subpackage."""
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,3 +56,27 @@ def text_slices(texts: list[str], limit: int = 1_500_000) -> Iterator[tuple[int,
         size += len(t)
     if start < len(texts):
         yield start, len(texts)
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], text: int, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``limit`` bytes in column ``text``, so that few texts are Python objects at a time.
+
+    Workers are reused by later stages; what this one allocated goes back to the system at its end.
+    """
+    for batch in batches:
+        column = batch.column(text)
+        offsets = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset:column.offset + len(column) + 1] if len(column) else ()
+        a = 0
+        while a < len(column):
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, "right")) - 1)
+            yield batch.slice(a, b - a)
+            a = b
+    give_back()
+
+
+def give_back() -> None:
+    """Freed memory of this worker, from Arrow's pool and from the C heap, to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc only
+    if trim is not None:
+        trim(0)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_size, frame as rows_of, stored, table, text_slices, whole_text
+from .common import byte_size, frame as rows_of, small_batches, stored, table, text_slices, whole_text
 from .graph import components, forest
 from .hashing import U64, mix, word_hashes
 
@@ -77,7 +77,7 @@ def _incidence(bits: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         part, k, ids, sets, held = TaskContext.get().partitionId(), 0, [], [], 0
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in text_slices(texts):
                 new = shingle_sets(texts[a:b], words)

@@ -11,14 +11,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import table
+from .common import small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 REACH = 3                       # words around a digit or at-sign that the field labels; all others are O
 MOST_ROWS = 20_000              # labelled rows that training accepts
 
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")         # a run of digits that fails at its start fails inside too
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -36,24 +36,20 @@ def luhn(digits: str) -> bool:
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     at, end = text.find("@"), 0
     while at >= 0:
-        a, b = at, at                                           # the blank-free stretch around the sign
-        while a > end and not text[a - 1].isspace():
-            a -= 1
-        run = None
-        for m in _LOCAL.finditer(text, a, b):
-            run = m
-        if run is not None and run.end() == at:
-            start, domain = max(run.start(), end), _DOMAIN.match(text, at + 1)
-            if domain is not None and start < at:
-                yield start, domain.end()
-                end = domain.end()
+        start = at                                              # no local part holds an at-sign, so no character is passed twice
+        while start > end and text[start - 1] in _LOCAL:
+            start -= 1
+        domain = _DOMAIN.match(text, at + 1) if start < at else None
+        if domain is not None:
+            yield start, domain.end()
+            end = domain.end()
         at = text.find("@", at + 1)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind, then start; leftmost and non-overlapping per kind, in linear time; failing matches go."""
     out = [("email", *s) for s in _emails(text)]
-    out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m.group().split("."))]
+    out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p) < 4 and int(p or 0) <= 255 for p in (p.lstrip("0") for p in m.group().split(".")))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16:
             digits = _NO_DIGIT.sub("", m.group())
@@ -320,9 +316,9 @@ def find_personal(docs: DataFrame, finish: Callable, schema, field: ChainCRF | N
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(names.index("text")).to_pylist()]
+        for batch in small_batches(batches, names.index("text")):
             rows = batch.to_pylist()
+            texts = [r["text"] or "" for r in rows]
             out = [finish(r, t, *s) for r, t, s in zip(rows, texts, all_spans(texts, field))]
             yield pa.RecordBatch.from_pylist(out, schema=target)
 
