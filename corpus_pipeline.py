@@ -19,12 +19,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one whose doc_id names the group. Of rows with one doc_id the one with
-    the smallest text stays; rows with a null doc_id all stay."""
+    """One document of each group of near copies: the one whose doc_id names the group. A doc_id belongs to the smallest group of
+    its rows; where it stays, each of its different texts stays once. Rows with a null doc_id all stay."""
     found = jaccard.jaccard_components(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     losers = found.where("component_id != doc_id").select("doc_id")
     kept = docs.join(losers, "doc_id", "left_anti")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    first = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("source", "lang"))
     one = kept.where("doc_id IS NOT NULL").withColumn("__first", first).where("__first = 1").drop("__first")
     return one.unionByName(kept.where("doc_id IS NULL")).select(*docs.columns)
 
