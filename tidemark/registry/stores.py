@@ -7,8 +7,9 @@ from .. import bindings as B
 from ..config import PRICE_DAILY
 from ..operators import findings as FS
 from ..operators import versioned as V
+from ..operators.partitioned import PartitionedVersions
 from ..plans import reports, rules, scenes
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_path
 from .base import BATCHES, DAILY_PRICE, price_points_sql, query
 
 VERSIONS = f"""WITH b AS ({BATCHES}), l AS (SELECT *, LAG(value) OVER w AS pv, ROW_NUMBER() OVER w AS rn FROM b WINDOW w AS (PARTITION BY series_id ORDER BY batch)),
@@ -47,8 +48,10 @@ def _store_before_and_batch(spark, folder):
  COUNT(*) FILTER (WHERE closed IS NULL) AS n_current FROM v GROUP BY 1""")
 def scd2_incremental_merge(spark, folder):
     stored, incoming = _store_before_and_batch(spark, folder)
-    merged, _ = V.merge_observations(stored, incoming, F.timestamp_seconds(F.lit(978_307_200)))
-    return merged.groupBy("series_id").agg(
+    store = PartitionedVersions(spark, scratch_path(spark, "observations"), 8)
+    store.merge(0, stored, lambda _, rows: rows)
+    store.merge_batch(1, incoming, F.timestamp_seconds(F.lit(978_307_200)))
+    return store.read().groupBy("series_id").agg(
         F.count("*").alias("n_versions"), F.max("revision_no").cast("bigint").alias("last_revision"),
         F.max_by("value", "revision_no").alias("current_value"), F.count_if("is_current").alias("n_current"))
 

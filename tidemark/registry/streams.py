@@ -104,7 +104,7 @@ def stream_merge(spark, folder):
             F.concat(F.lit("order."), F.col("l_orderkey").cast("string")).alias("series_id"), F.lit("2000-01-01").cast("date").alias("obs_start"), "value",
             F.timestamp_seconds(F.lit(946_684_800) + F.col("l_linenumber") * 86_400).alias("seen_at"))
     # The per-batch reduction happens inside the sink step, where a batch is an ordinary DataFrame.
-    table = feeds.merge_stream(li, "seen_at", scratch_path(spark, "merge"), prepare=rows)
+    table = feeds.merge_stream(li, "seen_at", scratch_path(spark, "merge"), prepare=rows, buckets=8)
     no = lambda c: ((F.unix_timestamp(c) - 946_684_800) / 86_400).cast("bigint")
     return table.select("series_id", F.col("revision_no").cast("bigint").alias("revision_no"), "value", no(F.col("first_seen_at")).alias("first_batch"),
                         no(F.col("superseded_at")).alias("closed_by_batch"))

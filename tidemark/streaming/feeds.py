@@ -3,12 +3,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators import versioned as V
+from ..operators.partitioned import PartitionedVersions
 from ..operators.similarity import cluster_batch
 from ..session import scratch_path
 
@@ -89,39 +88,22 @@ def cluster_stream(rows: DataFrame, id_col: str, at: str, root: str, window_hour
 
 
 def merge_stream(rows: DataFrame, seen_at: str, root: str, prepare: Callable[[DataFrame], DataFrame] | None = None,
-                 on_change: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
+                 on_change: Callable[[DataFrame, int], None] | None = None, buckets: int = 64) -> DataFrame:
     """Feed a stream into a versioned observation table.
 
-    Every micro-batch writes the next table version to its own path, named by the batch number: a batch
-    that is run again after a failure reads the same input version and overwrites its own output.
-    ``prepare`` shapes a micro-batch into observation rows; ``on_change`` (derived series, rules) is called only when the batch stored something new.
+    Every micro-batch is a commit of its own to a table in partitions: only partitions it touches are read and rewritten, and
+    a batch that is run again after its commit stood changes nothing. ``prepare`` shapes a micro-batch into observation
+    rows; ``on_change`` (derived series, rules) is called with the table only when the batch stored something new.
     """
-    spark = rows.sparkSession
-    types = {"version_id": "string", "series_id": "string", "obs_start": "date", "obs_end": "date", "value": "double",
-             "status": "string", "source_published_at": "timestamp", "first_seen_at": "timestamp", "retrieved_at": "timestamp",
-             "raw_sha256": "string", "revision_no": "int", "is_current": "boolean", "superseded_at": "timestamp", "attrs": "string"}
-    ddl = ", ".join(f"{c} {types[c]}" for c in V.COLUMNS)
-
-    def path(n: int) -> str:
-        return f"{root}/table/version={n}"
+    store = PartitionedVersions(rows.sparkSession, f"{root}/table", buckets)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        before = session.createDataFrame([], ddl) if batch_id == 0 else session.read.schema(ddl).parquet(path(batch_id - 1))
-        rows_ = prepare(batch) if prepare else batch
-        V.absorb_batches(before, rows_, seen_at).write.mode("overwrite").parquet(path(batch_id))
-        after = session.read.schema(ddl).parquet(path(batch_id))
-        if on_change is not None and after.count() > (0 if batch_id == 0 else before.count()):
-            on_change(after, batch_id)
+        own = PartitionedVersions(batch.sparkSession, f"{root}/table", buckets)
+        done = own.absorb(batch_id, prepare(batch) if prepare else batch, seen_at)
+        if on_change is not None and done.rewritten:
+            on_change(own.read(batch_id), batch_id)
 
     q = (rows.writeStream.foreachBatch(step).option("checkpointLocation", root + "/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    try:                                                        # names only: a run without new input finds the last table too
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/table").select("path")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], ddl)
-    last = files.agg(F.max(F.regexp_extract("path", r"version=(\d+)/", 1).cast("int"))).first()[0]
-    return spark.createDataFrame([], ddl) if last is None else spark.read.schema(ddl).parquet(path(last))
+    return store.read()
