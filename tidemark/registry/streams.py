@@ -8,7 +8,7 @@ from ..functions.codes import flag_state, nav_status_text, ship_class, ship_type
 from ..functions.numbers import in_range
 from ..session import scratch_path
 from ..sources.jsonstat import decode_jsonstat
-from ..streaming import feeds, vessels
+from ..streaming import feeds, vessel_state, vessels
 from .base import query
 from .stores import VERSIONS
 
@@ -72,6 +72,20 @@ def vessel_latest_stream(spark, folder):
     return last.where("r.lat IS NOT NULL").select("mmsi", "r.*")
 
 
+@query("vessel_expiry_stream", VESSELS + """, m AS (SELECT mmsi, COUNT(*) AS n, MAX(ts) FILTER (WHERE event_type = 'signup') AS static_at FROM e WHERE event_type <> 'error' GROUP BY 1),
+ w AS (SELECT epoch_ms(MAX(ts)) - 600000 AS mark FROM e WHERE event_type <> 'error')
+ SELECT m.mmsi, nm.name, lp.lat, lp.lon, CASE WHEN lp.value = 102.3 OR lp.value < 0 OR lp.value > 102.2 THEN NULL ELSE lp.value END AS sog, CAST(st.type AS INTEGER) AS type,
+ CASE WHEN st.type IS NOT NULL THEN 'PORT ' || (st.event_id % 7) END AS destination, CASE WHEN st.value % 31 <> 0 AND st.value % 31 <= 30 THEN st.value % 31 END AS draught,
+ epoch_us(lp.ts) AS position_us, epoch_us(m.static_at) AS static_us, m.n AS n_messages, COALESCE(tr.n, 0) AS track_points, epoch_ms(COALESCE(lp.ts, m.static_at)) + 86400000 <= w.mark AS expired
+ FROM m LEFT JOIN lp USING (mmsi) LEFT JOIN st USING (mmsi) LEFT JOIN nm USING (mmsi) LEFT JOIN tr USING (mmsi), w""")
+def vessel_expiry_stream(spark, folder):
+    """The last state of every vessel, and whether its timer ran out: silent for a day when the stream's watermark ends."""
+    out = feeds.run_available(vessel_state.vessel_states(_parsed(_events_stream(spark, folder)), 86_400), "update", "vessel-expiry")
+    last = out.groupBy("mmsi").agg(F.max_by(F.struct(*[c for c in out.columns if c != "mmsi"]), F.struct("batch_id", "expired")).alias("r")).select("mmsi", "r.*")
+    return last.select("mmsi", "name", "lat", "lon", "sog", "type", "destination", "draught", F.unix_micros("position_at").alias("position_us"), F.unix_micros("static_at").alias("static_us"),
+                       "n_messages", F.size("track_lat").cast("bigint").alias("track_points"), "expired")
+
+
 @query("completed_days_stream", """WITH r AS (SELECT ts + INTERVAL 1 HOUR AS t, event_type, value FROM events), g AS (SELECT CAST(t AS DATE) AS day, event_type, AVG(value) AS m, COUNT(value) AS n FROM r GROUP BY 1, 2)
  SELECT CAST(day AS VARCHAR) AS day, event_type, ROUND(m + 1e-9, 4) AS mean_value, n AS n_readings FROM g WHERE day + INTERVAL 1 DAY <= (SELECT MAX(t) - INTERVAL 2 HOUR FROM r)""")
 def completed_days_stream(spark, folder):
