@@ -4,10 +4,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..functions.geo import cell_of, cells_within, haversine_km
 from ..session import cut_lineage
@@ -72,46 +70,59 @@ def thin_by_distance(candidates: DataFrame, group: Sequence[str], key: str, rank
     return candidates.join(kept.withColumn("_kept", F.lit(True)), key, "left_semi")
 
 
-def _clip_fraction(scene: list, area: list) -> float | None:
-    """Share of the convex ``area`` ring covered by the ``scene`` ring (Sutherland-Hodgman)."""
-    if scene is None or area is None or len(scene) < 3 or len(area) < 3:
-        return None
-
-    def shoelace(poly):
-        return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(poly, poly[1:] + poly[:1])) / 2
-
-    window = [(p["lon"], p["lat"]) for p in area]
-    subject = [(p["lon"], p["lat"]) for p in scene]
-    window = window[:-1] if window[0] == window[-1] else window
-    subject = subject[:-1] if subject[0] == subject[-1] else subject
-    whole = shoelace(window)
-    if whole == 0:
-        return None
-    if whole < 0:
-        window.reverse()
-    out = subject
-    for (ax, ay), (bx, by) in zip(window, window[1:] + window[:1]):
-        def side(p):
-            return (bx - ax) * (p[1] - ay) - (by - ay) * (p[0] - ax)
-        cur, out = out, []
-        for p, q in zip(cur, cur[1:] + cur[:1]):
-            sp, sq = side(p), side(q)
-            if sp >= 0:
-                out.append(p)
-            if (sp > 0 > sq) or (sp < 0 < sq):
-                t = sp / (sp - sq)
-                out.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
-        if not out:
-            return 0.0
-    return abs(shoelace(out)) / abs(whole)
-
-
-@F.pandas_udf(DoubleType())
-def overlap_fraction(scene: pd.Series, area: pd.Series) -> pd.Series:
-    """Area of (scene and area) over area, for rings as array<struct<lon,lat>>; the area must be convex.
-
-    Null where either ring is unknown. Works on Arrow batches of scene-by-area rows.
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: a one-element array makes it a lambda variable."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _next(ring: Column) -> Column:
+    """The ring turned by one point, so that zipping pairs each point with the one after it."""
+    return F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+
+
+def _open(ring: Column) -> Column:
+    """A ring without the repeat of its first point at the end."""
+    closed = F.element_at(ring, 1) == F.element_at(ring, -1)
+    return F.when(closed, F.slice(ring, F.lit(1), F.size(ring) - 1)).otherwise(ring)
+
+
+def _doubled_area(ring: Column) -> Column:
+    """Twice the signed area of an open ring; positive where it turns left."""
+    terms = F.zip_with(ring, _next(ring), lambda p, q: p["lon"] * q["lat"] - q["lon"] * p["lat"])
+    return F.aggregate(terms, F.lit(0.0), lambda total, x: total + x)
+
+
+def _cut(ring: Column, edge: Column) -> Column:
+    """The part of an open ring on the left of a directed edge (a, b)."""
+    a, b = edge["a"], edge["b"]
+
+    def side(p: Column) -> Column:
+        return (b["lon"] - a["lon"]) * (p["lat"] - a["lat"]) - (b["lat"] - a["lat"]) * (p["lon"] - a["lon"])
+
+    none = F.slice(ring, 1, 0)
+    sides = F.zip_with(ring, _next(ring), lambda p, q: F.struct(p.alias("p"), q.alias("q"), side(p).alias("sp"), side(q).alias("sq")))
+
+    def stay(x: Column) -> Column:
+        share = x["sp"] / (x["sp"] - x["sq"])
+        met = F.struct(*[(x["p"][c] + share * (x["q"][c] - x["p"][c])).alias(c) for c in ("lon", "lat")])
+        return F.concat(F.when(x["sp"] >= 0, F.array(x["p"])).otherwise(none), F.when(x["sp"] * x["sq"] < 0, F.array(met)).otherwise(none))
+    return F.flatten(F.transform(sides, stay))
+
+
+def overlap_fraction(scene: str | Column, area: str | Column) -> Column:
+    """Area of (scene and area) over area, for rings as array<struct<lon,lat>>; the area must be convex, in either direction.
+
+    The area's edges cut the scene one after the other inside one aggregate, without leaving the JVM. Null where a ring is
+    unknown, has fewer than three points, or the area has no extent; 0 where they do not meet.
     """
-    def plain(r):
-        return None if r is None else [dict(lon=p["lon"], lat=p["lat"]) for p in r]
-    return pd.Series([_clip_fraction(plain(s), plain(a)) for s, a in zip(scene, area)], dtype="float64")
+    ring = "array<struct<lon:double,lat:double>>"
+    scene, area = (F.col(c) if isinstance(c, str) else c for c in (scene, area))
+    known = (F.size(scene) >= 3) & (F.size(area) >= 3)
+    both = F.struct(_open(scene.cast(ring)).alias("scene"), _open(area.cast(ring)).alias("area"))
+
+    def fraction(r: Column) -> Column:
+        left = F.when(_doubled_area(r["area"]) < 0, F.reverse(r["area"])).otherwise(r["area"])
+        edges = _bound(left, lambda w: F.zip_with(w, _next(w), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+        covered = _bound(F.aggregate(edges, r["scene"], _cut), _doubled_area)
+        return F.abs(covered) / F.nullif(F.abs(_doubled_area(r["area"])), F.lit(0.0))
+    return F.when(known, _bound(both, fraction))
