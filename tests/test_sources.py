@@ -49,11 +49,11 @@ def test_paged_json(spark, tmp_path):
     got = {r.obs_start: r.value for r in S.paged_series(spark, str(tmp_path / "ok"), cfg).collect()}
     assert len(got) == 7 and got[date(2026, 3, 4)] is None and got[date(2026, 3, 7)] == 77.0
     put(tmp_path / "short" / "p1.json", page(rows[:5], 7))
-    with pytest.raises(SourceChanged):
-        S.paged_series(spark, str(tmp_path / "short"), cfg)
+    with pytest.raises(Exception, match="SourceChanged: pagination incomplete"):
+        S.paged_series(spark, str(tmp_path / "short"), cfg).select("obs_end").collect()
     put(tmp_path / "unit" / "p1.json", page([("2026-03-01", "1", "EUR")], 1))
-    with pytest.raises(SourceChanged):
-        S.paged_series(spark, str(tmp_path / "unit"), cfg)
+    with pytest.raises(Exception, match="SourceChanged: provider units changed"):
+        S.paged_series(spark, str(tmp_path / "unit"), cfg).select("obs_end").collect()
     flow = spark.createDataFrame([("RBRTE", "s", "USD per barrel", "flow", True)], cfg.schema)
     first = S.paged_series(spark, str(tmp_path / "ok"), flow).orderBy("obs_end").first()
     assert (first.obs_end - first.obs_start).days == 6

@@ -67,6 +67,26 @@ def provenance(findings: DataFrame, versions: DataFrame, raw: DataFrame, id_col:
         raw.select(F.col("sha256").alias("raw_sha256"), "url", "retrieved_at"), "raw_sha256", "left")
 
 
+def review_state(decisions: DataFrame, at: str, tie: str | None = None) -> DataFrame:
+    """One row per card from a log of review entries (card_id, version, decision, note, pinned): each field keeps the latest
+    value that was stated for it, so an entry that sets one field leaves the others as they were; the reviewed version is that
+    of the latest entry. ``tie`` orders entries of one instant. A partial aggregation; a card with many entries is reduced first."""
+    when = F.struct(at, tie) if tie else F.struct(at)
+
+    def latest(c: str) -> Column:
+        return F.max_by(c, F.when(F.col(c).isNotNull(), when)).alias(c)
+    return decisions.groupBy("card_id").agg(latest("decision"), latest("note"), latest("pinned"), F.max_by("version", when).alias("reviewed_version"), F.max(at).alias("reviewed_at"))
+
+
+REVIEW_FILTERS = ("open", "pinned", "dismissed", "all")
+
+
+def shown_under(name: str) -> Column:
+    """Whether a card with its review shows under one of the inbox filters; open means not dismissed."""
+    return {"open": F.coalesce(F.col("decision") != "dismissed", F.lit(True)), "pinned": F.coalesce("pinned", F.lit(False)),
+            "dismissed": F.coalesce(F.col("decision") == "dismissed", F.lit(False)), "all": F.lit(True)}[name]
+
+
 def with_review(cards: DataFrame, reviews: DataFrame) -> DataFrame:
     """Cards beside their review decision; flagged when the evidence changed after the review."""
     r = reviews.select("card_id", "decision", "pinned", "reviewed_version")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from .. import bindings as B
 from ..config import PRICE_DAILY
 from ..operators import findings as FS
+from ..operators import guards as G
 from ..operators import versioned as V
 from ..operators.partitioned import PartitionedVersions
 from ..plans import reports, rules, scenes
@@ -258,3 +259,54 @@ def cards_with_review(spark, folder):
                                                   F.lit(False).alias("pinned"), F.lit(1).alias("reviewed_version"))
     c = reports.with_review(h, lab)
     return c.select("card_id", F.col("version").cast("bigint").alias("version"), "decision", F.col("updated_since_review").cast("int").alias("updated_since_review"))
+
+
+@query("review_store", """WITH e AS (SELECT user_id AS card_id, ts, event_id, event_id % 5 AS version, CASE WHEN event_type = 'click' THEN CASE WHEN value > 50 THEN 'dismissed' ELSE 'keep' END END AS decision,
+  CASE WHEN event_type = 'purchase' THEN value > 40 END AS pinned, CASE WHEN event_type = 'error' THEN 'note ' || event_id END AS note FROM events),
+ r AS (SELECT card_id, arg_max(decision, (ts, event_id)) FILTER (WHERE decision IS NOT NULL) AS decision, arg_max(note, (ts, event_id)) FILTER (WHERE note IS NOT NULL) AS note,
+  arg_max(pinned, (ts, event_id)) FILTER (WHERE pinned IS NOT NULL) AS pinned, arg_max(version, (ts, event_id)) AS reviewed_version FROM e GROUP BY 1)
+ SELECT c.c_custkey AS card_id, coalesce(r.decision, 'open') AS decision, r.note, coalesce(r.pinned, FALSE) AS pinned, CAST(r.reviewed_version AS INTEGER) AS reviewed_version, coalesce(r.reviewed_version < 3, FALSE) AS updated_since_review,
+  concat_ws(',', CASE WHEN coalesce(r.decision, '') <> 'dismissed' THEN 'open' END, CASE WHEN r.pinned THEN 'pinned' END, CASE WHEN r.decision = 'dismissed' THEN 'dismissed' END, 'all') AS shown_under
+ FROM customer c LEFT JOIN r ON r.card_id = c.c_custkey""")
+def review_store(spark, folder):
+    """Customers as cards of version 3, events as review entries that set one field each."""
+    e, kind = B.table(spark, folder, "events"), F.col("event_type")
+    log = e.select(F.col("user_id").alias("card_id"), "ts", "event_id", F.pmod("event_id", F.lit(5)).cast("int").alias("version"),
+                   F.when(kind == "click", F.when(F.col("value") > 50, "dismissed").otherwise("keep")).alias("decision"), F.when(kind == "purchase", F.col("value") > 40).alias("pinned"),
+                   F.when(kind == "error", F.concat(F.lit("note "), F.col("event_id").cast("string"))).alias("note"))
+    cards = B.table(spark, folder, "customer").select(F.col("c_custkey").alias("card_id"), F.lit(3).alias("version"))
+    state = reports.review_state(log, "ts", "event_id")
+    c = reports.with_review(cards, state).join(state.select("card_id", "note"), "card_id", "left")
+    shown = F.concat_ws(",", *[F.when(reports.shown_under(f), f) for f in reports.REVIEW_FILTERS])
+    return c.select("card_id", "decision", "note", "pinned", "reviewed_version", "updated_since_review", shown.alias("shown_under"))
+
+
+@query("unit_guard", """WITH d AS (SELECT *, CASE l_returnflag WHEN 'A' THEN 'USD per barrel' WHEN 'N' THEN 'percent' ELSE 'thousand barrels' END AS unit,
+  CASE WHEN l_linenumber = 7 THEN '$/GAL' WHEN l_linestatus = 'O' AND l_returnflag = 'N' THEN '%' WHEN l_returnflag = 'A' THEN '$/BBL' WHEN l_returnflag = 'N' THEN 'PERCENT' WHEN l_linestatus = 'F' THEN 'MBBL' END AS provider FROM lineitem)
+ SELECT 'unit' AS guard, unit AS item, provider AS detail, CAST(COUNT(*) AS DOUBLE) AS n FROM d WHERE l_linenumber = 7 GROUP BY 1, 2, 3
+ UNION ALL SELECT 'magnitude', l_returnflag || l_linestatus, CAST(l_linenumber AS VARCHAR), MEDIAN(l_quantity) FROM lineitem GROUP BY 1, 2, 3 HAVING MEDIAN(l_quantity) NOT BETWEEN 25 AND 26
+ UNION ALL SELECT 'total', CAST(declared AS VARCHAR), CAST(n_read AS VARCHAR), CAST(COUNT(*) AS DOUBLE) FROM (SELECT l_orderkey, MAX(l_linenumber) AS declared, COUNT(*) AS n_read FROM lineitem GROUP BY 1) WHERE declared <> n_read GROUP BY 1, 2, 3""")
+def unit_guard(spark, folder):
+    """Violations of the unit, magnitude and completeness guards among line items, counted."""
+    d, flag, line = B.table(spark, folder, "lineitem"), F.col("l_returnflag"), F.col("l_linenumber")
+    unit = F.when(flag == "A", "USD per barrel").when(flag == "N", "percent").otherwise("thousand barrels")
+    said = (F.when(line == 7, "$/GAL").when((F.col("l_linestatus") == "O") & (flag == "N"), "%").when(flag == "A", "$/BBL").when(flag == "N", "PERCENT").when(F.col("l_linestatus") == "F", "MBBL"))
+    units = G.unit_violations(d.select(unit.alias("unit"), said.alias("provider")), "unit", "provider").groupBy("unit", "provider").agg(F.count("*").cast("double").alias("n"))
+    medians = G.magnitude_violations(d, ["l_returnflag", "l_linestatus", "l_linenumber"], "l_quantity", 25, 26)
+    totals = G.total_violations(d.withColumn("one", F.lit(1)), ["l_orderkey"], "l_linenumber", "one").groupBy("declared", "read").agg(F.count("*").cast("double").alias("n"))
+    return (units.select(F.lit("unit").alias("guard"), F.col("unit").alias("item"), F.col("provider").alias("detail"), "n")
+            .unionByName(medians.select(F.lit("magnitude").alias("guard"), F.concat("l_returnflag", "l_linestatus").alias("item"), F.col("l_linenumber").cast("string").alias("detail"), F.col("median").alias("n")))
+            .unionByName(totals.select(F.lit("total").alias("guard"), F.col("declared").cast("string").alias("item"), F.col("read").cast("string").alias("detail"), "n")))
+
+
+@query("batch_guards", """WITH k AS (SELECT l_shipdate AS day, l_orderkey, l_linenumber, l_partkey, COUNT(*) AS n, COUNT(*) FILTER (WHERE l_quantity >= 50 AND l_discount >= 0.1) AS bad, COUNT(*) FILTER (WHERE l_linenumber = 7) AS late
+   FROM lineitem GROUP BY 1, 2, 3, 4),
+ g AS (SELECT day, CAST(SUM(n) AS BIGINT) AS n_rows, COUNT(*) FILTER (WHERE n > 1) AS n_repeated, CAST(SUM(bad) AS BIGINT) AS bad_discount, SUM(late) AS late FROM k GROUP BY 1)
+ SELECT CAST(CAST(day AS DATE) AS VARCHAR) AS day, n_rows, n_repeated, bad_discount, CASE WHEN bad_discount > 0 OR n_repeated > 0 THEN 'schema_changed' WHEN late = 0 THEN 'not_modified' ELSE 'ok' END AS status FROM g""")
+def batch_guards(spark, folder):
+    """Line items of a day as a batch; the last time each day was read, its seventh lines were not there yet."""
+    d, mark = B.table(spark, folder, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    key, by = ["l_orderkey", "l_linenumber", "l_partkey"], ["l_shipdate"]
+    before = G.batch_report(d.where("l_linenumber <> 7"), by, key, {}, mark=mark)
+    r = G.batch_report(d, by, key, {"discount": (F.col("l_quantity") < 50) | (F.col("l_discount") < 0.1)}, before, mark)
+    return r.select(F.to_date("l_shipdate").cast("string").alias("day"), "n_rows", "n_repeated", "bad_discount", "status")

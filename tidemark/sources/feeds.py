@@ -6,7 +6,7 @@ import zipfile
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import PROVIDER_UNITS, UNIT_NAMES
@@ -14,25 +14,25 @@ from ..functions import dates as D
 from ..functions.codes import _lookup
 from ..functions.numbers import german_percent
 from ..functions.text import canonical_url, clean_text, short_hash
-from ..operators.guards import SourceChanged, require_columns, require_none, total_violations, unit_violations
+from ..operators.guards import SourceChanged, assert_each, require_columns, require_none, unit_fits
 from ..plans.thermal import detection_id
 
 
-def _head(spark: SparkSession, path: str) -> list[str]:
-    """Different first lines of the files under a path, shortened: every file is looked at, one short text each comes back."""
+def _first_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The first line of every file under a path, shortened, as ``line``."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
-    first = lines.where("b = 0").groupBy("f").agg(F.min_by("value", "i").alias("v"))
-    return [r[0] for r in first.select(F.substring("v", 1, 200)).distinct().sort(F.lit(1)).collect()]
+    return lines.where("b = 0").groupBy("f").agg(F.min_by(F.substring("value", 1, 200), "i").alias("line"))
 
 
 def read_csv_text(spark: SparkSession, path: str, required: Sequence[str], what: str) -> DataFrame:
     """A headered CSV with every column as text; markup instead of CSV or a missing column stops the run."""
-    first = _head(spark, path)
-    if any(line.lstrip("﻿ ").startswith("<") for line in first):
+    markup = F.ltrim(F.col("line"), F.lit("\ufeff ")).startswith("<")
+    n, any_markup = _first_lines(spark, path).agg(F.count(F.lit(1)), F.max(markup)).first()     # one row, however many files
+    if any_markup:
         raise SourceChanged(f"{what}: markup instead of CSV")
     df = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
-    df = df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
-    return require_columns(df, required, what) if first else df
+    df = df.toDF(*[c.lstrip("\ufeff").strip() for c in df.columns])
+    return require_columns(df, required, what) if n else df
 
 
 def _observation(series_id: Column, start: Column, end: Column, value: Column, **attrs: Column) -> list[Column]:
@@ -72,20 +72,26 @@ PAGE = "response struct<total:string,data:array<struct<period:string,series:stri
 
 
 def paged_series(spark: SparkSession, path: str, series: DataFrame) -> DataFrame:
-    """Pages of an API as observations.
+    """Pages of an API as observations, in one pass over the pages.
 
     series: facet, series_id, unit, measure, weekly. Rows must add up to the declared total, provider units
-    must fit, a period stated twice counts once (first page first), and null tokens are missing values.
+    must fit, a period stated twice counts once (first page first), and null tokens are missing values. What breaks a rule
+    fails the query that reads the rows, whichever columns it takes; totals are added up per period before they meet.
     """
     pages = spark.read.schema(PAGE).option("multiLine", True).json(path).withColumn("page", F.input_file_name())
-    require_none(pages.where("response.data IS NULL").select("page", "error"), "response without data")
-    facet = F.get("response.data", 0)["series"]
-    sized = pages.select(facet.alias("facet"), F.col("response.total").cast("long").alias("total"), F.size("response.data").alias("n"))
-    require_none(total_violations(sized, ["facet"], "total", "n"), "pagination incomplete")
-    rows = pages.select("page", F.posexplode("response.data").alias("pos", "r")).select("page", "pos", "r.*")
-    d = rows.join(series.withColumnRenamed("facet", "_f"), F.col("series") == F.col("_f"))
-    require_none(unit_violations(d, "unit", "units").select("series", "unit", "units").distinct(), "provider units changed")
-    d = d.groupBy("series_id", "period", "measure", "weekly").agg(F.min_by("value", F.struct("page", "pos")).alias("v"))
+    pages = assert_each(pages, F.col("response.data").isNotNull(), F.concat(F.lit("response without data: "), F.coalesce("error", F.lit("no reason given"))))
+    total = F.coalesce(F.col("response.total").cast("long"), F.lit(-1))
+    pages = assert_each(pages, (F.size("response.data") > 0) | (total == 0), F.lit("pagination incomplete: an empty page declares rows"))
+    rows = pages.select("page", total.alias("total"), F.posexplode("response.data").alias("pos", "r")).select("page", "total", "pos", "r.*")
+    d = rows.join(series.withColumnRenamed("facet", "_f"), F.col("series") == F.col("_f"), "left")
+    d = assert_each(d, unit_fits("unit", "units"), F.concat(F.lit("provider units changed: "), F.concat_ws(", ", "series", "unit", "units")))
+    d = d.groupBy("series", "series_id", "period", "measure", "weekly").agg(
+        F.min_by("value", F.struct("page", "pos")).alias("v"), F.count(F.lit(1)).alias("_n"), F.max("total").alias("_total"))
+    whole = Window.partitionBy("series", "series_id")          # a row per period, as many as the calendar has
+    d = d.withColumns({"_read": F.sum("_n").over(whole), "_declared": F.max("_total").over(whole)})
+    short = F.raise_error(F.concat(F.lit("SourceChanged: pagination incomplete: "), F.concat_ws(" ", "series", "_read", F.lit("of"), "_declared"))).cast("boolean")
+    # One filter for both: a facet that nobody asked for must not leave before its total was checked.
+    d = d.where(F.when(F.col("_read") == F.col("_declared"), F.col("series_id").isNotNull()).otherwise(short))
     end = F.to_date(F.substring("period", 1, 10))
     start = F.when(F.col("weekly"), D.weekly_start(end, F.col("measure"))).otherwise(end)
     value = F.when(F.col("v").isin("", "NA", "--"), None).otherwise(F.col("v").try_cast("double"))
@@ -186,9 +192,11 @@ THERMAL = ["latitude", "longitude", "acq_date", "acq_time", "confidence", "frp",
 
 def thermal_detections(spark: SparkSession, path: str, source: str) -> DataFrame:
     """Detections with a repeatable id; error texts in place of data stop the run."""
-    first = " ".join(_head(spark, path)).lower()
-    if "invalid map_key" in first or "invalid api" in first or ("exceed" in first and "transaction" in first):
-        raise SourceChanged(f"thermal source refused: {first[:80]}")
+    line = F.lower("line")
+    refused = line.contains("invalid map_key") | line.contains("invalid api") | (line.contains("exceed") & line.contains("transaction"))
+    said = _first_lines(spark, path).agg(F.min(F.when(refused, line))).first()[0]
+    if said is not None:
+        raise SourceChanged(f"thermal source refused: {said[:80]}")
     df = read_csv_text(spark, path, THERMAL, "thermal CSV")
 
     def num(c: str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import month_end, month_start
+from ..operators.guards import assert_each
 
 SCHEMA = ("id array<string>, size array<int>, updated string, label string, error string, "
           "dimension map<string,struct<category:struct<index:string,label:map<string,string>>>>, value string, status string")
@@ -31,16 +32,17 @@ def decode_jsonstat(docs: DataFrame, text: str, dimensions: Sequence[str]) -> Da
     """One row per combination of categories, with value and status; an absent position is a null value.
 
     Dimensions are named in the document's own order. Values and statuses may be lists or objects; a document that reports
-    an error stops the run. A document's cells are its flat positions; each carries the code of every dimension by division,
+    an error stops the query that reads its rows, whichever columns that takes. A document's cells are its flat positions; each carries the code of every dimension by division,
     and values join by (document, position), so work is linear in cells plus values and no cell holds the document.
     """
     keep = [c for c in docs.columns if c != text]
     d = docs.withColumns({"_j": F.from_json(text, SCHEMA), "_doc": F.sha2(F.col(text), 256)})
-    failed = F.raise_error(F.concat(F.lit("the source reports an error: "), F.col("_j.error"))).cast("timestamp")
-    updated = F.when(F.col("_j.error").isNotNull(), failed).otherwise(F.try_to_timestamp("_j.updated"))
-    known = d.dropDuplicates(["_doc"])
-    values = known.select("_doc", F.inline(_entries(F.col("_j.value"), "double"))).withColumnRenamed("v", "value")
-    states = known.select("_doc", F.inline(_entries(F.col("_j.status"), "string"))).withColumnRenamed("v", "status")
+    d = assert_each(d, F.col("_j.error").isNull(), F.concat(F.lit("the source reports an error: "), F.col("_j.error")))
+    updated = F.try_to_timestamp("_j.updated")
+
+    def cells_of(part: str, kind: str, name: str) -> DataFrame:    # a document that comes twice says the same: its cells fold, not its text
+        return d.select("_doc", F.inline(_entries(F.col(f"_j.{part}"), kind))).groupBy("_doc", "_flat").agg(F.first("v").alias(name))
+    values, states = cells_of("value", "double", "value"), cells_of("status", "string", "status")
     codes = {dim: _ordered(F.col("_j.dimension")[dim]["category"]) for dim in dimensions}
     cells = d.select(*keep, "_doc", updated.alias("published_at"), *[c.alias(f"_c_{dim}") for dim, c in codes.items()])
     total = F.lit(1).cast("long")
