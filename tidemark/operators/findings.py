@@ -134,6 +134,44 @@ def store_cards(stored: DataFrame, cards: DataFrame, content: list[str], now: Co
     return kept.unionByName(inserts)
 
 
+def build_cards(stored: DataFrame, cards: DataFrame, content: list[str], now: Column, complete_kinds: list[str] = (),
+                considered: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """One build over cards of all kinds: the next table, and (card_id, kind, outcome) of every card it judged.
+
+    A full outer join of each card's newest stored version with the cards produced answers at once what became of it: ``new``,
+    ``same``, ``changed`` (the old version is superseded), ``withdrawn``, or ``returned`` after a withdrawal, which continues the
+    numbering. A current card that was not produced is withdrawn if its kind is in ``complete_kinds`` (a build produces all
+    of them) or its card_id is in ``considered`` (it was looked at and no longer qualifies); otherwise it stays. A build produces
+    a card_id once at most. History passes through untouched.
+    """
+    new = cards.withColumn("content_hash", content_hash(content))
+    held = stored.groupBy("card_id").agg(F.max_by(F.struct("version", "status", F.col("content_hash").alias("hash"), "kind"), "version").alias("_held"))
+    made = new.select("card_id", F.struct("kind", F.col("content_hash").alias("hash")).alias("_made"))
+    both = held.join(made, "card_id", "full_outer")
+    looked = F.col("_held.kind").isin(list(complete_kinds))
+    if considered is not None:
+        both = both.join(considered.select("card_id", F.lit(True).alias("_looked")).distinct(), "card_id", "left")
+        looked = looked | F.coalesce("_looked", F.lit(False))
+    current = F.col("_held.status") == "current"
+    outcome = (F.when(F.col("_made").isNull(), F.when(current & looked, "withdrawn"))
+               .when(F.col("_held").isNull(), "new").when(~current, "returned").when(F.col("_held.hash") == F.col("_made.hash"), "same").otherwise("changed"))
+    judged = cut_lineage(both.select("card_id", F.coalesce("_made.kind", "_held.kind").alias("kind"), outcome.alias("outcome"), F.col("_held.version").alias("_v")).where("outcome IS NOT NULL"))
+    inserts = new.join(judged.where("outcome IN ('new', 'changed', 'returned')").select("card_id", "_v"), "card_id").withColumns({
+        "version": (F.coalesce("_v", F.lit(0)) + 1).cast("int"), "status": F.lit("current"), "created_at": now})
+    closing = judged.where("outcome IN ('changed', 'withdrawn')").select("card_id", F.when(F.col("outcome") == "changed", "superseded").otherwise("withdrawn").alias("_status"))
+    is_current = F.col("status") == "current"
+    closed = stored.where(is_current).join(closing, "card_id", "left").withColumn("status", F.coalesce("_status", "status"))
+    table = stored.where(~is_current).unionByName(closed.select(*stored.columns)).unionByName(inserts.select(*stored.columns))
+    return table, judged.select("card_id", "kind", "outcome")
+
+
+def build_counts(outcomes: DataFrame) -> DataFrame:
+    """Per kind how many cards a build produced, how many versions it added, and how many it withdrew."""
+    o = F.col("outcome")
+    return outcomes.groupBy("kind").agg(F.count_if(o != "withdrawn").alias("n_cards"), F.count_if(o.isin("new", "changed", "returned")).alias("new_versions"),
+                                        F.count_if(o == "withdrawn").alias("withdrawn"), F.count_if(o == "returned").alias("returned"))
+
+
 def card_history(batches: DataFrame, seen_at: str, content: list[str]) -> DataFrame:
     """All card versions of a sequence of builds at once: a version starts where the content hash changes."""
     d = batches.withColumn("content_hash", content_hash(content))

@@ -10,7 +10,7 @@ from ..operators.regress import lag_design, lag_findings, lag_residuals, passthr
 from ..plans import rules
 from ..plans.derived import aligned_crude, euro_crude
 from ..plans.digest import rank_alerts
-from .base import DAILY_COUNT, DAILY_CRUDE, DAILY_PRICE, WEEKLY_PRICE, price_points_sql, query
+from .base import DAILY_COUNT, DAILY_CRUDE, DAILY_PRICE, FIXING, WEEKLY_PRICE, price_points_sql, query
 
 ALL_DAILY = {**PRICE_DAILY, "last_n": None}
 ALL_WEEKLY = {**PRICE_WEEKLY, "last_n": None}
@@ -213,3 +213,34 @@ def interval_mean_query(spark, folder):
     w = cost_wedge(weekly.withColumn("pair", F.lit("all")), al, ["pair"])
     return w.select("series_id", F.col("obs_start").cast("string").alias("obs_start"), "n_days",
                     F.round("crude_litre", 5).alias("crude_litre"), F.round("wedge", 5).alias("wedge"))
+
+
+_REVISED = "CASE WHEN day(c.obs_start) = 15 AND year(c.obs_start) = 1998 THEN c.value * 1.1 ELSE c.value END"
+
+
+@query("derived_versions", f"""WITH s AS ({WEEKLY_PRICE}), c AS ({DAILY_CRUDE}), f AS ({FIXING}),
+ e AS (SELECT c.obs_start, c.value / f.fx AS old, {_REVISED} / f.fx AS new, f.fx_date FROM c ASOF JOIN f ON c.obs_start >= f.fx_date WHERE date_diff('day', f.fx_date, c.obs_start) <= 3),
+ d AS (SELECT s.series_id, s.obs_start, ANY_VALUE(s.value) AS price, AVG(e.old) / 158.987294928 AS old, AVG(e.new) / 158.987294928 AS new, COUNT(e.old) + COUNT(DISTINCT e.fx_date) + 1 AS n_inputs
+   FROM s LEFT JOIN e ON e.obs_start BETWEEN s.obs_start - 7 AND s.obs_start - 3 GROUP BY 1, 2),
+ changed AS (SELECT *, abs((price - old) - (price - new)) > 1e-9 * GREATEST(1, abs(price - old)) AS again FROM d)
+ SELECT 'wedge.' || series_id AS series_id, CAST(obs_start AS VARCHAR) AS obs_start, 1 AS revision_no, ROUND(price - old, 5) AS value, n_inputs, NOT coalesce(again, FALSE) AS is_current FROM changed
+ UNION ALL SELECT 'wedge.' || series_id, CAST(obs_start AS VARCHAR), 2, ROUND(price - new, 5), n_inputs, TRUE FROM changed WHERE again""")
+def derived_versions(spark, folder):
+    """The wedge of all weeks, then crude of the 15th of every month of 1998 is revised and only the weeks it reaches are made again."""
+    from ..operators.partitioned import ROWS
+    from ..operators.versioned import merge_observations
+    from ..plans.derived_store import WedgeInputs, refresh_wedge, wedge_rows
+    from ..session import cut_lineage
+    t0, t1 = (F.lit(t).cast("timestamp") for t in ("2001-01-01", "2001-01-02"))
+    crude = B.daily_crude(spark, folder).select(F.lit("crude").alias("series_id"), "obs_start", "value")
+    rate = B.fixing(spark, folder).select(F.lit("rate").alias("series_id"), F.col("fx_date").alias("obs_start"), F.col("fx").alias("value"))
+    first = crude.unionByName(rate).unionByName(B.weekly_price(spark, folder).select("series_id", "obs_start", "value"))
+    empty = spark.createDataFrame([], ROWS)
+    obs = cut_lineage(merge_observations(empty, first, t0)[0])
+    series = WedgeInputs("crude", "rate", F.col("series_id").startswith("lineitem."))
+    derived = cut_lineage(merge_observations(empty, wedge_rows(obs.where("is_current"), series), t0)[0])
+    revised = crude.where((F.dayofmonth("obs_start") == 15) & (F.year("obs_start") == 1998)).withColumn("value", F.col("value") * 1.1)
+    obs = cut_lineage(merge_observations(obs, revised, t1)[0])
+    table, _ = refresh_wedge(derived, obs, series, t1, t1)
+    return table.select("series_id", F.col("obs_start").cast("string").alias("obs_start"), "revision_no", F.round("value", 5).alias("value"),
+                        F.size(F.from_json("attrs", "inputs array<string>")["inputs"]).cast("bigint").alias("n_inputs"), "is_current")

@@ -310,3 +310,23 @@ def batch_guards(spark, folder):
     before = G.batch_report(d.where("l_linenumber <> 7"), by, key, {}, mark=mark)
     r = G.batch_report(d, by, key, {"discount": (F.col("l_quantity") < 50) | (F.col("l_discount") < 0.1)}, before, mark)
     return r.select(F.to_date("l_shipdate").cast("string").alias("day"), "n_rows", "n_repeated", "bad_discount", "status")
+
+
+@query("card_build", """WITH c AS (SELECT o_custkey AS card_id, year(o_orderdate) AS build, COUNT(*) FILTER (WHERE o_orderstatus = 'F') AS done, COUNT(DISTINCT o_orderpriority) AS kinds FROM orders GROUP BY 1, 2),
+ k AS (SELECT *, CASE card_id % 3 WHEN 0 THEN 'anomaly' WHEN 1 THEN 'headline' ELSE 'context' END AS kind, card_id % 3 = 0 OR (card_id % 3 = 1 AND card_id % 2 = 0) AS leaves FROM c),
+ l AS (SELECT *, LAG(done) OVER w AS pd, LAG(kinds) OVER w AS pk, LAG(build) OVER w AS pb, MAX(build) OVER (PARTITION BY card_id) AS last FROM k WINDOW w AS (PARTITION BY card_id ORDER BY build)),
+ s AS (SELECT *, leaves AND build - pb > 1 AS came_back FROM l WHERE pb IS NULL OR done <> pd OR kinds <> pk OR (leaves AND build - pb > 1)),
+ v AS (SELECT *, ROW_NUMBER() OVER w AS version, LEAD(came_back) OVER w AS next_came_back, LEAD(build) OVER w AS nb FROM s WINDOW w AS (PARTITION BY card_id ORDER BY build))
+ SELECT card_id, kind, version, build, done, kinds, CASE WHEN nb IS NOT NULL THEN CASE WHEN next_came_back THEN 'withdrawn' ELSE 'superseded' END
+  WHEN leaves AND last < (SELECT MAX(build) FROM c) THEN 'withdrawn' ELSE 'current' END AS status FROM v""")
+def card_build(spark, folder):
+    """One build of all kinds per year of orders: a customer's card is produced in years with orders. Anomaly cards are always
+    all produced, of the headline cards every second is looked at, context cards are never withdrawn."""
+    which = F.element_at(F.array(*map(F.lit, ("anomaly", "headline", "context"))), (F.pmod("card_id", F.lit(3)) + 1).cast("int"))
+    c = cut_lineage(_card_builds(spark, folder).withColumn("kind", which))
+    table = spark.createDataFrame([], "card_id bigint, version int, kind string, status string, created_at timestamp, content_hash string, done bigint, kinds bigint, build int")
+    looked_at = c.where("kind = 'headline' AND card_id % 2 = 0").select("card_id").distinct()
+    for year in [r[0] for r in c.select("build").distinct().sort("build").collect()]:
+        table, _ = FS.build_cards(table, c.where(F.col("build") == year), ["done", "kinds"], F.make_timestamp(F.lit(year), F.lit(12), F.lit(31), F.lit(0), F.lit(0), F.lit(0)), ["anomaly"], looked_at)
+        table = cut_lineage(table)
+    return table.select("card_id", "kind", F.col("version").cast("bigint").alias("version"), F.col("build").cast("bigint").alias("build"), "done", "kinds", "status")
