@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import PROVIDER_UNITS
 from ..session import scratch_path
+from .quantiles import group_quantiles
 
 
 class SourceChanged(ValueError):
@@ -117,9 +118,8 @@ def unit_violations(df: DataFrame, unit: str, provider_unit: str) -> DataFrame:
 
 
 def magnitude_violations(df: DataFrame, keys: Sequence[str], value: str, lo: float, hi: float) -> DataFrame:
-    """Groups whose median lies outside the plausible range."""
-    med = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.percentile(value, 0.5).alias("median"))
-    return med.where(~F.col("median").between(lo, hi))
+    """Groups whose median lies outside the plausible range; a group of any size is only counted, never gathered."""
+    return group_quantiles(df, keys, value, {"median": 0.5}).where(~F.col("median").between(lo, hi)).drop("n")
 
 
 def total_violations(pages: DataFrame, key: Sequence[str], declared: str, rows_on_page: str) -> DataFrame:
