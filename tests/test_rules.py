@@ -1,5 +1,5 @@
 """Screening rules: no look-ahead, suppression, persistence, regression against plain numpy."""
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
@@ -175,3 +175,36 @@ def test_all_rules_route_by_source(spark):
                                ("portwatch.dover.n_tanker", "IMF PortWatch", "daily", "transits")], "series_id string, source string, frequency string, unit string")
     n = {r.rule_id: r["count"] for r in rules.run_rules(d, s, ["hormuz"]).groupBy("rule_id").count().collect()}
     assert n == {"price_daily": 30, "price_weekly": 6, "inventory_week": 8, "shipping_7d": 21}
+
+
+def test_a_rule_run_stores_supersedes_replays_and_sets_aside(spark):
+    """Runs on one store: the same inputs change nothing, a revision supersedes, a replay stays apart, a passage leaves."""
+    from tidemark.operators.partitioned import ROWS
+    from tidemark.operators.versioned import merge_observations
+    from tidemark.registry.stores import _stored
+    day = lambda n: date(2026, 1, 1) + timedelta(n)              # noqa: E731
+    at = lambda n: F.lit(datetime(2026, 6, n))                   # noqa: E731
+    pump = "oil_bulletin.de.diesel.without_tax"
+    rows = [("eia.brent_spot", day(n), 80 + n % 5 / 10) for n in range(120)] + [(pump, day(7 * n), 0.7 + n % 4 / 100) for n in range(80)]
+    rows += [("derived.brent_eur_per_litre", day(n), 0.4 + n % 11 / 1000) for n in range(560)] + [(f"portwatch.{g}.n_tanker", day(n), 40.0 + n % 7) for g in ("hormuz", "suez") for n in range(60)]
+    batch = spark.createDataFrame(rows, "series_id string, obs_start date, value double")
+    versions = spark.createDataFrame(merge_observations(spark.createDataFrame([], ROWS), batch, at(1))[0].collect(), ROWS)
+    series = spark.createDataFrame([("eia.brent_spot", "EIA", "daily", "USD per barrel"), (pump, "EU Oil Bulletin", "weekly", "EUR"), ("portwatch.hormuz.n_tanker", "IMF PortWatch", "daily", "n"),
+                                    ("portwatch.suez.n_tanker", "IMF PortWatch", "daily", "n")], "series_id string, source string, frequency string, unit string")
+    table = _stored(spark, rules.run_rules(versions, series))
+
+    def run(table, versions, groups, n, as_of=None):
+        out, counts = rules.screen(table, versions, series, at(n), groups, as_of)
+        out = spark.createDataFrame(out.collect(), out.schema)
+        return out, counts.first().evaluated, {(r.rule_id, r.status): r["count"] for r in out.groupBy("rule_id", "status").count().collect()}
+    both = ["hormuz", "suez"]
+    t1, n1, s1 = run(table, versions, both, 2)
+    assert s1 == {("price_daily", "active"): 30, ("price_weekly", "active"): 6, ("shipping_7d", "active"): 42, ("fuel_lag_resid", "active"): 6} and n1 == 84
+    t2, _, s2 = run(t1, versions, both, 3)
+    assert s2 == s1
+    revised = spark.createDataFrame(merge_observations(versions, spark.createDataFrame([("eia.brent_spot", day(119), 95.0)], batch.schema), at(4))[0].collect(), ROWS)
+    t3, _, s3 = run(t2, revised, ["hormuz"], 5)
+    assert s3[("price_daily", "superseded")] == 1 and s3[("price_daily", "active")] == 30 and s3[("shipping_7d", "not_screened")] == 21 and s3[("shipping_7d", "active")] == 21
+    assert t3.where("fired AND status = 'active' AND rule_id = 'price_daily'").count() == 1
+    t4, _, s4 = run(t3, revised, both, 6, as_of=at(2))
+    assert s4[("price_daily", "replay")] == 30 and {k: v for k, v in s4.items() if k[1] != "replay"} == s3

@@ -102,7 +102,20 @@ def test_features(spark, tmp_path):
     assert got == {date(2026, 1, 2): 12.0, date(2026, 1, 3): None}
     wanted = spark.createDataFrame([("hormuz", ["strait of HORMUZ", "Hormuz"]), ("nowhere", ["x"])], "slug string, names array<string>")
     known = spark.createDataFrame([("cp6", "Strait of Hormuz"), ("cp7", "Hormuz")], "portid string, portname string")
-    assert {r.slug: r.portid for r in S.resolve_names(wanted, known).collect()} == {"hormuz": "cp6", "nowhere": None}
+    assert {r.slug: r.portid for r in S.resolve_names(wanted, known, strict=False).collect()} == {"hormuz": "cp6", "nowhere": None}
+    assert S.resolve_names(wanted.where("slug = 'hormuz'"), known).first().portname == "Strait of Hormuz"
+    for columns in (["slug"], ["portid"], []):
+        with pytest.raises(Exception, match="not found by name: nowhere"):
+            S.resolve_names(wanted, known).select(*columns).collect()
+
+
+def test_port_series_carry_their_group(spark):
+    ports = spark.createDataFrame([("port1", "fujairah", "Fujairah", "bypass"), ("port2", "ras", "Ras Tanura", "inside_gulf")], "portid string, slug string, name string, group string")
+    got = {r.series_id: r for r in S.port_series(ports, {"portcalls_tanker": ("tanker calls", "calls per day"), "export_tanker": ("tanker exports", "tonnes")}).collect()}
+    assert len(got) == 4
+    r = got["portwatch.port.ras.export_tanker"]
+    assert (r.source_key, r.name, r.geography, r.unit, r.group) == ("port2:export_tanker", "Ras Tanura: tanker exports", "Ras Tanura", "tonnes", "inside_gulf")
+    assert r.description == "PortWatch daily port data (inside gulf port)"
 
 
 def test_thermal_csv(spark, tmp_path):

@@ -6,13 +6,18 @@ version_id. Output rows share one shape, so rules can be united and stored.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import FORMULAS, INVENTORY, PRICE_DAILY, ROBUST_Z_THRESHOLD, SHIPPING, SHIPPING_BASELINE
+from ..config import FORMULAS, INVENTORY, PRICE_DAILY, PRICE_DAILY_MIN_PCT, PRICE_WEEKLY, ROBUST_Z_THRESHOLD, SHIPPING, SHIPPING_BASELINE
 from ..functions.robust import with_robust_z
-from ..operators.timeline import densify_daily, first_differences, last_rows, log_returns, seasonal_baseline
+from ..operators.findings import mark_unscreened, store_findings
+from ..operators.regress import lag_findings, lag_residuals
+from ..operators.timeline import densify_daily, first_differences, interval_mean, last_rows, log_returns, seasonal_baseline
+from ..operators.versioned import observations
+from ..session import cut_lineage
 
 FINDING = ["rule_id", "series_id", "obs_start", "obs_end", "value", "fired", "evaluation", "method", "z", "stats",
            "thresholds", "input_version_ids", "explanation", "severity_rank", "formula_version"]
@@ -234,7 +239,16 @@ def lag_rule(fits: DataFrame) -> DataFrame:
         input_version_ids=F.array(F.concat_ws("@", "series_id", F.col("obs_start").cast("string"))), explanation=text)
 
 
-def run_rules(obs: DataFrame, series: DataFrame, screened_groups: list[str] | None = None) -> DataFrame:
+def lag_pairs(retail: DataFrame, crude_litre: DataFrame) -> DataFrame:
+    """series_id, obs_start, value and ``crude``: the mean crude cost per litre over the days D-7..D-3 before each bulletin date;
+    dates without a crude day in that window fall out. The mean is made once per date, however many series share it."""
+    one = F.lit(0).alias("all")
+    facts = crude_litre.select(one, F.col("obs_start").alias("day"), F.col("value").alias("cost"))
+    means = interval_mean(retail.select(one, "obs_start").distinct(), facts, ["all"], "obs_start", "day", "cost", 3, 7)
+    return retail.select("series_id", "obs_start", "value").join(means.where("n_days > 0").select("obs_start", F.col("mean_value").alias("crude")), "obs_start")
+
+
+def run_rules(obs: DataFrame, series: DataFrame, screened_groups: list[str] | None = None, crude_litre: str = "derived.brent_eur_per_litre") -> DataFrame:
     """All rules on one vintage: series are routed to rules by source and frequency, findings united."""
     s = series.select("series_id", "source", "frequency", "unit")
     d = obs.join(s, "series_id")
@@ -242,21 +256,36 @@ def run_rules(obs: DataFrame, series: DataFrame, screened_groups: list[str] | No
     if screened_groups is not None:
         group = F.element_at(F.split("series_id", r"\."), 2)
         shipping = shipping.where(F.col("series_id").startswith("portwatch.port.") | group.isin(screened_groups))
-    from ..config import PRICE_DAILY_MIN_PCT, PRICE_WEEKLY
     daily_limit = F
     for sid, pct in PRICE_DAILY_MIN_PCT.items():
         daily_limit = daily_limit.when(F.col("series_id") == sid, pct)
     daily = d.where(F.col("series_id").isin(list(PRICE_DAILY_MIN_PCT)))
+    bulletin = d.where(F.col("source") == "EU Oil Bulletin")
+    retail = bulletin.where(F.col("series_id").rlike(r"\.(diesel|euro95)\..*without_tax$"))
     parts = [
         price_rule(daily, PRICE_DAILY, daily_limit.otherwise(PRICE_DAILY["min_abs_pct"])),
-        price_rule(d.where(F.col("source") == "EU Oil Bulletin"), PRICE_WEEKLY),
+        price_rule(bulletin, PRICE_WEEKLY),
         inventory_rule(d.where((F.col("source") == "EIA") & (F.col("frequency") == "weekly"))),
         shipping_rule(shipping.where(F.col("series_id").rlike(r"\.n_tanker$|\.n_total$|^portwatch\.port\."))),
+        lag_rule(lag_findings(lag_residuals(lag_pairs(retail, obs.where(F.col("series_id") == crude_litre))))),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
+
+
+def screen(stored: DataFrame, versions: DataFrame, series: DataFrame, now: Column, screened_groups: list[str], as_of: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """One rule run: the next finding table, and how many findings were evaluated and fired.
+
+    The rules see the vintage known at ``as_of`` (now, if none is given). Findings on the same inputs change nothing, new inputs
+    supersede; passages that are no longer screened keep their findings under another status. A replay of an older vintage is
+    stored beside and touches nothing.
+    """
+    findings = cut_lineage(run_rules(observations(versions, as_of), series, screened_groups))       # stored and counted: computed once
+    table = store_findings(stored, findings, now, as_of)
+    if as_of is None:
+        passage = F.when(F.col("series_id").startswith("portwatch.") & ~F.col("series_id").startswith("portwatch.port."), F.element_at(F.split("series_id", r"\."), 2))
+        screened = stored.sparkSession.createDataFrame([(g,) for g in screened_groups], "group_key string")
+        table = mark_unscreened(table, screened, passage, now)
+    return table, findings.agg(F.count(F.lit(1)).alias("evaluated"), F.count_if("fired").alias("fired"))
 
 
 def backtest(findings: DataFrame, start: str, end: str) -> DataFrame:

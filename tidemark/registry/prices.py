@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import bindings as B
-from ..config import FUEL_LAG, INVENTORY, PRICE_DAILY, PRICE_WEEKLY, SHIPPING
+from ..config import FUEL_LAG, INVENTORY, LITRES_PER_BARREL, PRICE_DAILY, PRICE_WEEKLY, SHIPPING
 from ..operators.findings import alert_episodes, latest_of_episode
 from ..operators.regress import lag_design, lag_findings, lag_residuals, passthrough_periods
 from ..plans import rules
@@ -145,11 +145,7 @@ def story_digest(spark, folder):
 
 
 def _lag_pairs(spark, folder):
-    weekly = B.weekly_price(spark, folder)
-    points = weekly.select(F.lit("all").alias("pair"), "obs_start").distinct()
-    crude = B.daily_crude(spark, folder).withColumn("eur_bbl", F.col("value"))
-    al = aligned_crude(points, crude).select("obs_start", "crude_litre")
-    return weekly.join(al.where("crude_litre IS NOT NULL"), "obs_start").withColumnRenamed("crude_litre", "crude")
+    return rules.lag_pairs(B.weekly_price(spark, folder), B.daily_crude(spark, folder).withColumn("value", F.col("value") / LITRES_PER_BARREL))
 
 
 LAG_PAIRS = f"""WITH s AS ({WEEKLY_PRICE}), c AS ({DAILY_CRUDE}),
@@ -244,3 +240,39 @@ def derived_versions(spark, folder):
     table, _ = refresh_wedge(derived, obs, series, t1, t1)
     return table.select("series_id", F.col("obs_start").cast("string").alias("obs_start"), "revision_no", F.round("value", 5).alias("value"),
                         F.size(F.from_json("attrs", "inputs array<string>")["inputs"]).cast("bigint").alias("n_inputs"), "is_current")
+
+
+_DAILY_POINTS = price_points_sql(DAILY_PRICE, 250, 60, 5, 4.0)
+_WEEKLY_POINTS = price_points_sql(WEEKLY_PRICE, 156, 52, 15, 3.0)
+
+
+@query("rule_run", f"""WITH daily AS ({_DAILY_POINTS} SELECT series_id, obs_start, fired FROM points), weekly AS ({_WEEKLY_POINTS} SELECT series_id, obs_start, fired FROM points),
+ ds AS (SELECT obs_start FROM ({DAILY_PRICE}) WHERE series_id = 'orders.1-URGENT' AND value > 0 ORDER BY obs_start DESC LIMIT 30),
+ ws AS (SELECT obs_start FROM ({WEEKLY_PRICE}) WHERE series_id = 'lineitem.A' AND value > 0 ORDER BY obs_start DESC LIMIT 6)
+ SELECT 'price_daily' AS rule_id, 'eia.brent_spot' AS series_id, 'active' AS status, COUNT(*) AS n, CAST(SUM(CAST(fired AS INTEGER)) AS BIGINT) AS n_price_fired FROM daily JOIN ds USING (obs_start) WHERE series_id = 'orders.1-URGENT'
+ UNION ALL SELECT 'price_weekly', 'oil_bulletin.de.diesel.without_tax', 'active', COUNT(*), CAST(SUM(CAST(fired AS INTEGER)) AS BIGINT) FROM weekly JOIN ws USING (obs_start) WHERE series_id = 'lineitem.A'
+ UNION ALL SELECT 'shipping_7d', 'portwatch.hormuz.n_tanker', 'active', 21, 0 UNION ALL SELECT 'shipping_7d', 'portwatch.suez.n_tanker', 'not_screened', 21, 0
+ UNION ALL SELECT 'fuel_lag_resid', 'oil_bulletin.de.diesel.without_tax', 'active', 6, 0""")
+def rule_run(spark, folder):
+    """All rules over one store of versions, then again after one passage left the screening: nothing new, its findings set aside."""
+    from ..operators.partitioned import ROWS
+    from ..operators.versioned import merge_observations
+    from ..session import cut_lineage
+    from .stores import _stored
+
+    def named(df, which, name, value=F.col("value")):
+        return df.where(F.col("series_id") == which).select(F.lit(name).alias("series_id"), "obs_start", value.alias("value"))
+    daily, count = B.daily_price(spark, folder), B.daily_count(spark, folder)
+    crude = B.daily_crude(spark, folder).withColumn("series_id", F.lit("crude"))
+    pump = "oil_bulletin.de.diesel.without_tax"
+    batch = (named(daily, "orders.1-URGENT", "eia.brent_spot").unionByName(named(B.weekly_price(spark, folder), "lineitem.A", pump))
+             .unionByName(named(count, "orders.2-HIGH", "portwatch.hormuz.n_tanker")).unionByName(named(count, "orders.5-LOW", "portwatch.suez.n_tanker"))
+             .unionByName(named(crude, "crude", "derived.brent_eur_per_litre", F.col("value") / LITRES_PER_BARREL)))
+    versions = cut_lineage(merge_observations(spark.createDataFrame([], ROWS), batch, F.lit("2001-01-01").cast("timestamp"))[0])
+    series = spark.createDataFrame([("eia.brent_spot", "EIA", "daily", "USD per barrel"), (pump, "EU Oil Bulletin", "weekly", "EUR per litre"), ("portwatch.hormuz.n_tanker", "IMF PortWatch", "daily", "transits"),
+                                    ("portwatch.suez.n_tanker", "IMF PortWatch", "daily", "transits")], "series_id string, source string, frequency string, unit string")
+    empty = _stored(spark, rules.price_rule(daily))
+    table, _ = rules.screen(empty, versions, series, F.lit("2001-01-02").cast("timestamp"), ["hormuz", "suez"])
+    table, _ = rules.screen(cut_lineage(table), versions, series, F.lit("2001-01-03").cast("timestamp"), ["hormuz"])
+    price = F.col("rule_id").startswith("price_")
+    return table.groupBy("rule_id", "series_id", "status").agg(F.count("*").alias("n"), F.count_if(F.col("fired") & price).alias("n_price_fired"))

@@ -178,12 +178,27 @@ def daily_features(spark: SparkSession, path: str, ids: DataFrame, fields: Seque
     return long.select(*_observation(sid, F.col("day"), F.col("day"), F.col("value"), ObjectId=F.col("oid")))
 
 
-def resolve_names(wanted: DataFrame, known: DataFrame) -> DataFrame:
-    """slug, names[] against portname, portid: the first alias the provider knows wins, whatever its case."""
+def resolve_names(wanted: DataFrame, known: DataFrame, strict: bool = True) -> DataFrame:
+    """slug, names[] against portname, portid: the first alias the provider knows wins, whatever its case.
+    A slug that none of its names finds fails the query that reads the rows; with ``strict`` off it stays without an id."""
     alias = wanted.select("slug", F.posexplode("names").alias("pos", "n"))
     k = known.where("portname IS NOT NULL").select(F.lower("portname").alias("key"), "portid", "portname")
     hit = alias.join(k, F.lower("n") == F.col("key")).groupBy("slug").agg(F.min_by(F.struct("portid", "portname"), F.struct("pos", "portid")).alias("r"))
-    return wanted.select("slug").join(hit, "slug", "left").select("slug", "r.portid", "r.portname")
+    found = wanted.select("slug").join(hit, "slug", "left")
+    if strict:
+        found = assert_each(found, F.col("r").isNotNull(), F.concat(F.lit("not found by name: "), "slug"))
+    return found.select("slug", "r.portid", "r.portname")
+
+
+def port_series(ports: DataFrame, fields: dict[str, tuple[str, str]], prefix: str = "portwatch.port") -> DataFrame:
+    """Catalogue rows of the daily port series: every configured port (portid, slug, name, group) with every configured field
+    (field: its name and unit). The group tells ports that bypass a passage from ports inside it."""
+    each = F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("field", "title", "unit"), (f, *said))]) for f, said in fields.items()]))
+    d = ports.select("portid", "slug", F.col("name").alias("port"), "group", each.alias("f"))
+    return d.select(
+        F.concat_ws(".", F.lit(prefix), "slug", "f.field").alias("series_id"), F.concat("portid", F.lit(":"), "f.field").alias("source_key"),
+        F.concat("port", F.lit(": "), "f.title").alias("name"), F.col("port").alias("geography"), "f.unit", "group",
+        F.concat(F.lit("PortWatch daily port data ("), F.replace("group", F.lit("_"), F.lit(" ")), F.lit(" port)")).alias("description"))
 
 
 # ------------------------------------------------------------------ thermal CSV
