@@ -94,3 +94,16 @@ def test_review_entries_set_one_field_each(spark):
     show = {f: sorted(x.card_id for x in r.where(reports.shown_under(f)).collect()) for f in reports.REVIEW_FILTERS}
     assert show == {"open": ["b", "c"], "pinned": ["a"], "dismissed": ["a"], "all": ["a", "b", "c"]}
     assert {x.card_id for x in r.where("updated_since_review").collect()} == {"a"}
+
+
+def test_a_page_without_workbooks_fails(spark):
+    from tidemark.sources.links import page_workbooks
+    link = '<p><a href="/document/download/1?filename=Prices%20%(kind)s.xlsx">x</a></p>'
+    page = "".join(link.replace("%(kind)s", k) for k in ("history", "with_tax", "without_tax", "plain")) + '<a href="/document/download/2?filename=a.pdf">pdf</a>'
+    good = spark.createDataFrame([(1, page)], "page_id int, html string")
+    got = page_workbooks(good, "page_id", "html", F.lit("https://example.org/oil/page")).collect()
+    assert sorted(r.kind for r in got) == ["history", "latest_with_taxes", "latest_without_taxes", "other"] and all(r.href.startswith("https://example.org/document/") for r in got)
+    bad = good.union(spark.createDataFrame([(2, "<a href='/else'>nothing</a>")], good.schema))
+    for columns in (["href"], ["page_id"], []):
+        with pytest.raises(Exception, match="no workbook link on page 2"):
+            page_workbooks(bad, "page_id", "html").select(*columns).collect()

@@ -20,7 +20,7 @@ def revisions_since(versions: DataFrame, series: DataFrame, since: Column, limit
     r = versions.where((F.col("first_seen_at") > since) & (F.col("revision_no") > 1))
     r = r.orderBy(F.col("first_seen_at").desc(), "series_id", "obs_start").limit(limit)
     return r.join(series.select("series_id", "name"), "series_id").select(
-        "name", "obs_start", "value", "revision_no", "first_seen_at")
+        "name", "series_id", "obs_start", "value", "revision_no", "first_seen_at")
 
 
 def headlines_since(headlines: DataFrame, since: Column, limit: int = 100) -> DataFrame:

@@ -229,9 +229,8 @@ def changes_since(spark, folder):
 def newest_revisions(spark, folder):
     since = F.timestamp_seconds(F.lit(946_684_800 + 2 * 86_400))
     names = B.table(spark, folder, "orders").select(F.concat(F.lit("order."), F.col("o_orderkey").cast("string")).alias("series_id"), F.col("o_orderpriority").alias("name"))
-    v = _versions(spark, folder)
-    keep = v.where((F.col("first_seen_at") > since) & (F.col("revision_no") > 1)).orderBy(F.col("first_seen_at").desc(), "series_id").limit(200)
-    return keep.join(names, "series_id").select("name", "series_id", F.col("revision_no").cast("bigint").alias("revision_no"), "value", F.col("batch").cast("bigint").alias("batch"))
+    r = reports.revisions_since(_versions(spark, folder), names, since, 200)
+    return r.select("name", "series_id", F.col("revision_no").cast("bigint").alias("revision_no"), "value", _batch_no(F.col("first_seen_at")).alias("batch"))
 
 
 @query("review_decisions", """SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN 'rejected' WHEN l.quality = 1 THEN 'confirmed' ELSE 'unreviewed' END AS review_status FROM documents d LEFT JOIN labels l USING (doc_id)""")

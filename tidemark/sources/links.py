@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.guards import assert_each
+
 
 def links(pages: DataFrame, id_col: str, html: str, base: Column | None = None) -> DataFrame:
     """One row per anchor: address (absolute where a base is given), label text and position."""
@@ -30,6 +32,12 @@ def workbook_links(found: DataFrame) -> DataFrame:
     return d.withColumns({"filename": name, "kind": kind}).where(blob.contains("xlsx"))
 
 
+def page_workbooks(pages: DataFrame, id_col: str, html: str, base: Column | None = None) -> DataFrame:
+    """The workbook links of every page; a page without any fails the query that reads the rows: its layout has changed."""
+    found = pages.select(id_col).join(workbook_links(links(pages, id_col, html, base)), id_col, "left")
+    return assert_each(found, F.col("href").isNotNull(), F.concat(F.lit("no workbook link on page "), F.col(id_col).cast("string")))
+
+
 def yearly_csv_links(found: DataFrame, kind: str = "primary") -> DataFrame:
     """Yearly CSV files with their year; the last link of a year counts."""
     year = F.regexp_extract("href", rf"/annual-csv/{kind}/[a-z]*?(\d{{4}})\.csv$", 1)
