@@ -67,6 +67,16 @@ def test_equals_the_table_rewritten_whole(spark, tmp_path):
         assert sorted(map(str, store.read().collect())) == sorted(map(str, whole.collect()))
 
 
+def test_load_writes_once(spark, tmp_path):
+    other = PartitionedVersions(spark, str(tmp_path / "o"), 2)
+    other.absorb(0, rows(spark, ("a", 1, 1.0, 0), ("b", 2, 2.0, 0)), "seen")
+    store = PartitionedVersions(spark, str(tmp_path / "t"), 2)
+    assert store.load(other.read()).added == 2 and shown(store.read()) == shown(other.read())
+    assert store.merge_batch(1, rows(spark, ("a", 1, 3.0, 0)), F.lit(T0 + timedelta(1))).rewritten == 1
+    with pytest.raises(ValueError):
+        store.load(other.read())
+
+
 def test_merge_batch_and_null_period(spark, tmp_path):
     store = PartitionedVersions(spark, str(tmp_path / "t"), 2)
     store.merge_batch(0, rows(spark, ("a", 1, 1.0, 0), ("b", 2, 2.0, 0)), F.lit(T0))

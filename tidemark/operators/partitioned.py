@@ -98,7 +98,16 @@ class PartitionedVersions:
         touched = cut_lineage(rows.select(*PLACE).distinct().join(old.drop("buckets"), PLACE, "left"))
         paths = [f"{self.root}/data/commit={r.written}/bucket={r.bucket}/month={r.month}" for r in touched.where("written IS NOT NULL").collect()]   # as many as partitions touched
         stored = self.spark.read.schema(ROWS).parquet(*paths) if paths else self.spark.createDataFrame([], ROWS)
-        after = self.place(advance(stored, rows.drop(*PLACE)).select(*V.COLUMNS))
+        return self._write(commit, old, touched, self.place(advance(stored, rows.drop(*PLACE)).select(*V.COLUMNS)))
+
+    def load(self, versions: DataFrame) -> Merge:
+        """The first commit of an empty table, from rows that are versions already: written once, nothing is merged."""
+        if self.commits():
+            raise ValueError("the table has commits already")
+        old = self.partitions(None)
+        return self._write(0, old, old.drop("buckets"), self.place(versions.select(*V.COLUMNS)))
+
+    def _write(self, commit: int, old: DataFrame, touched: DataFrame, after: DataFrame) -> Merge:
         data = f"{self.root}/data/commit={commit}"
         after.hint("rebalance", *PLACE).write.mode("overwrite").partitionBy(*PLACE).parquet(data)
         try:
@@ -113,7 +122,7 @@ class PartitionedVersions:
             new.select(*PLACE, F.lit(commit).cast("long").alias("written"), F.col("n").alias("n_rows"), F.col("m").alias("mark")))
         log.withColumn("buckets", F.lit(self.buckets)).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/log/commit={commit}")
         n = new.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("n") - F.col("was")), F.lit(0))).first()
-        return Merge(commit, touched.count(), n[0], n[1])
+        return Merge(commit, max(touched.count(), n[0]), n[0], n[1])
 
     def absorb(self, commit: int, rows: DataFrame, seen_at: str) -> Merge:
         """Rows of any number of batches, each stamped with when it was seen."""

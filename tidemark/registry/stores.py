@@ -50,7 +50,7 @@ def _store_before_and_batch(spark, folder):
 def scd2_incremental_merge(spark, folder):
     stored, incoming = _store_before_and_batch(spark, folder)
     store = PartitionedVersions(spark, scratch_path(spark, "observations"), 8)
-    store.merge(0, stored, lambda _, rows: rows)
+    store.load(stored)
     store.merge_batch(1, incoming, F.timestamp_seconds(F.lit(978_307_200)))
     return store.read().groupBy("series_id").agg(
         F.count("*").alias("n_versions"), F.max("revision_no").cast("bigint").alias("last_revision"),
