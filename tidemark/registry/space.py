@@ -103,8 +103,7 @@ CLASSIFY = _det(share="0.97") + """, f AS (SELECT ses.*, (pc.site_id IS NOT NULL
  WHEN e.n > q.qc OR e.max_frp > q.qf THEN 'thermal_anomaly_near_facility' ELSE 'within_site_thermal_baseline' END AS classification FROM e LEFT JOIN q USING (site_id, no)""")
 def site_classification(spark, folder):
     at = TH.detections_at_sites(B.detections(spark, folder), B.site_squares(spark), CFG["buffer_km"])
-    marked = TH.mark_routine(at, TH.persistent_cells(at, min_share=0.97), B.site_squares(spark))
-    e = TH.label_events(TH.thermal_events(marked, 600), marked, CFG)
+    e = TH.label_detections(at, B.site_squares(spark), CFG, 600, 0.97)
     return e.select("site_id", "session_no", "daynight", "n_detections", F.col("n_satellites").cast("bigint").alias("n_satellites"),
                     F.round("routine_share", 5).alias("routine_share"), F.col("history_days").cast("bigint").alias("history_days"),
                     F.round("count_quantile", 5).alias("count_quantile"), F.round("frp_quantile", 5).alias("frp_quantile"), "classification")
