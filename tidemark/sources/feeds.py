@@ -1,11 +1,8 @@
 """Readers for landed provider files. Each declares its schema and refuses what it does not know."""
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +13,7 @@ from ..functions.numbers import german_percent
 from ..functions.text import canonical_url, clean_text, short_hash
 from ..operators.guards import SourceChanged, assert_each, require_columns, require_none, unit_fits
 from ..plans.thermal import detection_id
+from .archives import MAX_BYTES, ZippedCsv, source_reader
 
 
 def _first_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -135,22 +133,9 @@ def national_statistics(raw: DataFrame, countries: Sequence[str], products: Sequ
                                   assessment_code=code, raw_value=F.col("OBS_VALUE")))
 
 
-def zipped_csv(spark: SparkSession, path: str, columns: Sequence[str], rows_per_batch: int = 50_000) -> DataFrame:
-    """CSV members of ZIP files as text rows. One task per archive, streamed in batches."""
-    names = list(columns)
-
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for content in pdf["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for n in z.namelist():
-                        if n.lower().endswith(".csv"):
-                            with z.open(n) as fh:
-                                for part in pd.read_csv(fh, dtype=str, chunksize=rows_per_batch):
-                                    yield part.reindex(columns=names)
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(unpack, ", ".join(f"`{c}` string" for c in names))
+def zipped_csv(spark: SparkSession, path: str, columns: Sequence[str], members: str = "*", max_bytes: int = MAX_BYTES) -> DataFrame:
+    """CSV members of ZIP files whose name fits the pattern, as text rows; every member is a task of its own."""
+    return source_reader(spark, ZippedCsv, members, max_bytes).schema(", ".join(f"`{c}` string" for c in columns)).load(path)
 
 
 # ------------------------------------------------------------------ feature service JSON

@@ -1,18 +1,12 @@
 """Price workbooks: cells from XLSX files, and the three sheet layouts as joins on cells.
 
-A cell is a row (path, sheet, row, col, text). Python only unpacks the archive; finding headers, carrying
+A cell is a row (path, sheet, row, col, text), read by the workbook source; finding headers, carrying
 country labels down and melting columns are joins and windows on cells.
 """
 from __future__ import annotations
 
-import io
-import re
-import zipfile
-from collections.abc import Iterator, Sequence
-from datetime import date, timedelta
-from xml.etree import ElementTree
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,57 +14,11 @@ from ..config import EU_ALIASES, PLAUSIBLE_PER_1000L, PLAUSIBLE_PER_L, UNIT_PER_
 from ..functions.codes import country_code, product_of, tax_basis
 from ..functions.dates import any_date
 from ..operators.guards import SourceChanged, magnitude_violations, require_none
+from .archives import MAX_BYTES, WorkbookCells, source_reader
 
-CELL = "path string, sheet string, row int, col int, text string"
-NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
-REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-
-
-def _sheet_cells(book: zipfile.ZipFile) -> Iterator[tuple[str, int, int, str]]:
-    def tree(name: str):
-        return ElementTree.fromstring(book.read(name))
-
-    names = set(book.namelist())
-    shared = []
-    if "xl/sharedStrings.xml" in names:
-        shared = ["".join(t.text or "" for t in si.iter(f"{{{NS['m']}}}t")) for si in tree("xl/sharedStrings.xml").findall("m:si", NS)]
-    date_styles = set()
-    if "xl/styles.xml" in names:
-        styles = tree("xl/styles.xml")
-        custom = {int(n.get("numFmtId")): n.get("formatCode", "") for n in styles.iter(f"{{{NS['m']}}}numFmt")}
-        for i, xf in enumerate(styles.findall("m:cellXfs/m:xf", NS)):
-            f = int(xf.get("numFmtId", "0"))
-            if 14 <= f <= 22 or re.search(r"[dmy]{2,}", custom.get(f, ""), re.I):
-                date_styles.add(i)
-    target = {r.get("Id"): r.get("Target") for r in tree("xl/_rels/workbook.xml.rels")}
-    for sheet in tree("xl/workbook.xml").findall("m:sheets/m:sheet", NS):
-        part = target[sheet.get(REL)].lstrip("/")
-        for c in tree(part if part.startswith("xl/") else "xl/" + part).iter(f"{{{NS['m']}}}c"):
-            v, ref = c.find("m:v", NS), re.match(r"([A-Z]+)(\d+)", c.get("r", ""))
-            inline = "".join(t.text or "" for t in c.iter(f"{{{NS['m']}}}t"))
-            text = inline if c.get("t") == "inlineStr" else (v.text if v is not None else None)
-            if text is None or ref is None:
-                continue
-            if c.get("t") == "s":
-                text = shared[int(text)]
-            elif int(c.get("s", "0")) in date_styles and c.get("t", "n") == "n":
-                text = (date(1899, 12, 30) + timedelta(days=int(float(text)))).isoformat()
-            col = 0
-            for ch in ref.group(1):
-                col = col * 26 + ord(ch) - 64
-            yield sheet.get("name"), int(ref.group(2)), col, text
-
-
-def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """All cells of XLSX files; one task reads one workbook at a time."""
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for p, content in zip(pdf["path"], pdf["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    rows = [(p, *c) for c in _sheet_cells(z)]
-                yield pd.DataFrame(rows, columns=["path", "sheet", "row", "col", "text"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, CELL)
+def read_cells(spark: SparkSession, path: str, sheets: str = "*", max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Cells of XLSX files whose sheet name fits the pattern; every sheet is a task of its own."""
+    return source_reader(spark, WorkbookCells, sheets, max_bytes).load(path)
 
 
 WIDE = r"(?i)^([A-Z]{2}|EU|EUR|EU27|EU_27|EA)_price_(with|wo|without)_tax(?:es)?_([a-z0-9_]+)$"
