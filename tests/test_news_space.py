@@ -91,6 +91,8 @@ def test_clusters_match_a_plain_walk(spark):
     d = spark.createDataFrame([(i, a, " ".join(sorted(s)), sorted(s)) for i, a, s in rows], "id int, at timestamp, title string, tokens array<string>")
     got = {r.id: r.parent for r in first_matches(d, "id", "at").collect()}
     assert got == want
+    for hot, block in ((0, 3), (3, 7)):           # every token, or most, in blocks
+        assert {r.id: r.parent for r in first_matches(d, "id", "at", hot=hot, block=block).collect()} == want
     labelled, table = cluster_titles(d, "id", "at", "title")
 
     def root(i):

@@ -13,7 +13,7 @@ FAST = ["asof_convert", "interval_mean", "latest_per_key", "scd2_merge_versions"
 def test_names():
     q, s = e.queries(), e.oracle_sql()
     assert set(s) <= set(q) and len(q) > 95 and set(QUERIES) <= set(q)
-    assert set(QUERIES) - set(s) == {"asymmetric_passthrough", "lag_model_residual", "near_duplicate_clusters", "candidate_counts", "headline_cards", "code_texts"}
+    assert set(QUERIES) - set(s) == {"asymmetric_passthrough", "lag_model_residual", "candidate_counts", "headline_cards", "code_texts"}
 
 
 def test_library_stands_alone(tmp_path):

@@ -1,20 +1,23 @@
 """Exact near-duplicate clustering of titles by token overlap, in arrival order.
 
 A row joins the cluster of the earliest row within the look-back window whose token set overlaps
-by at least the threshold; without one it opens a cluster. Three things keep this linear-ish:
+by at least the threshold; without one it opens a cluster. Four things keep this linear-ish:
 
 * rows with the same tokens are one *variant*, so a copy group of any size costs one comparison;
 * variants are paired through the prefix filter of exact set-similarity joins: ordered by rising
   document frequency, two sets that overlap enough share tokens among their rarest ones, so
   frequent words never form a join key of a long set;
-* arrivals are looked up by (variant, time bucket), never as all pairs.
+* arrivals are looked up by (variant, time bucket), never as all pairs;
+* a token that many variants lead with is cut into blocks, whose pairs are tasks and give one match per arrival.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.robust import let
 from ..functions.text import jaccard
+from ..session import cut_lineage
 from .findings import resolve_root
 
 
@@ -26,6 +29,8 @@ def variants(df: DataFrame, tokens: str = "tokens") -> DataFrame:
 
 
 SHARED = 4
+HOT = 256                       # variants of a prefix token that may still meet pair by pair
+BLOCK = 256                     # units (a variant's arrivals of an hour) of a hot token that are compared at once
 
 
 def _needed(n: Column, threshold: float) -> Column:
@@ -33,13 +38,8 @@ def _needed(n: Column, threshold: float) -> Column:
     return F.ceil(n * F.lit(threshold) - 1e-9).cast("int")
 
 
-def similar_variants(v: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """Pairs (a < b) of variants with token overlap >= threshold, each once, with the score.
-
-    Exact: sets that overlap enough share at least k tokens among their first n - needed + k in any common
-    order. With k = 4 (less for tiny sets) chance meetings on one rare word are dropped by counting,
-    before any token list is fetched for verification.
-    """
+def _prefixes(v: DataFrame, threshold: float) -> DataFrame:
+    """variant, n, k, token, df: the tokens by which a set must be met at least k times by any set it resembles."""
     freq = v.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     ranked = (v.select("variant", F.explode("tokens").alias("token")).join(freq.where("df > 1"), "token", "left")
               .groupBy("variant").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "token"))).alias("r")))
@@ -47,7 +47,11 @@ def similar_variants(v: DataFrame, threshold: float = 0.6) -> DataFrame:
     length = F.col("n") - _needed(F.col("n"), threshold) + F.col("k")
     # Tokens of a single variant meet nobody: they count towards the prefix but need not be joined.
     head = F.filter(F.slice("r", F.lit(1), length), lambda x: x["df"] > 1)
-    prefix = ranked.select(F.col("variant"), "n", "k", F.explode(F.transform(head, lambda x: x["token"])).alias("token"))
+    return ranked.select("variant", "n", "k", F.explode(head).alias("h")).select("variant", "n", "k", "h.token", "h.df")
+
+
+def _meetings(v: DataFrame, prefix: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of variants that share enough of the given prefix tokens and overlap enough."""
     a = prefix.select(F.col("variant").alias("a"), F.col("n").alias("na"), F.col("k").alias("ka"), "token")
     b = prefix.select(F.col("variant").alias("b"), F.col("n").alias("nb"), F.col("k").alias("kb"), "token")
     fits = (F.col("na") >= F.col("nb") * threshold - 1e-9) & (F.col("nb") >= F.col("na") * threshold - 1e-9)
@@ -60,14 +64,64 @@ def similar_variants(v: DataFrame, threshold: float = 0.6) -> DataFrame:
     return scored.where(F.col("score") >= threshold).select("a", "b", "score")
 
 
+def similar_variants(v: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """Pairs (a < b) of variants with token overlap >= threshold, each once, with the score.
+
+    Exact: sets that overlap enough share at least k tokens among their first n - needed + k in any common
+    order. With k = 4 (less for tiny sets) chance meetings on one rare word are dropped by counting,
+    before any token list is fetched for verification.
+    """
+    return _meetings(v, _prefixes(v, threshold), threshold)
+
+
+def _hot_matches(hot: DataFrame, v: DataFrame, arrivals: DataFrame, window_hours: int, threshold: float, block: int) -> DataFrame:
+    """variant, t, found: the earliest arrival of another variant in the window that shares one of the hot prefix tokens.
+
+    A unit is one variant's arrivals of one hour. The units of a token in one stretch of the window's length are dealt to blocks by
+    hash; a pair of blocks, of one stretch or of two that follow each other, is compared as a whole, and only the earliest match per
+    arrival leaves it. Of a unit that lies whole inside the window the first arrival is enough.
+    """
+    unit = F.struct("variant", "n", "tokens", "slot", "hits").alias("u")
+    units = (arrivals.withColumn("slot", F.floor(F.col("t") / 3_600_000_000)).groupBy("variant", "slot")
+             .agg(F.sort_array(F.collect_list(F.struct("t", F.col("first_id").alias("id")))).alias("hits")))
+    posts = (hot.select("variant", "n", "token").join(v, "variant").join(units, "variant")
+             .select("token", F.floor(F.col("slot") / window_hours).alias("cell"), unit))
+    counts = cut_lineage(posts.groupBy("token", "cell").agg(F.ceil(F.count("*") / block).alias("blocks")))
+    dealt = posts.join(counts, ["token", "cell"]).withColumn("block", F.pmod(F.xxhash64("u.variant", "u.slot"), "blocks"))
+    blocks = cut_lineage(dealt.groupBy("token", "cell", "block").agg(F.collect_list("u").alias("us")))
+    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    sides = counts.select("token", "cell", numbers.alias("block"))
+    earlier = [counts.select("token", (F.col("cell") + ahead).alias("cell"), F.col("cell").alias("ecell"), numbers.alias("eblock")) for ahead in (0, 1)]
+    pairs = sides.join(earlier[0].unionByName(earlier[1]), ["token", "cell"])
+    pairs = pairs.join(blocks, ["token", "cell", "block"]).join(
+        blocks.select("token", F.col("cell").alias("ecell"), F.col("block").alias("eblock"), F.col("us").alias("es")), ["token", "ecell", "eblock"])
+    span = window_hours * 3_600_000_000
+
+    def answers(x: Column) -> Column:
+        def near(e: Column) -> Column:
+            fits = (e["n"] >= x["n"] * threshold - 1e-9) & (x["n"] >= e["n"] * threshold - 1e-9)
+            return ((e["slot"] >= x["slot"] - window_hours) & (e["slot"] <= x["slot"]) & fits & (e["variant"] != x["variant"])
+                    & (jaccard(x["tokens"], e["tokens"]) >= threshold))
+        cut_off = F.transform(F.filter("es", near), lambda e: F.when(e["slot"] > x["slot"] - window_hours, F.slice(e["hits"], 1, 1)).otherwise(e["hits"]))
+        return let(F.flatten(cut_off), lambda found: F.transform(x["hits"], lambda h: F.struct(
+            x["variant"].alias("variant"), h["t"].alias("t"),
+            F.array_min(F.filter(found, lambda c: (c["t"] >= h["t"] - span) & (c["t"] <= h["t"]))).alias("found"))))
+
+    each = pairs.select(F.explode(F.flatten(F.transform("us", answers))).alias("m")).select("m.*")
+    return each.where("found IS NOT NULL").groupBy("variant", "t").agg(F.min("found").alias("found"))
+
+
 def first_matches(df: DataFrame, id_col: str, at: str, tokens: str = "tokens", window_hours: int = 72,
-                  threshold: float = 0.6, bucket_seconds: int = 3600) -> DataFrame:
+                  threshold: float = 0.6, bucket_seconds: int = 3600, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """Each row with ``parent``: the earliest earlier row it resembles within the window, or null.
 
     Rows of one variant arriving at one instant are a single arrival. For arrival (variant, t) and each
     similar variant the question is its first arrival at or after t - window. It is answered inside
     (variant, time bucket) by a backward fill, or by the first arrival of the variant's next non-empty
     bucket, so a variant with any number of copies is spread over its buckets.
+
+    Variants meet as pairs only through tokens of at most ``hot`` variants; what meets through a more frequent token is compared
+    in pairs of blocks of ``block`` units, and no pair list of a large family is ever made.
     """
     span = window_hours * 3600 * 1_000_000
     kind = df.schema[id_col].dataType.simpleString()
@@ -77,7 +131,9 @@ def first_matches(df: DataFrame, id_col: str, at: str, tokens: str = "tokens", w
                      F.array_sort(tokens).alias("tokens"))
     keyed = rows.withColumn("variant", F.when(F.size("tokens") > 0, F.sha1(F.array_join("tokens", " "))))
     arrivals = keyed.where("variant IS NOT NULL").groupBy("variant", "t").agg(F.min("id").alias("first_id"))
-    sim = similar_variants(variants(df, tokens), threshold).select("a", "b")
+    v = cut_lineage(variants(df, tokens))
+    prefix = cut_lineage(_prefixes(v, threshold))
+    sim = _meetings(v, prefix.where(F.col("df") <= hot), threshold).select("a", "b")
     both = sim.unionByName(sim.select(F.col("b").alias("a"), F.col("a").alias("b")))
     own = arrivals.select(F.col("variant").alias("a"), "t")
     looks = own.join(both, "a").unionByName(own.withColumn("b", F.col("a")))
@@ -96,8 +152,11 @@ def first_matches(df: DataFrame, id_col: str, at: str, tokens: str = "tokens", w
     per_bucket = per_bucket.withColumn("later", F.first("first_hit", ignorenulls=True).over(after)).drop("first_hit")
     best = (near.join(per_bucket, ["variant", "bucket"]).withColumn("found", F.coalesce("found", "later"))
             .where("found.t <= asker_t"))
-    earliest = best.groupBy(F.col("asker").alias("variant"), F.col("asker_t").alias("t")).agg(
-        F.min("found").alias("found"))
+    best = best.select(F.col("asker").alias("variant"), F.col("asker_t").alias("t"), "found")
+    crowded = prefix.where(F.col("df") > hot)
+    if not crowded.isEmpty():
+        best = best.unionByName(_hot_matches(crowded, v, arrivals, window_hours, threshold, block))
+    earliest = best.groupBy("variant", "t").agg(F.min("found").alias("found"))
     out = keyed.join(earliest, ["variant", "t"], "left")
     # At the same instant arrival order is the id: the first of them may only look further back.
     is_earlier = (F.col("found.t") < F.col("t")) | (F.col("found.id") < F.col("id"))
