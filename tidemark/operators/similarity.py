@@ -80,35 +80,50 @@ def _hot_matches(hot: DataFrame, v: DataFrame, arrivals: DataFrame, window_hours
     A unit is one variant's arrivals of one hour. The units of a token in one stretch of the window's length are dealt to blocks by
     hash; a pair of blocks, of one stretch or of two that follow each other, is compared as a whole, and only the earliest match per
     arrival leaves it. Of a unit that lies whole inside the window the first arrival is enough.
+
+    Before that, every unit asks the pioneers, the earliest unit of each token and hour. What it finds there is a bound: later units are
+    not compared any more, so a family that resembles its first member costs about one comparison a title.
     """
-    unit = F.struct("variant", "n", "tokens", "slot", "hits").alias("u")
+    span = window_hours * 3_600_000_000
+    cell = F.floor(F.col("slot") / window_hours).alias("cell")
     units = (arrivals.withColumn("slot", F.floor(F.col("t") / 3_600_000_000)).groupBy("variant", "slot")
              .agg(F.sort_array(F.collect_list(F.struct("t", F.col("first_id").alias("id")))).alias("hits")))
-    posts = (hot.select("variant", "n", "token").join(v, "variant").join(units, "variant")
-             .select("token", F.floor(F.col("slot") / window_hours).alias("cell"), unit))
+    posts = hot.select("variant", "n", "token").join(v, "variant").join(units, "variant").select(
+        "token", cell, F.struct(F.get("hits", 0).alias("first"), "variant", "n", "tokens", "slot", "hits").alias("u"))
     counts = cut_lineage(posts.groupBy("token", "cell").agg(F.ceil(F.count("*") / block).alias("blocks")))
-    dealt = posts.join(counts, ["token", "cell"]).withColumn("block", F.pmod(F.xxhash64("u.variant", "u.slot"), "blocks"))
-    blocks = cut_lineage(dealt.groupBy("token", "cell", "block").agg(F.collect_list("u").alias("us")))
-    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    sides = counts.select("token", "cell", numbers.alias("block"))
-    earlier = [counts.select("token", (F.col("cell") + ahead).alias("cell"), F.col("cell").alias("ecell"), numbers.alias("eblock")) for ahead in (0, 1)]
-    pairs = sides.join(earlier[0].unionByName(earlier[1]), ["token", "cell"])
-    pairs = pairs.join(blocks, ["token", "cell", "block"]).join(
-        blocks.select("token", F.col("cell").alias("ecell"), F.col("block").alias("eblock"), F.col("us").alias("es")), ["token", "ecell", "eblock"])
-    span = window_hours * 3_600_000_000
+    dealt = cut_lineage(posts.join(counts, ["token", "cell"]).withColumn("block", F.pmod(F.xxhash64("u.variant", "u.slot"), "blocks")).drop("blocks"))
 
-    def answers(x: Column) -> Column:
+    def answers(x: Column, bound: Column) -> Column:
         def near(e: Column) -> Column:
             fits = (e["n"] >= x["n"] * threshold - 1e-9) & (x["n"] >= e["n"] * threshold - 1e-9)
-            return ((e["slot"] >= x["slot"] - window_hours) & (e["slot"] <= x["slot"]) & fits & (e["variant"] != x["variant"])
-                    & (jaccard(x["tokens"], e["tokens"]) >= threshold))
-        cut_off = F.transform(F.filter("es", near), lambda e: F.when(e["slot"] > x["slot"] - window_hours, F.slice(e["hits"], 1, 1)).otherwise(e["hits"]))
+            return ((e["slot"] >= x["slot"] - window_hours) & (e["slot"] <= x["slot"]) & (bound.isNull() | (e["first"]["t"] <= bound)) & fits
+                    & (e["variant"] != x["variant"]) & (jaccard(x["tokens"], e["tokens"]) >= threshold))
+        cut_off = F.transform(F.filter("es", near), lambda e: F.when(e["slot"] > x["slot"] - window_hours, F.array(e["first"])).otherwise(e["hits"]))
         return let(F.flatten(cut_off), lambda found: F.transform(x["hits"], lambda h: F.struct(
-            x["variant"].alias("variant"), h["t"].alias("t"),
+            x["variant"].alias("variant"), x["slot"].alias("slot"), h["t"].alias("t"),
             F.array_min(F.filter(found, lambda c: (c["t"] >= h["t"] - span) & (c["t"] <= h["t"]))).alias("found"))))
 
-    each = pairs.select(F.explode(F.flatten(F.transform("us", answers))).alias("m")).select("m.*")
-    return each.where("found IS NOT NULL").groupBy("variant", "t").agg(F.min("found").alias("found"))
+    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    sides = counts.select("token", "cell", numbers.alias("block"))
+
+    def ahead(d: DataFrame) -> DataFrame:
+        """The stretch itself and the one before it, as seen from ``cell``."""
+        return d.withColumn("ecell", F.col("cell")).unionByName(d.withColumn("ecell", F.col("cell")).withColumn("cell", F.col("cell") + 1))
+
+    pioneers = (dealt.groupBy("token", "cell", F.col("u.slot").alias("slot")).agg(F.min("u").alias("u"))
+                .groupBy("token", "cell").agg(F.collect_list("u").alias("es")))
+    asked = dealt.join(ahead(pioneers).join(sides, ["token", "cell"]), ["token", "cell", "block"])
+    no_bound = F.lit(None).cast("bigint")
+    early = cut_lineage(asked.select(F.explode(answers(F.col("u"), no_bound)).alias("m")).select("m.*")
+                        .groupBy("variant", "slot", "t").agg(F.min("found").alias("found")))
+    bounds = early.groupBy("variant", "slot").agg(F.when(F.bool_and(F.col("found").isNotNull()), F.max("found.t")).alias("bound"))
+    bounded = dealt.withColumns({"variant": F.col("u.variant"), "slot": F.col("u.slot")}).join(bounds, ["variant", "slot"], "left")
+    blocks = cut_lineage(bounded.groupBy("token", "cell", "block").agg(F.collect_list(F.struct("u", "bound")).alias("us")))
+    numbered = ahead(counts.select("token", "cell", numbers.alias("eblock")))
+    pairs = sides.join(numbered, ["token", "cell"]).join(blocks, ["token", "cell", "block"]).join(
+        blocks.select("token", F.col("cell").alias("ecell"), F.col("block").alias("eblock"), F.col("us.u").alias("es")), ["token", "ecell", "eblock"])
+    each = pairs.select(F.explode(F.flatten(F.transform("us", lambda x: answers(x["u"], x["bound"])))).alias("m")).select("m.*")
+    return early.unionByName(each).where("found IS NOT NULL").groupBy("variant", "t").agg(F.min("found").alias("found"))
 
 
 def first_matches(df: DataFrame, id_col: str, at: str, tokens: str = "tokens", window_hours: int = 72,
