@@ -93,12 +93,12 @@ def _hot_matches(hot: DataFrame, v: DataFrame, arrivals: DataFrame, window_hours
     counts = cut_lineage(posts.groupBy("token", "cell").agg(F.ceil(F.count("*") / block).alias("blocks")))
     dealt = cut_lineage(posts.join(counts, ["token", "cell"]).withColumn("block", F.pmod(F.xxhash64("u.variant", "u.slot"), "blocks")).drop("blocks"))
 
-    def answers(x: Column, bound: Column) -> Column:
+    def answers(x: Column, bound: Column, es: Column) -> Column:
         def near(e: Column) -> Column:
             fits = (e["n"] >= x["n"] * threshold - 1e-9) & (x["n"] >= e["n"] * threshold - 1e-9)
             return ((e["slot"] >= x["slot"] - window_hours) & (e["slot"] <= x["slot"]) & (bound.isNull() | (e["first"]["t"] <= bound)) & fits
                     & (e["variant"] != x["variant"]) & (jaccard(x["tokens"], e["tokens"]) >= threshold))
-        cut_off = F.transform(F.filter("es", near), lambda e: F.when(e["slot"] > x["slot"] - window_hours, F.array(e["first"])).otherwise(e["hits"]))
+        cut_off = F.transform(F.filter(es, near), lambda e: F.when(e["slot"] > x["slot"] - window_hours, F.array(e["first"])).otherwise(e["hits"]))
         return let(F.flatten(cut_off), lambda found: F.transform(x["hits"], lambda h: F.struct(
             x["variant"].alias("variant"), x["slot"].alias("slot"), h["t"].alias("t"),
             F.array_min(F.filter(found, lambda c: (c["t"] >= h["t"] - span) & (c["t"] <= h["t"]))).alias("found"))))
@@ -114,7 +114,7 @@ def _hot_matches(hot: DataFrame, v: DataFrame, arrivals: DataFrame, window_hours
                 .groupBy("token", "cell").agg(F.collect_list("u").alias("es")))
     asked = dealt.join(ahead(pioneers).join(sides, ["token", "cell"]), ["token", "cell", "block"])
     no_bound = F.lit(None).cast("bigint")
-    early = cut_lineage(asked.select(F.explode(answers(F.col("u"), no_bound)).alias("m")).select("m.*")
+    early = cut_lineage(asked.select(F.explode(answers(F.col("u"), no_bound, F.col("es"))).alias("m")).select("m.*")
                         .groupBy("variant", "slot", "t").agg(F.min("found").alias("found")))
     bounds = early.groupBy("variant", "slot").agg(F.when(F.bool_and(F.col("found").isNotNull()), F.max("found.t")).alias("bound"))
     bounded = dealt.withColumns({"variant": F.col("u.variant"), "slot": F.col("u.slot")}).join(bounds, ["variant", "slot"], "left")
@@ -122,7 +122,11 @@ def _hot_matches(hot: DataFrame, v: DataFrame, arrivals: DataFrame, window_hours
     numbered = ahead(counts.select("token", "cell", numbers.alias("eblock")))
     pairs = sides.join(numbered, ["token", "cell"]).join(blocks, ["token", "cell", "block"]).join(
         blocks.select("token", F.col("cell").alias("ecell"), F.col("block").alias("eblock"), F.col("us.u").alias("es")), ["token", "ecell", "eblock"])
-    each = pairs.select(F.explode(F.flatten(F.transform("us", lambda x: answers(x["u"], x["bound"])))).alias("m")).select("m.*")
+    # Units later than every bound of the asking block drop out once for the pair, not once per asker.
+    last = F.when(~F.exists("us", lambda x: x["bound"].isNull()), F.array_max(F.transform("us", lambda x: x["bound"])))
+    pairs = pairs.withColumn("last", F.explode(F.array(last)))
+    useful = F.filter("es", lambda e: F.col("last").isNull() | (e["first"]["t"] <= F.col("last")))
+    each = pairs.select(F.explode(let(useful, lambda es: F.flatten(F.transform("us", lambda x: answers(x["u"], x["bound"], es))))).alias("m")).select("m.*")
     return early.unionByName(each).where("found IS NOT NULL").groupBy("variant", "t").agg(F.min("found").alias("found"))
 
 
