@@ -140,9 +140,16 @@ def json_decode(spark, folder):
  t AS (SELECT DISTINCT user_id, event_type FROM c), d AS (SELECT DISTINCT user_id, day FROM c) SELECT t.user_id, t.event_type, CAST(d.day AS VARCHAR) AS day, CAST(c.v AS DOUBLE) AS value FROM t JOIN d USING (user_id) LEFT JOIN c ON c.user_id = t.user_id AND c.event_type = t.event_type AND c.day = d.day""")
 def grid_decode(spark, folder):
     """Event counts packed into one JSON-stat document per user, then decoded; absent cells are null."""
-    c = B.table(spark, folder, "events").groupBy("user_id", "event_type", F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("v"))
+    return decode_jsonstat(grid_documents(B.table(spark, folder, "events")), "doc", ["type", "time"]).select(
+        "user_id", F.col("type").alias("event_type"), F.col("time").alias("day"), "value")
+
+
+def grid_documents(events):
+    """One JSON-stat document per user. Decoding reads it more than once and knows it by its text, so the cells are sorted: a
+    list in the order in which a shuffle delivers them would differ from one reading to the next."""
+    c = events.groupBy("user_id", "event_type", F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("v"))
     g = c.groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("types"), F.array_sort(F.collect_set("day")).alias("days"),
-                                 F.collect_list(F.struct("event_type", "day", "v")).alias("cells"))
+                                 F.array_sort(F.collect_list(F.struct("event_type", "day", "v"))).alias("cells"))
 
     def index(a):
         return F.map_from_arrays(a, F.transform(F.sequence(F.lit(0), F.size(a) - 1), lambda i: i))
@@ -151,8 +158,7 @@ def grid_decode(spark, folder):
     doc = F.to_json(F.struct(F.array(F.lit("type"), F.lit("time")).alias("id"), F.array(F.size("types"), F.size("days")).alias("size"), F.create_map(
         F.lit("type"), F.struct(F.struct(index(F.col("types")).alias("index")).alias("category")),
         F.lit("time"), F.struct(F.struct(index(F.col("days")).alias("index")).alias("category"))).alias("dimension"), flat.alias("value")))
-    rows = decode_jsonstat(g.select("user_id", doc.alias("doc")), "doc", ["type", "time"])
-    return rows.select("user_id", F.col("type").alias("event_type"), F.col("time").alias("day"), "value")
+    return g.select("user_id", doc.alias("doc"))
 
 
 @query("sentinel_clean", """SELECT event_type, COUNT(*) AS n, COUNT(CASE WHEN value = 51.5 OR value < 10 OR value > 90 THEN NULL ELSE value END) AS n_valid FROM events GROUP BY 1""")
