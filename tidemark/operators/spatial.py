@@ -1,6 +1,7 @@
 """Spatial joins on grid cells, polygon overlap, and exact greedy thinning."""
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -25,13 +26,14 @@ def radius_join(points: DataFrame, sites: DataFrame, km: float, cell_deg: float
 
 
 def near_any(points: DataFrame, key: str, sites: DataFrame, km: float, name: str, cell_deg: float = 0.25) -> DataFrame:
-    """Points with a flag: is any site within the distance?"""
-    hit = radius_join(points, sites.select("site_lon", "site_lat"), km, cell_deg).select(key).distinct()
-    return points.join(hit.withColumn(name, F.lit(True)), key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    """Points with a flag: is any site within the distance? Asked once per distinct place, of distinct sites; ``key`` names a point."""
+    places = points.select("lon", "lat").distinct()
+    hit = radius_join(places, sites.select("site_lon", "site_lat").distinct(), km, cell_deg).select("lon", "lat").distinct()
+    return points.join(hit.withColumn(name, F.lit(True)), ["lon", "lat"], "left").select(*points.columns, F.coalesce(name, F.lit(False)).alias(name))
 
 
 def thin_by_distance(candidates: DataFrame, group: Sequence[str], key: str, rank: Column, km: float,
-                     blocks: Column, cell_deg: float = 0.01) -> DataFrame:
+                     blocks: Column, cell_deg: float | None = None) -> DataFrame:
     """Greedy thinning: walk candidates by falling rank, keep one unless a kept one lies nearer than ``km``.
 
     Rows where ``blocks`` is false (already rejected or masked) are kept and block nobody.
@@ -42,32 +44,31 @@ def thin_by_distance(candidates: DataFrame, group: Sequence[str], key: str, rank
     number of candidates sends one row, and all pairs are never formed. Every round decides at least the highest candidate
     of each group, and rounds go on until none is undecided.
     """
+    if cell_deg is None:                                        # few candidates stay in a cell, and a circle touches few cells
+        cell_deg = 360.0 / math.ceil(360.0 * 111.2 / (2 * km))
     g = list(group)
-    tagged = candidates.withColumns({
-        "_cell": cell_of(F.col("lon"), F.col("lat"), cell_deg),
-        "_rank": F.struct(rank.alias("r"), F.col(key).alias("k")), "_blocks": blocks})
-    free = tagged.where("NOT _blocks").select(key)
-    undecided = cut_lineage(tagged.where("_blocks").select(*g, key, "lon", "lat", "_cell", "_rank"))
-    kept_parts = [free]
+    tagged = candidates.withColumns({"_rank": F.struct(rank.alias("r"), F.col(key).alias("k")), "_blocks": blocks})
+    free = candidates.where(~blocks)
+    tops = tagged.where("_blocks").groupBy(*g, "lon", "lat").agg(F.max("_rank").alias("_rank"))
+    # Places are numbered in order of rank once: the rounds compare and join plain numbers.
+    places = cut_lineage(tops.orderBy("_rank").select(*g, F.monotonically_increasing_id().alias("_no"), F.col("_rank.k").alias(key), "lon", "lat", cell_of(F.col("lon"), F.col("lat"), cell_deg).alias("_cell")))
+    undecided = places.drop(key)
+    kept_parts = [undecided.select("_no").where(F.lit(False))]
     while undecided.limit(1).count():
         if len(kept_parts) > 20:                                # a long ridge takes many rounds; the plan stays small
             kept_parts = [cut_lineage(reduce(DataFrame.unionByName, kept_parts))]
-        tops = undecided.groupBy(*g, "_cell").agg(
-            F.max("_rank").alias("_top"), F.max_by(F.struct("lon", "lat", key), "_rank").alias("_p"))
-        looks = tops.select(*g, "_top", "_p", F.explode(cells_within(
-            F.col("_p.lon"), F.col("_p.lat"), km, cell_deg)).alias("_cell"))
-        around = tops.select(*g, "_cell", F.col("_top").alias("_other"))
-        won = (looks.join(around, g + ["_cell"], "left").groupBy(*g, "_top", "_p")
-               .agg(F.max("_other").alias("_max")).where(F.col("_max") <= F.col("_top"))
-               .select(*g, F.col("_p.lon").alias("_lon"), F.col("_p.lat").alias("_lat"), F.col(f"_p.{key}").alias("_key")))
-        won = cut_lineage(won)
-        kept_parts.append(won.select(F.col("_key").alias(key)))
+        tops = undecided.groupBy(*g, "_cell").agg(F.max("_no").alias("_top"))
+        asking = undecided.join(tops.select(F.col("_top").alias("_no")), "_no", "left_semi")
+        looks = asking.select(*g, "_no", F.explode(cells_within(F.col("lon"), F.col("lat"), km, cell_deg)).alias("_cell"))
+        beaten = looks.join(tops, g + ["_cell"]).where(F.col("_top") > F.col("_no")).select("_no")
+        won = cut_lineage(asking.join(beaten, "_no", "left_anti").select(*g, F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), F.col("_no").alias("_won")))
+        kept_parts.append(won.select(F.col("_won").alias("_no")))
         reach = won.withColumn("_cell", F.explode(cells_within(F.col("_lon"), F.col("_lat"), km, cell_deg)))
         near = haversine_km(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat")) < km
-        gone = (undecided.join(reach, g + ["_cell"]).where(near | (F.col(key) == F.col("_key"))).select(key).distinct())
-        undecided = cut_lineage(undecided.join(gone, key, "left_anti"))
-    kept = reduce(DataFrame.unionByName, kept_parts)
-    return candidates.join(kept.withColumn("_kept", F.lit(True)), key, "left_semi")
+        gone = undecided.join(reach, g + ["_cell"]).where(near | (F.col("_no") == F.col("_won"))).select("_no")
+        undecided = cut_lineage(undecided.join(gone, "_no", "left_anti"))
+    kept = places.join(reduce(DataFrame.unionByName, kept_parts), "_no").select(key)
+    return free.unionByName(candidates.where(blocks).join(kept, key, "left_semi").select(*candidates.columns))
 
 
 def _bound(value: Column, use) -> Column:

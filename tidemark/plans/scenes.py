@@ -161,7 +161,7 @@ def judge_candidates(cands: DataFrame, structures: DataFrame) -> DataFrame:
 
     cands: detection_id, product_id, aoi_id, lon, lat, area_px, peak_db; structures: site_lon, site_lat.
     """
-    d = near_any(cands, "detection_id", structures, FIXED_STRUCTURE_M / 1000, "_fixed", cell_deg=0.05)
+    d = near_any(cands, "detection_id", structures, FIXED_STRUCTURE_M / 1000, "_fixed", cell_deg=0.005)
     return d.withColumn("review_status", F.when(F.col("area_px") < CANDIDATE_MIN_PX, "rejected_auto:too_small")
                         .when(F.col("area_px") > CANDIDATE_MAX_PX, "rejected_auto:too_large (structure/artefact?)")
                         .when(F.col("_fixed"), "masked:fixed_structure").otherwise("unreviewed")).drop("_fixed")
