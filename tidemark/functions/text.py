@@ -93,21 +93,37 @@ def _keyword_pattern(keyword: str) -> str:
     return rf"(?<!\w){k}{tail}"
 
 
+def _plain(keyword: str) -> bool:
+    """Does a keyword consist of ASCII letters and digits only, so that blanks around it show its edges in spaced words?"""
+    return re.fullmatch("[A-Za-z0-9]+", keyword) is not None
+
+
+def _searched(text: Column, keywords: list[str], body) -> Column:
+    """Hands ``body`` a struct of what the keywords are sought in: the words between blanks, and the normalised text if one needs it."""
+    words = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\W+", " "), F.lit(" ")).alias("words")
+    whole = [] if all(_plain(k) for k in keywords) else [normal_text(text).alias("text")]
+    return let(F.struct(words, *whole), body)
+
+
 def _hits(t: Column, keywords: list[str]) -> Column:
+    """``t`` comes from ``_searched``."""
     if not keywords:
         return F.array().cast("array<string>")
-    any_of = "(?U)(?:" + "|".join(_keyword_pattern(k) for k in keywords) + ")"
-    each = F.array(*[F.when(t.rlike("(?U)" + _keyword_pattern(k)), F.lit(k)) for k in keywords])
-    return F.when(t.rlike(any_of), F.array_compact(each)).otherwise(F.array().cast("array<string>"))
+
+    def found(k: str) -> Column:
+        if _plain(k):
+            return t["words"].contains(F.lit(" " + k.lower() + (" " if len(k) <= 4 else "")))
+        return t["text"].rlike("(?U)" + _keyword_pattern(k))
+    return F.array_compact(F.array(*[F.when(found(k), F.lit(k)) for k in keywords]))
 
 
 def keyword_hits(text: Column, keywords: list[str]) -> Column:
     """The configured keywords found: short ones as whole words, longer ones at a word start.
 
-    The text is normalised once; one combined pattern rejects most texts in a single pass, and only the
-    rest are tested keyword by keyword. The keyword list is configuration and does not follow the data.
+    The text is turned into words between blanks once, in which plain keywords are sought as they stand; only keywords with
+    other characters run a pattern. The keyword list is configuration and does not follow the data.
     """
-    return let(normal_text(text), lambda t: _hits(t, keywords))
+    return _searched(text, keywords, lambda t: _hits(t, keywords))
 
 
 def topic_hits(text: Column, topics: dict, aliases: list[str] = (), alias_topic: str | None = None) -> Column:
@@ -124,7 +140,8 @@ def topic_hits(text: Column, topics: dict, aliases: list[str] = (), alias_topic:
             out.append(let(_hits(t, list(cfg["keywords"]) + extra), labelled(name, anchored)))
         return F.array_compact(F.array(*out))
 
-    return let(normal_text(text), found)
+    every = [k for cfg in topics.values() for k in [*cfg["keywords"], *cfg.get("require_any", [])]] + list(aliases)
+    return _searched(text, every, found)
 
 
 def claims(text: Column, words: dict[str, list[str]] = DIRECTION_WORDS) -> Column:
