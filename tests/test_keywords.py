@@ -16,3 +16,11 @@ def test_plain_keywords_need_no_pattern_and_find_the_same(spark):
     assert got == {r.i: [k for n, k in enumerate(WORDS) if r[f"k{n}"]] for r in want}
     plan = d.select(T.topic_hits(F.col("t"), {"a": {"keywords": ["the", "price"], "require_any": ["les"]}}))._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search("RLIKE", plan, re.I)                    # one pass over the text, whatever the number of keywords
+
+
+def test_claim_words_need_no_pattern(spark):
+    words = {"up": ["rise", "a+b"], "down": ["fall"], "disruption": ["halt of"]}
+    d = spark.createDataFrame([(0, "RISE"), (1, "a+b  falls"), (2, "aab"), (3, "halt\n of"), (4, None)], "i int, t string")
+    out = d.select("i", T.claims(F.col("t"), words).alias("c"))
+    assert {r.i: r.c for r in out.collect()} == {0: ["up"], 1: ["mixed"], 2: [], 3: ["disruption"], 4: []}
+    assert not re.search("RLIKE", out._jdf.queryExecution().optimizedPlan().toString(), re.I)

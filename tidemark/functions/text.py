@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -147,7 +148,7 @@ def topic_hits(text: Column, topics: dict, aliases: list[str] = (), alias_topic:
 def claims(text: Column, words: dict[str, list[str]] = DIRECTION_WORDS) -> Column:
     """Sorted claim labels; up together with down becomes mixed. Words match anywhere in the text."""
     def flags(t: Column) -> Column:
-        return F.struct(*[t.rlike("|".join(re.escape(w.lower()).replace("\\ ", " ") for w in ws)).alias(k) for k, ws in words.items()])
+        return F.struct(*[reduce(Column.__or__, [t.contains(F.lit(w.lower())) for w in ws], F.lit(False)).alias(k) for k, ws in words.items()])
 
     def labels(has: Column) -> Column:
         both = has["up"] & has["down"]
