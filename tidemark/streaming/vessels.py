@@ -1,18 +1,15 @@
 """Vessel messages: parsing, latest state per vessel, and bounded tracks, in batch and on a stream."""
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import AREAS
 from ..functions.codes import flag_state, nav_status_text, ship_class, ship_type_text
 from ..functions.numbers import in_range
 from ..functions.text import untrusted
 from ..operators.timeline import with_previous
+from .vessel_state import VesselProcessor, packed_states
 
 POSITION_KINDS = ["PositionReport", "StandardClassBPositionReport", "ExtendedClassBPositionReport"]
 _POS = "struct<UserID:string,Latitude:string,Longitude:string,Sog:string,Cog:string,TrueHeading:string,NavigationalStatus:int,Type:int>"
@@ -146,40 +143,12 @@ def class_counts(snap: DataFrame) -> DataFrame:
     return snap.groupBy("ship_class").agg(F.count("*").alias("n_vessels"))
 
 
-STATE = "last_at timestamp, lat double, lon double, sog double, name string, type int, n bigint, track_lat array<double>, track_lon array<double>"
-OUT = "mmsi bigint, " + STATE + ", expired boolean"
-
-
 def track_stream(messages: DataFrame, stale_after_s: int = 3600, track_len: int = 60, delay: str = "10 minutes") -> DataFrame:
     """Streaming state per vessel with a bounded track, dropped after silence measured in event time.
 
-    State is a few fields and at most track_len points per vessel. Emits one row per touched vessel and
-    batch, and one marked expired when the watermark passes the last message by ``stale_after_s``.
+    A few columns of the state that ``vessel_state`` keeps, in time order also where messages come late. Emits one row per touched
+    vessel and batch, and one marked expired when the watermark passes the last message of any kind by ``stale_after_s``.
     """
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        cols = [c.split()[0] for c in OUT.split(", ")]
-        if state.hasTimedOut:
-            old = state.get
-            state.remove()
-            yield pd.DataFrame([[key[0], *old, True]], columns=cols)
-            return
-        last, lat, lon, sog, name, type_, n, tla, tlo = state.get if state.exists else (None, None, None, None, None, None, 0, [], [])
-        tla, tlo = list(tla), list(tlo)
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "k"])
-        for r in pdf.itertuples(index=False):
-            n += 1
-            last = r.ts if last is None or r.ts > last else last
-            if r.is_position:
-                lat, lon, sog = r.lat, r.lon, None if pd.isna(r.sog) else r.sog
-                if not tla or (tla[-1], tlo[-1]) != (lat, lon):
-                    tla, tlo = (tla + [lat])[-track_len:], (tlo + [lon])[-track_len:]
-            name = r.static_name or name or r.meta_name
-            type_ = type_ if pd.isna(r.type) else int(r.type)
-        state.update((last.to_pydatetime() if hasattr(last, "to_pydatetime") else last, lat, lon, sog, name, type_, n, tla, tlo))
-        deadline = int(pd.Timestamp(last).timestamp() * 1000) + stale_after_s * 1000
-        state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([[key[0], last, lat, lon, sog, name, type_, n, tla, tlo, False]], columns=cols)
-
-    d = messages.select("mmsi", "ts", "k", "is_position", "lat", "lon", "sog", "static_name", "meta_name", "type")
-    return d.withWatermark("ts", delay).groupBy("mmsi").applyInPandasWithState(
-        step, OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    d = packed_states(messages, VesselProcessor(stale_after_s, track_len, by_position=False), delay)
+    return d.select("mmsi", F.timestamp_micros("last_us").alias("last_at"), "lat", "lon", "sog", F.coalesce("static_name", "meta_name").alias("name"), "type",
+                    F.col("n_messages").alias("n"), "track_lat", "track_lon", "expired")
