@@ -13,7 +13,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject. It learns from labels of rows in ``docs``, none of them held out."""
-    model = toxicity.train_model(docs, table(spark, sf_dir, "labels"), learn=~toxicity.held_out())
+    model = toxicity.train_model(docs.where(~toxicity.held_out()), table(spark, sf_dir, "labels"), learn=~toxicity.held_out())
     scored = toxicity.toxicity(docs, model)
     return scored.where("NOT rejected").select(*docs.columns)
 

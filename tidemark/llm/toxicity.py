@@ -1,21 +1,27 @@
-"""Toxicity: a convolutional text classifier over hashed word embeddings, trained in numpy, thresholds by language."""
+"""Toxicity: a convolutional text classifier over hashed word embeddings, trained in the tasks on all labelled rows, thresholds by language."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import deepcopy
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
-from .common import small_batches, table, text_slices, whole_text
+from .common import scratch_path, small_batches, stored, table, text_slices, whole_text
 from .hashing import letter_words
 
-SAMPLE = 1500                   # toxic rows that training sees at most, and twice as many clean ones
+EPOCHS, VISITS = 8, 48_000      # passes over all training texts, at least; of few texts more, until so many were visited
+SHARD_CHARS = 8_000_000         # of the training texts in one shard, about
+UNIT = 1 << 24                  # moves of parameters are summed in such parts
+CELLS = 256                     # logits of one unit told apart by the scale
 PREFIXES = (4, 5, 6, 7, 8)            # bytes: parts of words that have embeddings of their own
 WIDTHS = (1, 2, 3)
 CUT = 0.7
+CUTS = tuple(float(x) for x in np.arange(0.3, 0.96, 0.05))
 
 
 @dataclass
@@ -38,6 +44,7 @@ class TextCNN:
             self.p[f"F{k}"] = r.normal(0, 0.5, (k * self.dim, self.filters))
             self.p[f"c{k}"] = np.zeros(self.filters)
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
+        self.weight, self.known = 1.0, np.ones(1 << self.bits, bool)
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         h, bounds = letter_words(texts, PREFIXES)
@@ -46,7 +53,9 @@ class TextCNN:
     def forward(self, ids: np.ndarray, bounds: np.ndarray, back: bool = False, drop: np.ndarray | None = None):
         """Logits per text; with ``back`` also the pooled values and the position of every maximum (-1: none)."""
         n, last = len(bounds) - 1, len(WIDTHS) - 1
-        x = self.p["E"][ids].sum(1) if len(ids) else np.zeros((0, self.dim), np.float32)
+        x = np.zeros((len(ids), self.dim), np.float32)
+        for column in ids.T:
+            x += self.p["E"][column]
         if drop is not None:
             x[drop] = 0
         pooled = np.zeros((n, self.filters * (last + 1)), np.float32)
@@ -69,31 +78,49 @@ class TextCNN:
         logits = pooled @ self.p["w"] + self.p["b"]
         return (logits, pooled, where) if back else logits
 
-    def train(self, texts: list[str], labels: np.ndarray, steps: int = 1500, batch: int = 32, rate: float = 0.01) -> None:
-        """Adam on the logistic loss; only the words at the maxima get a gradient, so a step touches few embeddings."""
-        r = np.random.default_rng(self.seed)
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of all words and bounds per text, made slice by slice."""
+        parts = [self.ids(texts[a:b]) for a, b in text_slices(texts)] or [self.ids([])]
+        return np.concatenate([p for p, _ in parts]), np.concatenate(([0], np.cumsum(np.concatenate([np.diff(b) for _, b in parts]))))
+
+    def texts_with(self, ids: np.ndarray, bounds: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        """Per slot, how many clean and how many toxic texts have it."""
+        seen = np.zeros((1 << self.bits, 2), np.int64)
+        for a, b, y in zip(bounds[:-1], bounds[1:], labels):
+            seen[np.unique(ids[a:b]), int(y)] += 1
+        return seen
+
+    def forget_rare(self, seen: np.ndarray, clean: int, toxic: int) -> None:
+        """Training's view of the whole set. A toxic text weighs so much that there are two clean ones to a toxic one at most;
+        an embedding of few texts could only learn those texts by heart, so it stays 0."""
+        self.weight = max(1.0, clean / (2 * max(1, toxic)))
+        self.known = seen @ np.array([1, self.weight]) >= max(3, int(clean + self.weight * toxic) // self.rare)
+        self.p["E"][~self.known] = 0
+
+    def train(self, texts: list[str], labels: np.ndarray, visits: int = VISITS) -> None:
+        """The whole training on texts at hand: as ``train_model`` does it where one shard holds them all."""
         pairs = dict.fromkeys(zip(texts, labels.tolist()))      # copies teach nothing new
         texts, labels = [t for t, _ in pairs], np.array([y for _, y in pairs], np.float32)
-        parts = [self.ids(texts[a:b]) for a, b in text_slices(texts)]                       # slice by slice: the driver is small
-        ids = np.concatenate([p for p, _ in parts])
-        bounds = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(b) for _, b in parts]))))
-        del parts
-        seen = np.zeros(1 << self.bits, np.int64)
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            seen[np.unique(ids[a:b])] += 1
-        known = seen >= max(3, len(texts) // self.rare)               # an embedding of few texts could only learn those texts by heart
-        self.p["E"][~known] = 0
+        ids, bounds = self.encode(texts)
+        toxic = int(labels.sum())
+        self.forget_rare(self.texts_with(ids, bounds, labels), len(texts) - toxic, toxic)
+        self.fit(ids, bounds, labels, np.random.default_rng(self.seed), epochs(len(texts), visits))
+
+    def fit(self, ids: np.ndarray, bounds: np.ndarray, labels: np.ndarray, r: np.random.Generator, epochs: int, batch: int = 32, rate: float = 0.01) -> None:
+        """Adam on the logistic loss; only the words at the maxima get a gradient, so a step touches few embeddings."""
+        known = self.known
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
         step = 0
-        for _ in range(max(8, -(-steps * batch // max(1, len(texts))))):
-            order = r.permutation(len(texts))
+        for _ in range(epochs):
+            order = r.permutation(len(labels))
             for a in range(0, len(order), batch):
                 pick = order[a:a + batch]
                 part = np.concatenate([ids[bounds[i]:bounds[i + 1]] for i in pick])
                 b = np.concatenate(([0], np.cumsum([bounds[i + 1] - bounds[i] for i in pick] + [0])))   # the last is an empty clean text
                 y = np.append(labels[pick], 0)
+                weight = np.where(y == 1, self.weight, 1.0)
                 logits, pooled, where = self.forward(part, b, True, r.random(len(part)) < self.drop)
-                d = ((1 / (1 + np.exp(-np.clip(logits, -30, 30)))) - y).astype(np.float32) / len(y)
+                d = (((1 / (1 + np.exp(-np.clip(logits, -30, 30)))) - y) * weight / weight.sum()).astype(np.float32)
                 g = {"w": pooled.T @ d, "b": np.array([d.sum()], np.float32)}
                 dp = d[:, None] * self.p["w"] * (pooled > 0)
                 rows, values = [], []
@@ -133,57 +160,191 @@ class TextCNN:
     def calibrate(self, texts: list[str], labels: np.ndarray, langs: list) -> None:
         """Logistic scaling on rows that training did not see; per language the cut that errs least there, nearest to CUT."""
         z = self.logits(texts).astype(float)
+        self.fit_scale(z, labels, np.ones(len(z)))
+        s = self.score(texts)
+        own = {x: np.array([y == x for y in langs]) for x in langs if x is not None}
+        self.fit_thresholds({x: (int((labels[o] == 0).sum()), int((labels[o] == 1).sum()), [int(((s[o] >= t) != (labels[o] == 1)).sum()) for t in CUTS]) for x, o in own.items()})
+
+    def fit_scale(self, z: np.ndarray, labels: np.ndarray, counts: np.ndarray) -> None:
+        """``counts`` rows each with a logit and a label."""
         a, b = 1.0, 0.0
         for _ in range(200):                                    # Newton with a little damping
             p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-            w, e = p * (1 - p) + 1e-6, p - labels
+            w, e = (p * (1 - p) + 1e-6) * counts, (p - labels) * counts
             h = np.array([[(w * z * z).sum() + 5, (w * z).sum()], [(w * z).sum(), w.sum() + 5]])   # stays near the trained scale
             da, db = np.linalg.solve(h, [(e * z).sum() + 5 * (a - 1), e.sum() + 5 * b])
             a, b = a - 0.5 * da, b - 0.5 * db
         if a > 0:
             self.scale = (float(min(a, 3.0)), float(np.clip(b, -3, 3)))
-        s, grid = self.score(texts), np.arange(0.3, 0.96, 0.05)
-        self.thresholds = {}
-        for lang in sorted({x for x in langs if x is not None}):
-            own = np.array([x == lang for x in langs])
-            if len(set(labels[own].tolist())) == 2:
-                wrong = [int(((s[own] >= t) != (labels[own] == 1)).sum()) for t in grid]
-                self.thresholds[lang] = float(min(grid, key=lambda t: (wrong[int(np.argmin(abs(grid - t)))], abs(t - CUT))))
+
+    def fit_thresholds(self, found: dict) -> None:
+        """``found``: per language clean rows, toxic rows, and the errors of each of CUTS."""
+        usual = min(range(len(CUTS)), key=lambda i: abs(CUTS[i] - CUT))
+        self.thresholds = {x: CUTS[min(range(len(CUTS)), key=lambda i: (wrong[i], abs(i - usual)))] for x, (clean, toxic, wrong) in sorted(found.items()) if clean and toxic}
+
+    def flat(self) -> np.ndarray:
+        """All parameters in rows of ``dim``: the embeddings, then the rest."""
+        rest = np.concatenate([x.ravel() for k, x in self.p.items() if k != "E"])
+        return np.concatenate([self.p["E"], np.pad(rest, (0, -len(rest) % self.dim)).reshape(-1, self.dim)])
+
+    def move(self, rows: np.ndarray, by: np.ndarray) -> None:
+        """Adds ``by`` to these rows of ``flat``."""
+        all_rows = self.flat()
+        all_rows[rows] += by.astype(np.float32)
+        at = len(self.p["E"])
+        self.p["E"], rest = all_rows[:at], all_rows[at:].ravel()
+        at = 0
+        for k, x in self.p.items():
+            if k != "E":
+                self.p[k] = rest[at:at + x.size].reshape(x.shape).copy()
+                at += x.size
+
+
+def epochs(texts: int, visits: int = VISITS) -> int:
+    return max(EPOCHS, -(-visits // max(1, texts)))
 
 
 def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, learn=None) -> TextCNN | None:
-    """Fits on at most ``sample`` toxic and twice as many clean labelled rows (smallest hash of doc_id first), a fifth of
-    them for calibration. ``learn`` tells which rows of ``labels`` may be used. None where either label has no row with a text."""
+def labelled_texts(docs: DataFrame, labels: DataFrame, learn=None) -> DataFrame:
+    """(key, toxic, check, lang, id_, copies, n) of every labelled text of ``docs``, without the texts: copies share a key, and with
+    it the side; a fifth is for calibration (check). ``learn`` tells which rows of ``labels`` may be used."""
     use = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL")
     if learn is not None:
         use = use.where(learn)
-    use = use.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    first = [use.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(n) for k, n in ((1, sample), (0, 2 * sample))]
-    picked = first[0].unionByName(first[1]).select(F.col("doc_id").alias("id_"), "toxic")
+    use = use.groupBy(F.col("doc_id").alias("id_")).agg(F.max("toxic").cast("int").alias("toxic"))
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select("doc_id", whole_text().alias("text"), lang.alias("lang")).join(F.broadcast(picked), F.expr("doc_id = id_")).collect()   # at most 3 * sample ids
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"]))
-    y = np.array([r["toxic"] for r in rows], np.float32)
-    if len(set(y.tolist())) < 2:
+    rows = docs.select("doc_id", F.sha2(whole_text(), 256).alias("key"), lang.alias("lang"), F.length(whole_text()).alias("n")).join(use, F.expr("doc_id = id_"))
+    rows = rows.withColumn("check", F.pmod(F.xxhash64("key"), F.lit(5)) == 0)
+    return rows.groupBy("key", "toxic", "check", "lang").agg(F.min("id_").alias("id_"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"))
+
+
+def once(found: DataFrame, split: bool) -> DataFrame:
+    """Texts for calibration once per label and language, all others once per label: further copies teach nothing new."""
+    side = found.withColumn("check", F.col("check") & F.lit(split)).withColumn("lang", F.when(F.col("check"), F.col("lang")))
+    return side.groupBy("key", "toxic", "check", "lang").agg(F.min("id_").alias("id_"), F.sum("copies").alias("copies"), F.max("n").alias("n"))
+
+
+def store_shards(docs: DataFrame, found: DataFrame, shards: int) -> DataFrame:
+    """The rows of ``once`` with their texts, by shards, in an order that hangs on the texts alone."""
+    texts = docs.select(F.col("doc_id").alias("id_"), F.sha2(whole_text(), 256).alias("key"), whole_text().alias("text"))
+    rows = texts.join(found, ["id_", "key"]).dropDuplicates(["id_", "key", "toxic", "check", "lang"])      # a table may repeat a row
+    rows = rows.select("text", "key", "toxic", "lang", "copies", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(shards)).cast("int").alias("shard"), "check")
+    path = scratch_path(docs.sparkSession, "learn")
+    rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("check", "shard", "key", "toxic", "lang").write.partitionBy("check").parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def by_shard(batches: Iterator[pa.RecordBatch], model: TextCNN) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(shard, slots, bounds, labels) of columns shard, text, toxic. A shard comes in one piece unless it is far larger than SHARD_CHARS."""
+    held, size, shard = [], 0, None
+
+    def piece():
+        ids, bounds = zip(*((p[0], p[1]) for p in held))
+        return shard, np.concatenate(ids), np.concatenate(([0], np.cumsum(np.concatenate([np.diff(b) for b in bounds])))), np.concatenate([p[2] for p in held])
+    for batch in small_batches(batches, 1):
+        owners, texts, y = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy().astype(np.float32)
+        edges = [0, *(np.flatnonzero(np.diff(owners)) + 1).tolist(), len(owners)]
+        for a, b in zip(edges[:-1], edges[1:]):
+            if held and (owners[a] != shard or size > 4 * SHARD_CHARS):
+                yield piece()
+                held, size = [], 0
+            shard = int(owners[a])
+            held.append((*model.encode(texts[a:b]), y[a:b]))
+            size += sum(map(len, texts[a:b]))
+    if held:
+        yield piece()
+
+
+def slot_sums(rows: DataFrame, run, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """``run`` makes (slot, whole numbers) of batches; their sums, exact in any order. At most one row per slot reaches the driver."""
+    names = [f"v{i}" for i in range(width)]
+
+    def numbers(batches):
+        sums = run(batches)
+        at = np.flatnonzero(sums.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(sums[at, i]) for i in range(width))], names=["slot", *names])
+    got = rows.mapInArrow(numbers, "slot int, " + ", ".join(f"{n} long" for n in names)).groupBy("slot").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
+    return got["slot"].to_numpy(), np.stack([got[n].to_numpy() for n in names], 1)
+
+
+def count_slots(rows: DataFrame, model: TextCNN) -> np.ndarray:
+    def run(batches):
+        seen = np.zeros((1 << model.bits, 2), np.int64)
+        for _, ids, bounds, y in by_shard(batches, model):
+            seen += model.texts_with(ids, bounds, y)
+        return seen
+    at, sums = slot_sums(rows, run, 2)
+    seen = np.zeros((1 << model.bits, 2), np.int64)
+    seen[at] = sums
+    return seen
+
+
+def train_round(rows: DataFrame, model: TextCNN, texts: int, turn: int, epochs: int) -> None:
+    """Every shard trains a copy of the model on all its texts; the model moves by the mean of their moves, weighted by texts.
+
+    Moves are summed as whole multiples of 1 / UNIT, so that the order in which tasks end does not change the model.
+    """
+    def run(batches):
+        start = model.flat()
+        total = np.zeros(start.shape, np.int64)
+        for shard, ids, bounds, y in by_shard(batches, model):
+            own = deepcopy(model)
+            own.fit(ids, bounds, y, np.random.default_rng([model.seed, turn, shard]), epochs)
+            total += np.rint((own.flat().astype(float) - start) * (len(y) * UNIT)).astype(np.int64)
+        return total
+    at, sums = slot_sums(rows, run, model.dim)
+    model.move(at, sums / (UNIT * texts))
+
+
+def calibrate_model(rows: DataFrame, model: TextCNN) -> None:
+    """``TextCNN.calibrate`` on rows of a table: the scale from counts per label and logit (to 1 / CELLS), the cuts from all scores."""
+    def run(batches):
+        for batch in small_batches(batches, 0):
+            z = model.logits(batch.column(0).to_pylist()).astype(float)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(z, pa.float64())], names=[*batch.schema.names[1:], "z"])
+    rows = rows.select("text", "lang", "toxic", "copies")
+    z = stored(rows.mapInArrow(run, StructType(rows.schema.fields[1:]).add("z", DoubleType())), "logits")
+    cells = z.groupBy("toxic", F.rint(F.expr(f"least(greatest(z, -50D), 50D) * {CELLS}")).alias("cell")).agg(F.sum("copies").alias("n")).orderBy("toxic", "cell").toArrow()
+    model.fit_scale(cells["cell"].to_numpy() / CELLS, cells["toxic"].to_numpy(), cells["n"].to_numpy().astype(float))
+    a, b = model.scale
+    score = 1 / (1 + F.exp(-F.greatest(F.least(F.col("z") * a + b, F.lit(30.0)), F.lit(-30.0))))
+    number = lambda c: F.sum(F.when(c, F.col("copies")).otherwise(0))
+    found = z.where("lang IS NOT NULL").withColumn("s", score).groupBy("lang").agg(
+        number(F.col("toxic") == 0).alias("clean"), number(F.col("toxic") == 1).alias("toxic"), F.array(*(number((F.col("s") >= t) != (F.col("toxic") == 1)) for t in CUTS)).alias("wrong"))
+    model.fit_thresholds({r["lang"]: (r["clean"], r["toxic"], r["wrong"]) for r in found.collect()})
+
+
+def train_model(docs: DataFrame, labels: DataFrame, learn=None) -> TextCNN | None:
+    """Fits on every labelled row that ``learn`` allows (an expression over ``labels``), a fifth of the texts for calibration.
+    None where either label has no row with a text.
+
+    The texts go to shards of about SHARD_CHARS characters. In each round the tasks train the model on every shard and the
+    driver gets only the sum of their moves, one row per slot; a single shard has all its epochs in one round.
+    """
+    found = stored(labelled_texts(docs, labels, learn), "labelled")
+    sides = {(r["check"], r["toxic"]) for r in found.select("check", "toxic").distinct().collect()}
+    if len({y for _, y in sides}) < 2:
         return None
-    check = np.array([hash_fifth(r["doc_id"]) for r in rows])
-    if len(set(y[check].tolist())) < 2 or len(set(y[~check].tolist())) < 2:
-        check = np.zeros(len(rows), bool)
+    split = len(sides) == 4                                     # else all is for training
+    found = once(found, split)
+    size = {r["toxic"]: r for r in found.where("NOT check").groupBy("toxic").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n")).collect()}
+    clean, toxic = size[0]["texts"], size[1]["texts"]
+    shards = max(1, round((size[0]["n"] + size[1]["n"]) / SHARD_CHARS))
+    learned = store_shards(docs, found, shards)
+    train = learned.where("NOT check").select("shard", "text", "toxic")
     model = TextCNN()
-    model.train([r["text"] for r, c in zip(rows, check) if not c], y[~check])
-    if check.any():
-        model.calibrate([r["text"] for r, c in zip(rows, check) if c], y[check], [r["lang"] for r, c in zip(rows, check) if c])
+    model.forget_rare(count_slots(train, model), clean, toxic)
+    rounds = 1 if shards == 1 else epochs(clean + toxic)
+    for turn in range(rounds):
+        train_round(train, model, clean + toxic, turn, epochs(clean + toxic) // rounds)
+    if split:
+        calibrate_model(learned.where("check"), model)
     return model
 
 
-def hash_fifth(doc_id: int) -> bool:
-    return (doc_id * 2654435761 >> 7) % 5 == 0
-
-
 def toxicity(docs: DataFrame, model: TextCNN | None) -> DataFrame:
     """``docs`` plus ``score`` (0 to 1) and ``rejected`` (score at or above its language's threshold, CUT where none is known).
 
@@ -198,7 +359,6 @@ def toxicity(docs: DataFrame, model: TextCNN | None) -> DataFrame:
             s = model.score(texts) if model is not None else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=[*batch.schema.names, "__score"])
 
-    from pyspark.sql.types import DoubleType, StructType
     schema = StructType([*docs.schema.fields]).add("__score", DoubleType())
     scored = docs.mapInArrow(run, schema)
     known = (model.thresholds if model is not None else {}) if "lang" in names else {}
@@ -211,6 +371,6 @@ def toxicity(docs: DataFrame, model: TextCNN | None) -> DataFrame:
 
 def op8_toxicity_cnn(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = train_model(docs, labels, learn=~held_out())
+    model = train_model(docs.where(~held_out()), labels, learn=~held_out())
     scored = toxicity(docs.select("doc_id", "text", "lang"), model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "rejected")
