@@ -3,9 +3,11 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.set_blocks import bitmaps, fold
+from tidemark.operators import set_blocks
+from tidemark.operators.set_blocks import SLOTS, Sets, bitmaps, close_pairs, fold, in_order, reach, shared_words, spans
 from tidemark.operators.similarity import first_matches, similar_variants, variants
 
 
@@ -52,3 +54,72 @@ def test_frequent_words_cost_nothing_outside_the_window(spark):
     for block in (2, 3):
         assert {x.id: x.parent for x in first_matches(d.where("id < 60"), "id", "at", window_hours=240, block=block).collect()} == {
             i: next((j for j in range(max(0, i - 10), i) if len(rows[i] & rows[j]) / len(rows[i] | rows[j]) >= 0.6), None) for i in range(60)}
+
+
+def block_of(sets, threshold=0.6):
+    """A block that is compared with itself, of sets of hashes sorted by size, and how often it holds a word."""
+    n, flat = np.array([len(x) for x in sets]), np.concatenate([np.array(x, np.int64) for x in sets])
+    bounds = np.concatenate(([0], np.cumsum(n)))
+    counts = np.bincount((flat.view(np.uint64) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+    words = in_order(flat, bounds, np.minimum(255, 8 * np.log2(np.maximum(counts, 1))).astype(np.uint8))
+    lead = reach(n, int(n.min()), int(n.max()), threshold)
+    return Sets(n, words[spans(bounds[:-1], lead)], np.concatenate(([0], np.cumsum(lead))), bitmaps(flat, bounds, 512)), flat, bounds
+
+
+def near_sets(r, common, rare, n):
+    """Sets of n words, of which some have a near copy."""
+    sets = [r.sample(common, n // 2) + r.sample(rare, n - n // 2) for _ in range(300)]
+    sets += [s[:-3] + r.sample(rare, 3) for s in sets[:40]] + [s[: n * 3 // 4] for s in sets[40:70]]
+    return sorted(sets, key=len)
+
+
+def alike(sets, threshold=0.6):
+    return {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if len(set(sets[i]) & set(sets[j])) / len(set(sets[i]) | set(sets[j])) >= threshold}
+
+
+def test_only_sets_that_meet_on_a_rare_word_are_compared(monkeypatch):
+    """All sets share many words, yet no set is looked at against a whole block: the bitmaps of few pairs are asked."""
+    r = random.Random(8)
+    words = [r.getrandbits(64) - 2 ** 63 for _ in range(6100)]
+    sets = near_sets(r, words[:100], words[100:], 60)
+    block, flat, bounds = block_of(sets)
+    asked = []
+    limit = set_blocks._limit
+    monkeypatch.setattr(set_blocks, "survivors", lambda *a: pytest.fail("a set was compared with the whole block"))
+    monkeypatch.setattr(set_blocks, "_limit", lambda total, threshold: asked.append(len(total)) or limit(total, threshold))
+    a, b = close_pairs(block, None, 0.6)
+    want = alike(sets)
+    assert len(want) >= 70 and want <= set(zip(a.tolist(), b.tolist())) and sum(asked) < len(sets) ** 2 / 40
+    shared = shared_words(flat, bounds, a, b)
+    assert shared.tolist() == [len(set(sets[i]) & set(sets[j])) for i, j in zip(a, b)]
+
+
+def test_pairs_of_two_blocks_and_of_frequent_words_lose_nothing():
+    r = random.Random(9)
+    words = [r.getrandbits(64) - 2 ** 63 for _ in range(90)]
+    sets = near_sets(r, words[:45], words[45:], 40)                 # every word is frequent: all pairs of fitting sizes are looked at
+    block, _, _ = block_of(sets)
+    assert alike(sets) <= set(zip(*(x.tolist() for x in close_pairs(block, None, 0.6))))
+
+    def part(of):
+        at = np.array(of)
+        n = np.diff(block.bounds)[at]
+        return Sets(block.sizes[at], block.words[spans(block.bounds[at], n)], np.concatenate(([0], np.cumsum(n))), block.maps[at])
+    odd, even = list(range(1, len(sets), 2)), list(range(0, len(sets), 2))
+    a, b = close_pairs(part(odd), part(even), 0.6)
+    assert {p for p in alike(sets) if (p[0] + p[1]) % 2} <= {tuple(sorted((odd[x], even[y]))) for x, y in zip(a, b)}
+
+
+def test_leading_words_reach_every_similar_size():
+    for n, m in itertools.product(range(1, 60), repeat=2):
+        for shared in range(min(n, m) + 1):
+            if shared / (n + m - shared) >= 0.6:
+                # The shared words may all come last in both sets; the first of them must be among the leading words.
+                assert reach(np.array([n]), m, m, 0.6)[0] >= n - shared + 1 and reach(np.array([n]), 1, 1000, 0.6)[0] >= n - shared + 1
+
+
+def test_variants_may_be_numbers_and_tokens_hashes(spark):
+    rows = [(k, [10 * g + x for x in range(10)][k % 3:]) for k, g in enumerate([1, 1, 1, 5, 5, 9])]
+    v = spark.createDataFrame(rows, "variant bigint, tokens array<bigint>")
+    want = {(i, j, len(set(a) & set(b)) / len(set(a) | set(b))) for (i, a), (j, b) in itertools.combinations(rows, 2) if len(set(a) & set(b)) / len(set(a) | set(b)) >= 0.6}
+    assert len(want) == 4 and {tuple(x) for x in similar_variants(v).collect()} == want

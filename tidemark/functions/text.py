@@ -72,7 +72,8 @@ def clean_text(text: Column, limit: int | None = None) -> Column:
 
 def title_tokens(title: Column) -> Column:
     """Distinct lower-case words of three letters and more that are no stop words."""
-    words = F.regexp_extract_all(F.lower(title), F.lit(r"(?U)(\w+)"), 1)
+    # The plain range is asked first: it holds most characters and costs far less than the lookup of a character's kind.
+    words = F.regexp_extract_all(F.lower(title), F.lit(r"(?U)([a-z\w]+)"), 1)
     stops = F.array(*[F.lit(w) for w in STOP_WORDS])
     return F.array_except(F.filter(words, lambda w: F.length(w) > 2), stops)
 
