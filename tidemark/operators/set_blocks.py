@@ -8,13 +8,12 @@ most (na + nb) * (1 - threshold) / (1 + threshold) for similar sets. What the bo
 """
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CELLS = 1 << 22                 # places of bitmaps that are counted at once
 SLOTS = 1 << 20                 # hash slots in which words are counted to tell how rare they are
@@ -227,42 +226,28 @@ def shared_words(hashes: np.ndarray, bounds: np.ndarray, a: np.ndarray, b: np.nd
     return shared
 
 
-def earliest_matches(askers: pd.DataFrame, earlier: pd.DataFrame, span: int, window_hours: int, threshold: float) -> list[tuple]:
-    """(variant, t, found t, found id): per arrival of an asker the earliest arrival among ``earlier`` that resembles it in the window.
+def earliest_arrivals(times: np.ndarray, ids: pa.Array, bounds: np.ndarray, asker: np.ndarray, other: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per arrival of an asking unit, the earliest arrival of the other units it is paired with, no more than ``span`` before it.
 
-    Columns: variant, slot (hour), hashes, ts (ascending) and ids of the variant's arrivals of that hour. Candidates are looked
-    at in order of time and verified one by one until no later one can be earlier, so a family costs about one comparison a title.
+    Unit u has the arrivals bounds[u] to bounds[u + 1], ascending; ``ids`` decide between arrivals of one instant. Returns
+    positions of arrivals and of what was found, without arrivals that found nothing.
     """
-    earlier = earlier.assign(first=[t[0] for t in earlier["ts"]]).sort_values("first", kind="stable")
-    sides = {"a": askers, "e": earlier}
-    sizes = {s: np.array([len(h) for h in d["hashes"]], np.int64) for s, d in sides.items()}
-    longest = max(int(x.max()) for x in sizes.values())
-    width = 64
-    while width < 4 * longest and width < 8192:
-        width *= 2
-    maps = {s: bitmaps(np.concatenate([np.asarray(h, np.int64) for h in d["hashes"]]), np.concatenate(([0], np.cumsum(sizes[s]))), width) for s, d in sides.items()}
-    by_word, first, slot = np.ascontiguousarray(maps["e"].T), earlier["first"].to_numpy(np.int64), earlier["slot"].to_numpy(np.int64)
-    names, times, ids, sets = (earlier[c].tolist() for c in ("variant", "ts", "ids", "hashes"))
-    out = []
-    for i, x in enumerate(askers.itertuples(index=False)):
-        n, known = int(sizes["a"][i]), {}
-        lo, hi = int(np.searchsorted(slot, x.slot - window_hours, "left")), int(np.searchsorted(first, x.ts[-1], "right"))
-        near = survivors(maps["a"][i], n, by_word, sizes["e"], lo, hi, threshold).tolist()
-
-        def alike(s: int) -> bool:
-            if names[s] not in known:
-                shared = len(np.intersect1d(x.hashes, sets[s], assume_unique=True))
-                known[names[s]] = names[s] != x.variant and shared / (n + len(sets[s]) - shared) >= threshold
-            return known[names[s]]
-
-        for t in x.ts:
-            best = None
-            for s in near:
-                if first[s] > t or (best is not None and first[s] > best[0]):
-                    break
-                at = bisect_left(times[s], t - span)
-                if at < len(times[s]) and times[s][at] <= t and (best is None or (times[s][at], ids[s][at]) < best) and alike(s):
-                    best = (times[s][at], ids[s][at])
-            if best is not None:
-                out.append((x.variant, int(t), int(best[0]), best[1]))
-    return out
+    moments = np.unique(times)
+    width = len(moments) + 1
+    unit = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    keys = unit * width + np.searchsorted(moments, times)
+    since = np.searchsorted(moments, times - span)
+    ranks = np.empty(len(times), np.int64)
+    ranks[pc.sort_indices(pa.table({"t": times, "id": ids}), [("t", "ascending"), ("id", "ascending")]).to_numpy()] = np.arange(len(times))
+    best = np.full(len(times), len(times), np.int64)
+    for x in range(0, len(asker), PIECE):
+        ask, far = asker[x:x + PIECE], other[x:x + PIECE]
+        count = bounds[ask + 1] - bounds[ask]
+        asked, far = spans(bounds[ask], count), np.repeat(far, count)
+        at = np.searchsorted(keys, far * width + since[asked])
+        held = at < bounds[far + 1]
+        asked, at = asked[held], at[held]
+        held = times[at] <= times[asked]
+        np.minimum.at(best, asked[held], ranks[at[held]])
+    asked = np.flatnonzero(best < len(times))
+    return asked, np.argsort(ranks)[best[asked]]
