@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 
 CELLS = 1 << 22                 # places of bitmaps that are counted at once
 SLOTS = 1 << 20                 # hash slots in which words are counted to tell how rare they are
+SLOT_ROW = 1 << 12            # slots whose counts travel in one row
 MEETINGS = 1 << 21              # meetings on a word that are looked at together
 PIECE = 1 << 19                 # pairs that are verified together
 EDGES = np.array(sorted({int(np.ceil(2 ** (i / 8) - 1e-9)) for i in range(8 * 31)}), np.int64)    # sizes at which a class of sets begins, powers of two among them
